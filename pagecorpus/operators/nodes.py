@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from pagecorpus.functions.text import text_lines
 
-PAGE_ORDER = Window.partitionBy("page_id").orderBy("node_id")
-_UPTO_HERE = PAGE_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE_HERE = PAGE_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _page_order():
+    return Window.partitionBy("page_id").orderBy("node_id")
 
 # Elements whose subtrees are not visible text.
 TEXT_DROP_TAGS = ["script", "style", "noscript", "template"]
@@ -26,13 +27,13 @@ TEXT_KINDS = ["text", "cdata"]
 def inside_flagged(flag: Column) -> Column:
     """True when the row or one of its ancestors carries ``flag`` (needs page_id, node_id,
     last_desc)."""
-    reach = F.max(F.when(flag, F.col("last_desc"))).over(_UPTO_HERE)
+    reach = F.max(F.when(flag, F.col("last_desc"))).over(_page_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return F.coalesce(reach >= F.col("node_id"), F.lit(False))
 
 
 def below_flagged(flag: Column) -> Column:
     """True when a strict ancestor of the row carries ``flag``."""
-    reach = F.max(F.when(flag, F.col("last_desc"))).over(_BEFORE_HERE)
+    reach = F.max(F.when(flag, F.col("last_desc"))).over(_page_order().rowsBetween(Window.unboundedPreceding, -1))
     return F.coalesce(reach >= F.col("node_id"), F.lit(False))
 
 
