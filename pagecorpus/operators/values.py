@@ -47,9 +47,11 @@ def attr_value(attribute: str | None) -> Column:
     return F.when(href.isNotNull() & (href != ""), href).otherwise(src)
 
 
-def absolutize(value: Column, base: Column) -> Column:
-    """O-X12: resolve non-empty values against the page base URL."""
-    return F.when(value.isNotNull() & (value != ""), urls.join_url(base, value)).otherwise(value)
+def absolutize(df: DataFrame, value: str, base: str, out: str) -> DataFrame:
+    """O-X12: resolve non-empty values of column ``value`` against column ``base``."""
+    d = urls.add_joined_url(df, base, value, "_abs")
+    v = F.col(value)
+    return d.withColumn(out, F.when(v.isNotNull() & (v != ""), F.col("_abs")).otherwise(v)).drop("_abs")
 
 
 def element_attr(nodes: DataFrame, matches: DataFrame, attribute: str | None,
@@ -61,6 +63,6 @@ def element_attr(nodes: DataFrame, matches: DataFrame, attribute: str | None,
     if absolute:
         if bases is None:
             raise ValueError("absolute_url needs a (page_id, base_url) table")
-        out = (out.join(bases.select("page_id", "base_url"), "page_id", "left")
-               .select("page_id", "node_id", absolutize(F.col("value"), F.col("base_url")).alias("value")))
+        out = out.join(bases.select("page_id", "base_url"), "page_id", "left")
+        out = absolutize(out, "value", "base_url", "value").select("page_id", "node_id", "value")
     return out
