@@ -83,18 +83,16 @@ def _absolutize(out: DataFrame) -> DataFrame:
     the staged URL expressions, and written back with ``transform_values``; ``srcset``
     entries are exploded, resolved and re-joined in entry order per element."""
     el = F.col("kind") == "element"
-    for k in URL_ATTRS:
-        out = out.withColumn(f"_v_{k}", F.when(el, F.try_element_at(F.col("attrs"), F.lit(k))))
-        out = urls.add_joined_url(out, "_base", f"_v_{k}", f"_a_{k}")
-
-    def pick(k, v):
-        res = v
-        for name in reversed(URL_ATTRS):
-            res = F.when((k == name) & (v != ""), F.col(f"_a_{name}")).otherwise(res)
-        return res
-
-    out = out.withColumn("attrs", F.when(el, F.transform_values("attrs", pick)).otherwise(F.col("attrs")))
-    out = out.drop(*[f"_v_{k}" for k in URL_ATTRS], *[f"_a_{k}" for k in URL_ATTRS])
+    # one row per non-empty URL attribute, one staged URL join over just those rows
+    kv = (out.filter(el).select("page_id", "node_id", "_base", F.explode(F.map_filter(
+        "attrs", lambda k, v: k.isin(URL_ATTRS) & (v != ""))).alias("_k", "_v")))
+    kv = urls.add_joined_url(kv, "_base", "_v", "_abs")
+    resolved = kv.groupBy("page_id", "node_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_k", "_abs"))).alias("_absmap"))
+    out = out.join(resolved, ["page_id", "node_id"], "left")
+    out = out.withColumn("attrs", F.when(F.col("_absmap").isNotNull(), F.transform_values(
+        "attrs", lambda k, v: F.coalesce(F.try_element_at(F.col("_absmap"), k), v))).otherwise(F.col("attrs"))) \
+        .drop("_absmap")
     srcset = F.try_element_at(F.col("attrs"), F.lit("srcset"))
     has = out.filter(el & F.coalesce(srcset != "", F.lit(False)))
     ws_free = f"[^{WS[1:-1]}]"
@@ -155,8 +153,9 @@ def clean_nodes(nodes: DataFrame, features: dict[str, bool], bases: DataFrame |
     """O-H19 (cleaning part): removals, attribute edits, text edits -- in that order."""
     if not features:
         return nodes
-    flag = removal_flag(features)
-    out = remove_subtrees(nodes, flag)
+    removes = any(features.get(f) for f in ("remove_hidden", "remove_scripts", "remove_styles", "remove_meta",
+                                             "remove_noscript", "remove_media", "remove_comments"))
+    out = remove_subtrees(nodes, removal_flag(features)) if removes else nodes
     out = edit_attributes(out, features, bases)
     return edit_text(out, features)
 

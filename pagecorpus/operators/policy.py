@@ -135,16 +135,15 @@ def _slot_plan(key, pdfs, state):
     import pandas as pd
     slots = list(state.get[0]) if state.exists else None
     out = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["arr_us", "request_id"])
-        for rid, arr, dur, delay, k in zip(pdf["request_id"], pdf["arr_us"], pdf["dur_us"], pdf["delay_us"], pdf["k"]):
-            if slots is None:
-                slots = [0] * int(k)
-                heapq.heapify(slots)
-            free = heapq.heappop(slots)
-            start = max(int(arr), free)
-            heapq.heappush(slots, start + int(dur) + int(delay))
-            out.append((int(rid), key[0], start))
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["arr_us", "request_id"])
+    for rid, arr, dur, delay, k in zip(pdf["request_id"], pdf["arr_us"], pdf["dur_us"], pdf["delay_us"], pdf["k"]):
+        if slots is None:
+            slots = [0] * int(k)
+            heapq.heapify(slots)
+        free = heapq.heappop(slots)
+        start = max(int(arr), free)
+        heapq.heappush(slots, start + int(dur) + int(delay))
+        out.append((int(rid), key[0], start))
     state.update((slots,))
     yield pd.DataFrame(out, columns=["request_id", "domain", "planned_start_us"])
 

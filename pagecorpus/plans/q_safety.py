@@ -308,3 +308,19 @@ def q_error_status(spark, sf_dir):
     lab = _labels(spark, sf_dir).select("request_id", F.when(F.col("failed"), F.lit("http_error"))
                                         .when(F.col("blocked"), F.lit("blocked_error")).alias("error_type"))
     return lab.join(errs, "error_type").select("request_id", "error_type", "http_status")
+
+
+@register("proxy_counters", _choice_sql().replace(
+    "SELECT request_id,\n  CASE WHEN has_req", "SELECT metric, value FROM (SELECT 'proxy_requests_total' AS metric, "
+    "CAST(count(proxy) AS DOUBLE) AS value FROM (SELECT request_id,\n  CASE WHEN has_req", 1)
+    + ") UNION ALL SELECT 'proxy_errors_total', CAST(count(proxy_error) AS DOUBLE) FROM (SELECT request_id, "
+    "CASE WHEN has_req AND NOT allowed THEN 'proxy_override_not_allowed' WHEN has_req AND NOT valid THEN 'invalid_proxy' END "
+    "AS proxy_error FROM (SELECT f.request_id, f.request_id % 4 = 0 AS has_req, f.profile IN ('client_1', 'client_2') AS allowed, "
+    "pv.proxy_reason IS NULL AS valid FROM fl f JOIN page_keys k USING (page_id) JOIN pv ON pv.domain = k.domain)))")
+def q_proxy_counters(spark, sf_dir):
+    """O-M5: requests routed through a proxy and proxy errors."""
+    c = q_proxy_choice(spark, sf_dir)
+    wide = c.agg(F.count("proxy").cast("double").alias("proxy_requests_total"),
+                 F.count("proxy_error").cast("double").alias("proxy_errors_total"))
+    return wide.selectExpr("stack(2, 'proxy_requests_total', proxy_requests_total, 'proxy_errors_total', "
+                           "proxy_errors_total) AS (metric, value)")
