@@ -4,11 +4,11 @@
 newest-first running total (inclusive) stays within the limit", as weights are never
 negative.  A window over the whole table would pull every row into one task, so:
 
-1. aggregate the weight per time bucket (distributed, partial aggregation);
-2. running totals over the *bucket* table, which is small (one row per bucket);
-3. buckets wholly inside the limit are kept, wholly outside are dropped, and only the one
-   boundary bucket is ranked row by row -- and that ranking is itself split by a finer
-   bucket, so the exact window only ever sees the rows of one second.
+1. the input is written once (shared checkpoint folder) with its hour and second buckets;
+2. weights are summed per hour (distributed, partial aggregation) and a running total runs
+   over the hour table, which has one row per hour;
+3. hours wholly inside the limit are kept, wholly outside dropped; only the one boundary
+   hour is summed per second, and only the one boundary second is ranked row by row.
 
 Ties on the timestamp break on ``tie`` (newest first = larger tie value first).
 """
@@ -18,13 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEVELS = (3600, 1)
+from pagecorpus.session import materialize
 
 
 def _bucket(ts: str, width: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width * 1_000_000))
 
 
+def _classify_buckets(agg: DataFrame, bucket: str, before: Column, lim: Column) -> DataFrame:
+    """Bucket table -> status keep / drop / edge and the weight of everything newer."""
+    newer = Window.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    b = agg.withColumn("_nb", before + F.coalesce(F.sum("_bw").over(newer), F.lit(0)).cast("long"))
+    status = (F.when(F.col("_nb") + F.col("_bw") <= lim, F.lit("keep"))
+              .when(F.col("_nb") > lim, F.lit("drop")).otherwise(F.lit("edge")))
+    return b.withColumn("_st", status)
+
+
 def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None,
                 out: str = "keep") -> DataFrame:
     """Add boolean ``out``: row is among the newest whose running weight fits ``limit``.
@@ -32,35 +41,29 @@ def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = No
     ``limit`` is a number or a scalar column; ``weight`` defaults to 1 per row."""
     lim = limit if isinstance(limit, Column) else F.lit(limit)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = df.withColumn("_w", w)
-    base = F.lit(0).cast("long")
-    return _classify(rows, ts, tie, lim, out, 0, base)
-
-
-def _classify(rows: DataFrame, ts: str, tie: str, lim: Column, out: str, level: int,
-              before: Column) -> DataFrame:
-    """Rows carry ``_w``; ``before`` = weight of all rows newer than this set."""
-    if level >= len(_LEVELS):
-        # rows of one second: exact newest-first running sum
-        order = Window.partitionBy("_b").orderBy(F.col(ts).desc(), F.col(tie).desc()) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = rows.withColumn("_b", _bucket(ts, _LEVELS[-1]))
-        ranked = ranked.withColumn("_run", before + F.sum("_w").over(order))
-        return ranked.withColumn(out, F.col("_run") <= lim).drop("_b", "_run", "_w", "_before")
-    width = _LEVELS[level]
-    rows = rows.withColumn(f"_b{level}", _bucket(ts, width))
-    buckets = rows.groupBy(f"_b{level}").agg(F.sum("_w").alias("_bw"))
-    # the bucket table has one row per time bucket: a window over it stays small
-    newer = Window.orderBy(F.col(f"_b{level}").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_nb", F.coalesce(F.sum("_bw").over(newer), F.lit(0)).cast("long"))
-    tagged = rows.join(buckets, f"_b{level}")
-    cum_before = before + F.col("_nb")
-    status = (F.when(cum_before + F.col("_bw") <= lim, F.lit("keep"))
-              .when(cum_before > lim, F.lit("drop")).otherwise(F.lit("edge")))
-    tagged = tagged.withColumn("_st", status).withColumn("_before", cum_before)
-    decided = (tagged.filter(F.col("_st") != "edge")
-               .withColumn(out, F.col("_st") == "keep"))
-    edge = tagged.filter(F.col("_st") == "edge")
-    inner = _classify(edge.drop("_st", "_bw", "_nb"), ts, tie, lim, out, level + 1, F.col("_before"))
-    cols = [c for c in rows.columns if not c.startswith("_")] + [out]
-    return decided.select(*cols).unionByName(inner.select(*cols))
+    rows = materialize(df.withColumn("_w", w).withColumn("_h", _bucket(ts, 3600))
+                       .withColumn("_s", _bucket(ts, 1)), "keep_newest")
+    # level 1: hours (small table)
+    hours = _classify_buckets(rows.groupBy("_h").agg(F.sum("_w").alias("_bw")), "_h", F.lit(0).cast("long"), lim)
+    edge_h = hours.filter(F.col("_st") == "edge").select("_h", F.col("_nb").alias("_before_h"))
+    # level 2: seconds of the boundary hour only (at most 3600 rows)
+    in_edge = rows.join(F.broadcast(edge_h), "_h")  # at most one hour row
+    secs = _classify_buckets(in_edge.groupBy("_s", "_before_h").agg(F.sum("_w").alias("_bw")),
+                             "_s", F.first("_before_h").over(Window.orderBy("_s").rowsBetween(
+                                 Window.unboundedPreceding, Window.unboundedFollowing)), lim)
+    edge_s = secs.filter(F.col("_st") == "edge").select("_s", F.col("_nb").alias("_before_s"))
+    # level 3: rows of the boundary second, exact newest-first running sum
+    exact_rows = rows.join(F.broadcast(edge_s), "_s")  # at most one second row
+    order = Window.orderBy(F.col(ts).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = exact_rows.withColumn("_run", F.col("_before_s") + F.sum("_w").over(order)) \
+        .select(F.col("_s").alias("_xs"), F.col(ts).alias("_xts"), F.col(tie).alias("_xtie"),
+                (F.col("_run") <= lim).alias("_xkeep"))
+    tagged = (rows.join(F.broadcast(hours.select("_h", F.col("_st").alias("_sth"))), "_h", "left")
+              .join(F.broadcast(secs.select("_s", F.col("_st").alias("_sts"))), "_s", "left")
+              .join(exact, (F.col("_s") == F.col("_xs")) & (F.col(ts) == F.col("_xts")) & (F.col(tie) == F.col("_xtie")),
+                    "left"))
+    decided = (F.when(F.col("_sth") == "keep", F.lit(True)).when(F.col("_sth") == "drop", F.lit(False))
+               .when(F.col("_sts") == "keep", F.lit(True)).when(F.col("_sts") == "drop", F.lit(False))
+               .otherwise(F.coalesce(F.col("_xkeep"), F.lit(False))))
+    cols = [c for c in df.columns]
+    return tagged.select(*cols, decided.alias(out))

@@ -9,6 +9,7 @@ from pagecorpus.operators import label as L
 from pagecorpus.operators import safety as SF
 from pagecorpus.plans import sqlbits as S
 from pagecorpus.plans.registry import register
+from pagecorpus.session import materialize
 from pagecorpus.sources import derived as D
 from pagecorpus.sources.corpus import nodes_table
 from pagecorpus.sources.tables import read_table
@@ -69,7 +70,8 @@ def _dns(spark, sf_dir, hosts_df):
         .otherwise(F.concat(F.lit("93.184."), h.cast("string"), F.lit(".34"))).alias("ip"))
     literal = hosts_df.select("host").distinct().filter(SF.ip_number(F.col("host")).isNotNull()) \
         .select("host", F.col("host").alias("ip"))
-    return SF.label_addresses(named.unionByName(literal).distinct(), spark)
+    # one row per resolved host: written once, so later joins read a small table
+    return materialize(SF.label_addresses(named.unionByName(literal).distinct(), spark), "dns")
 
 
 def _blocks_sql() -> str:
@@ -127,7 +129,7 @@ def q_url_safety(spark, sf_dir):
     """O-U6 / O-U7 / O-U8: safety verdict (first failing rule) for every page URL and six
     derived variants; the policy domains are the allow-list; private resolution is an
     equi-join on the first octet against the fixed block table."""
-    v = _variants(spark, sf_dir)
+    v = materialize(_variants(spark, sf_dir), "variants")
     hosts = urls.add_url_parts(v.select("url"), "url").select(F.col("hostname").alias("host"))
     dns = _dns(spark, sf_dir, hosts)
     allowed = D.policies(spark, sf_dir).select("domain")
@@ -172,7 +174,7 @@ def _proxy_table(spark, sf_dir):
     hosts = urls.add_url_parts(px.select("proxy_url"), "proxy_url").select(F.col("hostname").alias("host"))
     dns = _dns(spark, sf_dir, hosts)
     out = SF.proxy_verdicts(px, "proxy_url", dns)
-    return urls.add_redacted(out, "proxy_url", "redacted")
+    return materialize(urls.add_redacted(out, "proxy_url", "redacted"), "proxies")  # one row per domain
 
 
 @register("proxy_validation", PROXY_VERDICT_SQL)

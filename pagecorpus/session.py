@@ -62,3 +62,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df, kind: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage (a lost executor re-reads the table instead of recomputing the plan) and
+    keeps the plan small when a result feeds several later steps."""
+    import os
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", kind, uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -75,19 +75,42 @@ def upsert_latest(rows: DataFrame, key: str = "cache_key",
     return rows.groupBy(key).agg(latest.alias("_r")).select(key, "_r.*")
 
 
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table written once per session under the shared checkpoint folder (the
+    store and the keyed frontier are tables in a deployment, not views recomputed per use)."""
+    import os
+    import uuid
+
+    from pagecorpus.session import checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _TABLES.get(key)
+    if path is None or not os.path.exists(path):
+        path = os.path.join(checkpoint_dir(spark), "derived", name, uuid.uuid4().hex)
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store: ``cache_key, url, final_url, status_code, fetched_at, expires_at, mode,
-    content_length, seq`` -- newest snapshot per canonical URL."""
-    raw = snapshots_raw(spark, sf_dir).join(page_keys(spark, sf_dir).select("page_id", "cache_key"), "page_id")
-    raw = raw.drop("page_id").withColumn("final_url", F.col("url"))
-    return upsert_latest(raw)
+    content_length, seq`` -- newest snapshot per canonical URL (written once per session)."""
+    def build():
+        raw = snapshots_raw(spark, sf_dir).join(page_keys(spark, sf_dir).select("page_id", "cache_key"), "page_id")
+        raw = raw.drop("page_id").withColumn("final_url", F.col("url"))
+        return upsert_latest(raw)
+    return _written(spark, sf_dir, "snapshots", build)
 
 
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, canonical_url, cache_key, domain)``: URL keys computed once per page
-    (not once per fetch), then joined to fetch rows by ``page_id``."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.add_url_keys(pages, "url")
+    (not once per fetch), then joined to fetch rows by ``page_id`` (written once per session)."""
+    def build():
+        pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+        return urls.add_url_keys(pages, "url")
+    return _written(spark, sf_dir, "page_keys", build)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
