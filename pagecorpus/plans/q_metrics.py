@@ -105,3 +105,13 @@ def q_metrics_exposition(spark, sf_dir):
     long = (_request_long(spark, sf_dir).unionByName(_cache_long(spark, sf_dir))
             .unionByName(_job_long(spark, sf_dir)).unionByName(_gauge_long(spark, sf_dir)))
     return M.exposition(long)
+
+
+@register("metrics_text_sink", None)
+def q_metrics_text_sink(spark, sf_dir):
+    """O-S7: the exposition written as a text file and read back (rows-only)."""
+    from pagecorpus.sources import sinks
+    from pagecorpus.streaming.streams import scratch
+    out = scratch(spark, "metrics_text")
+    sinks.write_metrics_text(q_metrics_exposition(spark, sf_dir), out)
+    return spark.read.text(out)

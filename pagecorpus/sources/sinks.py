@@ -62,3 +62,9 @@ def compact(spark: SparkSession, store: DataFrame, path: str, ts: str) -> DataFr
                        F.sum("s").alias("bytes"), F.sum("rows").alias("rows"))
 
     return files(before, "before").unionByName(files(after, "after"))
+
+
+def write_metrics_text(lines: DataFrame, path: str) -> None:
+    """O-S7: the exposition as one text file (metrics are a bounded set of lines, so one
+    ordered partition is safe)."""
+    lines.orderBy("metric", "line_no").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -173,3 +173,9 @@ def test_extraction_semantics(spark):
     r2 = {r.page_id: r for r in extract(nodes, nested, bases).collect()}
     assert r2[1].extracted is None
     assert r2[1].extraction_error.field == "price"
+
+
+def test_unknown_field_type_gives_outer_html(spark):
+    nodes = shred(spark.createDataFrame([(1, "<div><p class='a'>x &amp; y</p></div>")], "page_id long, html string"))
+    r = extract(nodes, {"raw": {"selector": "p", "type": "weird"}}).collect()[0]
+    assert r.extracted.raw == '<p class="a">x &amp; y</p>'
