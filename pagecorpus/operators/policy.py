@@ -23,12 +23,14 @@ def with_policy(df: DataFrame, policies: DataFrame, domain_col: str = "domain")
     """O-D1: attach the domain's policy, defaults filled in (exact domain match).
 
     The policy table has one row per configured domain -- a dimension whose size is the
-    number of configured domains, joined by broadcast."""
+    number of configured domains."""
     p = policies.select(
         F.col("domain").alias("_pd"), F.col("allowed").alias("_pa"),
         F.col("min_delay_seconds").alias("_pm"), F.col("max_concurrent_requests").alias("_pc"),
         F.col("default_ttl_seconds").alias("_pt"), F.lit(True).alias("_pf"))
-    j = df.join(F.broadcast(p), F.col(domain_col) == F.col("_pd"), "left")
+    # policy rows grow with the number of domains, so no forced broadcast: the size-based
+    # choice (and AQE at run time) broadcasts it only while it is small
+    j = df.join(p, F.col(domain_col) == F.col("_pd"), "left")
     return (j.withColumn("allowed", F.coalesce("_pa", F.lit(DEFAULT_POLICY["allowed"])))
             .withColumn("min_delay_seconds", F.coalesce(F.col("_pm").cast("double"),
                                                         F.lit(DEFAULT_POLICY["min_delay_seconds"])))

@@ -58,6 +58,7 @@ def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = No
     exact = exact_rows.withColumn("_run", F.col("_before_s") + F.sum("_w").over(order)) \
         .select(F.col("_s").alias("_xs"), F.col(ts).alias("_xts"), F.col(tie).alias("_xtie"),
                 (F.col("_run") <= lim).alias("_xkeep"))
+    # the hour table has one row per hour of the time span (87 600 rows for ten years)
     tagged = (rows.join(F.broadcast(hours.select("_h", F.col("_st").alias("_sth"))), "_h", "left")
               .join(F.broadcast(secs.select("_s", F.col("_st").alias("_sts"))), "_s", "left")
               .join(exact, (F.col("_s") == F.col("_xs")) & (F.col(ts) == F.col("_xts")) & (F.col(tie) == F.col("_xtie")),

@@ -87,7 +87,7 @@ def url_verdicts(df: DataFrame, url: str, dns_labels: DataFrame | None, allowed:
     u = F.col(url)
     if allowed is not None:
         al = allowed.select(urls.strip_www(F.col("domain")).alias("_al")).distinct().withColumn("_in", F.lit(True))
-        d = d.withColumn("_nh", urls.strip_www(host)).join(F.broadcast(al), F.col("_nh") == F.col("_al"), "left")
+        d = d.withColumn("_nh", urls.strip_www(host)).join(al, F.col("_nh") == F.col("_al"), "left")
         not_allowed = F.col("_in").isNull()
     else:
         not_allowed = F.lit(False)

@@ -224,7 +224,7 @@ def q_domain_settings(spark, sf_dir):
     x = D.fetch_log(spark, sf_dir).join(D.page_keys(spark, sf_dir).select("page_id", "domain"), "page_id") \
         .select("profile", "domain").distinct()
     pol = D.policies(spark, sf_dir)
-    fl = x.join(F.broadcast(pol), "domain").select(  # one row per configured domain
+    fl = x.join(pol, "domain").select(  # policy rows grow with domains: no forced broadcast
         "profile", "domain", F.inline(F.array(
             F.struct(F.lit("min_delay_seconds").alias("key"), F.col("min_delay_seconds").cast("double").cast("string").alias("value")),
             F.struct(F.lit("max_concurrent_requests").alias("key"), F.col("max_concurrent_requests").cast("string").alias("value")))),

@@ -42,6 +42,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def apply_session_conf(spark: SparkSession) -> None:
     """Pin the runtime settings the operators depend on (safe on an existing session)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # pages may be megabytes each: small Arrow batches into the shredder
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -76,3 +78,23 @@ def materialize(df, kind: str = "table"):
     path = os.path.join(checkpoint_dir(spark), "tables", kind, uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (local, HDFS or object store alike)."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries directly under ``path`` ([] when it does not exist)."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]

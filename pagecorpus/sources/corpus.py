@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecorpus.session import checkpoint_dir
+from pagecorpus.session import checkpoint_dir, fs_exists
 from pagecorpus.sources.shred import shred
 from pagecorpus.sources.tables import read_table, table_path
 
@@ -26,7 +26,7 @@ def nodes_table(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None
     src_key = key or table_path(sf_dir, "pages")
     cache_key = (spark.sparkContext.applicationId, src_key)
     path = _WRITTEN.get(cache_key)
-    if path is None:
+    if path is None or not fs_exists(spark, path):
         if pages is None:
             pages = read_table(spark, sf_dir, "pages")
         path = os.path.join(checkpoint_dir(spark), "nodes", uuid.uuid4().hex)

@@ -84,10 +84,10 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     import os
     import uuid
 
-    from pagecorpus.session import checkpoint_dir
+    from pagecorpus.session import checkpoint_dir, fs_exists
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _TABLES.get(key)
-    if path is None or not os.path.exists(path):
+    if path is None or not fs_exists(spark, path):
         path = os.path.join(checkpoint_dir(spark), "derived", name, uuid.uuid4().hex)
         build().write.mode("overwrite").parquet(path)
         _TABLES[key] = path

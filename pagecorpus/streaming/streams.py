@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pagecorpus.session import checkpoint_dir
+from pagecorpus.session import checkpoint_dir, fs_list
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -50,20 +50,16 @@ def ingest_snapshots(spark: SparkSession, source: str, schema, store_dir: str) -
     """O-T1: stream of snapshot rows -> upserted store; returns the final store."""
     from pagecorpus.sources.derived import upsert_latest
 
-    state = {"latest": None}
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        versions = sorted(int(v[1:]) for v in os.listdir(store_dir) if v.startswith("v")) \
-            if os.path.isdir(store_dir) else []
+        versions = sorted(int(v[1:]) for v in fs_list(spark, store_dir) if v.startswith("v"))
         prior = [v for v in versions if v < batch_id]
         rows = batch
         if prior:
             rows = rows.unionByName(batch.sparkSession.read.parquet(os.path.join(store_dir, f"v{prior[-1]}")))
         upsert_latest(rows).write.mode("overwrite").parquet(os.path.join(store_dir, f"v{batch_id}"))
-        state["latest"] = batch_id
 
     _run(_stream(spark, source, schema).writeStream.foreachBatch(merge), os.path.join(store_dir + "_ckpt"))
-    versions = sorted(int(v[1:]) for v in os.listdir(store_dir) if v.startswith("v"))
+    versions = sorted(int(v[1:]) for v in fs_list(spark, store_dir) if v.startswith("v"))
     return spark.read.parquet(os.path.join(store_dir, f"v{versions[-1]}"))
 
 
