@@ -101,7 +101,9 @@ def subtree_html(nodes: DataFrame, matches: DataFrame, inner: bool = True) -> Da
     """O-X3 (inner) / O-X14 (outer) markup of each match: ``(page_id, node_id, value)``."""
     m = matches.select("page_id", F.col("node_id").alias("_root")).distinct()
     span = F.slice("path", 1, F.size("path") - 1) if inner else F.col("path")
-    rows = nodes.select("*", F.explode(span).alias("_root")).join(m, ["page_id", "_root"], "left_semi")
+    # explode ids only, keep the (node, root) pairs inside a match, then join the node rows back
+    ids = nodes.select("page_id", "node_id", F.explode(span).alias("_root")).join(m, ["page_id", "_root"], "left_semi")
+    rows = ids.join(nodes, ["page_id", "node_id"])
     html = rebuild_html(rows, root_col="_root").withColumnRenamed("_root", "node_id")
     return (m.withColumnRenamed("_root", "node_id").join(html, ["page_id", "node_id"], "left")
             .select("page_id", "node_id", F.coalesce("html", F.lit("")).alias("value")))

@@ -25,11 +25,15 @@ def element_text(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     m = matches.select("page_id", "node_id").distinct()
     tags = nodes.select("page_id", "node_id", "tag")
     m = m.join(tags, ["page_id", "node_id"])
-    strings = (nodes.filter(F.col("kind").isin("text", "cdata", "ctext"))
-               .select("page_id", F.col("node_id").alias("sid"), "kind",
-                       py_strip(F.col("text")).alias("piece"),
-                       F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id")))
-    joined = strings.join(m, ["page_id", "node_id"])
+    # strip once per string (not once per ancestor row), drop empty pieces, then explode
+    pieces = (nodes.filter(F.col("kind").isin("text", "cdata", "ctext"))
+              .select("page_id", F.col("node_id").alias("sid"), "kind", "path",
+                      py_strip(F.col("text")).alias("piece"))
+              .filter(F.col("piece") != ""))
+    # only (string, ancestor) ids go through the explode; text joins back by string id
+    anc = pieces.select("page_id", "sid", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
+    pairs = anc.join(m, ["page_id", "node_id"])
+    joined = pairs.join(pieces.select("page_id", "sid", "kind", "piece"), ["page_id", "sid"])
     container = F.col("tag").isin(list(STRING_CONTAINERS))
     joined = joined.filter(F.when(container, F.col("kind") == "ctext")
                            .otherwise(F.col("kind").isin("text", "cdata")))

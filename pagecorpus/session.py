@@ -39,8 +39,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagecorpus`` importable in every Python worker (``mapInPandas`` /
+    ``applyInPandas`` functions are pickled by reference): zip the package once per Spark
+    context and add it with ``addPyFile`` -- the same as ``--py-files`` on a cluster."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="pagecorpus-pyfiles-", dir="/tmp")
+    zpath = os.path.join(out_dir, "pagecorpus.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def apply_session_conf(spark: SparkSession) -> None:
     """Pin the runtime settings the operators depend on (safe on an existing session)."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # pages may be megabytes each: small Arrow batches into the shredder
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
