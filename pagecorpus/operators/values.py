@@ -16,6 +16,34 @@ from pagecorpus.operators.nodes import ordered_join
 from pagecorpus.sources.shred import STRING_CONTAINERS
 
 
+_INDEX: dict[tuple, tuple[str, str]] = {}
+
+
+def string_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pieces(page_id, sid, kind, piece)`` -- every non-empty stripped string -- and
+    ``anc(page_id, sid, node_id)`` -- each string's strict ancestors.
+
+    Strings are stripped once (not once per ancestor row) and only ids go through the
+    explode.  For a written node table both are written once next to it (an index built
+    once per corpus, shared by every text field and query)."""
+    pieces = (nodes.filter(F.col("kind").isin("text", "cdata", "ctext"))
+              .select("page_id", F.col("node_id").alias("sid"), "kind", "path",
+                      py_strip(F.col("text")).alias("piece"))
+              .filter(F.col("piece") != ""))
+    anc = pieces.select("page_id", "sid", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
+    pieces = pieces.drop("path")
+    spark = nodes.sparkSession
+    from pagecorpus.session import fs_exists, materialize_at
+    # keyed by the canonical plan of the node table (a cleaned table gets its own index)
+    key = (spark.sparkContext.applicationId, nodes._jdf.queryExecution().analyzed().semanticHash())
+    got = _INDEX.get(key)
+    if got is None or not all(fs_exists(spark, p) for p in got):
+        (pw, pp), (aw, ap) = materialize_at(pieces, "string_pieces"), materialize_at(anc, "string_ancestors")
+        _INDEX[key] = (pp, ap)
+        return pw, aw
+    return spark.read.parquet(got[0]), spark.read.parquet(got[1])
+
+
 def element_text(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     """``matches(page_id, node_id)`` -> ``(page_id, node_id, value)``, one row per match.
 
@@ -25,15 +53,9 @@ def element_text(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     m = matches.select("page_id", "node_id").distinct()
     tags = nodes.select("page_id", "node_id", "tag")
     m = m.join(tags, ["page_id", "node_id"])
-    # strip once per string (not once per ancestor row), drop empty pieces, then explode
-    pieces = (nodes.filter(F.col("kind").isin("text", "cdata", "ctext"))
-              .select("page_id", F.col("node_id").alias("sid"), "kind", "path",
-                      py_strip(F.col("text")).alias("piece"))
-              .filter(F.col("piece") != ""))
-    # only (string, ancestor) ids go through the explode; text joins back by string id
-    anc = pieces.select("page_id", "sid", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
+    pieces, anc = string_index(nodes)
     pairs = anc.join(m, ["page_id", "node_id"])
-    joined = pairs.join(pieces.select("page_id", "sid", "kind", "piece"), ["page_id", "sid"])
+    joined = pairs.join(pieces, ["page_id", "sid"])
     container = F.col("tag").isin(list(STRING_CONTAINERS))
     joined = joined.filter(F.when(container, F.col("kind") == "ctext")
                            .otherwise(F.col("kind").isin("text", "cdata")))

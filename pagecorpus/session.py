@@ -96,6 +96,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df, kind: str = "table"):
+    return materialize_at(df, kind)[0]
+
+
+def materialize_at(df, kind: str = "table"):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor re-reads the table instead of recomputing the plan) and
@@ -106,7 +110,7 @@ def materialize(df, kind: str = "table"):
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", kind, uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def _fs(spark: SparkSession, path: str):
