@@ -29,6 +29,12 @@ def nodes_table(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None
     if path is None or not fs_exists(spark, path):
         if pages is None:
             pages = read_table(spark, sf_dir, "pages")
+        # Parsing is CPU-bound Python: when the input has fewer splits than the cluster has
+        # cores (one large file, one row group), spread pages round-robin first.  A large
+        # corpus already has many splits and is never shuffled here.
+        target = spark.sparkContext.defaultParallelism
+        if pages.rdd.getNumPartitions() < target:
+            pages = pages.repartition(target)
         path = os.path.join(checkpoint_dir(spark), "nodes", uuid.uuid4().hex)
         # One file group per page-id range keeps each page's nodes together on disk.
         shred(pages).write.mode("overwrite").parquet(path)
