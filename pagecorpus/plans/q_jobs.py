@@ -73,19 +73,23 @@ SELECT job_id, status, created_at, CAST(row_number() OVER (ORDER BY created_at D
 def q_job_listing(spark, sf_dir):
     """O-S4: job listing, newest first, with its position and the total count.
 
-    The position is a global rank: computed as (rows in newer hours) + (rank inside the
-    hour), so no window ever holds the whole table."""
+    The position is a global rank built in three levels, so no window holds the table:
+    jobs in newer hours (prefix over the hour table) + jobs in newer seconds of the same
+    hour (window per hour over at most 3 600 second rows) + the rank inside the second."""
+    from pyspark.sql import Window
     jb = D.jobs(spark, sf_dir).select("job_id", "status", "created_at")
     total = jb.select(F.count(F.lit(1))).scalar()
-    from pagecorpus.operators.retention import keep_newest  # noqa: F401  (same bucket idea)
-    from pyspark.sql import Window
-    jb = jb.withColumn("_h", F.date_trunc("hour", "created_at"))
+    jb = (jb.withColumn("_h", F.date_trunc("hour", "created_at"))
+          .withColumn("_s", F.date_trunc("second", "created_at")))
     hours = jb.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    hours = hours.withColumn("_newer", F.coalesce(F.sum("_n").over(
+    hours = hours.withColumn("_newer_h", F.coalesce(F.sum("_n").over(
         Window.orderBy(F.col("_h").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("_h").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
-    ranked = jb.join(hours.select("_h", "_newer"), "_h").withColumn(
-        "position", (F.col("_newer") + F.row_number().over(inner)).cast("long"))
+    secs = jb.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    secs = secs.withColumn("_newer_s", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_h").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = Window.partitionBy("_s").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
+    ranked = (jb.join(hours.select("_h", "_newer_h"), "_h").join(secs.select("_s", "_newer_s"), "_s")
+              .withColumn("position", (F.col("_newer_h") + F.col("_newer_s") + F.row_number().over(inner)).cast("long")))
     return ranked.select("job_id", "status", "created_at", "position", total.cast("long").alias("total"))
 
 
