@@ -32,8 +32,21 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 
 def write_source_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
-    """Land a table as ``n_files`` parquet files cut by ``order_col`` ranges (a stream's input)."""
+    """Land a table as ``n_files`` parquet files cut by ``order_col`` ranges (a stream's input).
+
+    The file source reads files in modification-time order; parallel writers finish in any
+    order, so the files' times are set in range order afterwards (Hadoop file-system API),
+    making every replay see the ranges oldest first."""
+    spark = df.sparkSession
     df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())  # part-00000.. follow the range order
+    base = int(fs.getFileStatus(root).getModificationTime())
+    for i, p in enumerate(parts):
+        fs.setTimes(p, base + 1000 * (i + 1), -1)
     return path
 
 
