@@ -155,25 +155,25 @@ def pacing_plan_slots(requests: DataFrame, domain: str = "domain", ts: str = "re
     """O-D4: pacing with ``max_concurrent_requests`` slots per domain.
 
     A k-slot queue has no closed form, so it runs as a stateful stream keyed by domain over
-    the log landed as one file per day: each micro-batch holds one day, the state per
-    domain is k numbers, so a dominant domain is split into daily pieces instead of one
-    task holding all of its rows."""
-    import os
-
+    the log landed as time-ordered range files: each micro-batch holds one time range, the
+    state per domain is k numbers, so a dominant domain is split into range pieces instead
+    of one task holding all of its rows."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    from pagecorpus.streaming.streams import scratch
+    from pagecorpus.streaming.streams import scratch, write_source_files
     spark = requests.sparkSession
     rows = requests.select(
         F.col("request_id"), F.col(domain).alias("domain"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("arr_us"), (F.col(dur_ms) * 1000).alias("dur_us"),
         (F.col("min_delay_seconds") * 1_000_000).cast("long").alias("delay_us"),
-        F.col("max_concurrent_requests").cast("int").alias("k"), F.to_date(ts).alias("day"))
+        F.col("max_concurrent_requests").cast("int").alias("k"))
     src = scratch(spark, "slots_src")
-    days = [r[0] for r in rows.select("day").distinct().orderBy("day").collect()]  # one row per day
-    for d in days:  # land one file per day, in day order (the stream reads them in that order)
-        rows.filter(F.col("day") == d).drop("day").coalesce(1).write.mode("append").parquet(src)
-    schema = rows.drop("day").schema
+    # land the log once as time-ordered range files (about 5 M rows each, at least one per
+    # core); the stream reads them oldest first, one range per micro-batch
+    n_rows = rows.count()
+    n_files = max(spark.sparkContext.defaultParallelism, -(-n_rows // 5_000_000))
+    write_source_files(rows, src, n_files, "arr_us")
+    schema = rows.schema
     out = scratch(spark, "slots_out")
     plan = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
             .groupBy("domain").applyInPandasWithState(
