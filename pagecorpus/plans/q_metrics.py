@@ -99,12 +99,34 @@ def q_metrics_gauges(spark, sf_dir):
     return _gauge_long(spark, sf_dir)
 
 
-@register("metrics_exposition", None)
+def _exposition_sql() -> str:
+    """Twin of the exposition: the per-family counter queries as subqueries, then the
+    HELP / TYPE / value lines (all exposed values are integral)."""
+    fams = [S.with_views(["fetch_log"], REQUEST_COUNTERS_SQL).replace(
+                "\n  UNION ALL SELECT 'scrape_duration_ms_avg', avg(elapsed_ms) FROM fetch_log)", ")"),
+            CACHE_COUNTERS_SQL, JOB_COUNTERS_SQL, GAUGES_SQL]
+    helps = ", ".join(f"('{m}', '{h}')" for m, (_k, h) in M.METRIC_HELP.items())
+    union = " UNION ALL ".join(f"SELECT metric, kind, value FROM ({q})" for q in fams)
+    return f"""WITH m AS ({union}),
+help(metric, text) AS (VALUES {helps}),
+mh AS (SELECT m.metric, m.kind, m.value, coalesce(h.text, replace(m.metric, '_', ' ')) AS text
+       FROM m LEFT JOIN help h USING (metric))
+SELECT metric, 0 AS line_no, '# HELP ' || metric || ' ' || text AS line FROM mh
+UNION ALL SELECT metric, 1, '# TYPE ' || metric || ' ' || kind FROM mh
+UNION ALL SELECT metric, 2, metric || ' ' || CAST(CAST(value AS BIGINT) AS VARCHAR) FROM mh"""
+
+
+def _exposed_long(spark, sf_dir):
+    # the text format prints the latency sum; the mean is derived by the reader
+    req = _request_long(spark, sf_dir).filter(F.col("metric") != "scrape_duration_ms_avg")
+    return (req.unionByName(_cache_long(spark, sf_dir)).unionByName(_job_long(spark, sf_dir))
+            .unionByName(_gauge_long(spark, sf_dir)))
+
+
+@register("metrics_exposition", _exposition_sql())
 def q_metrics_exposition(spark, sf_dir):
     """O-M9 / O-S7: the text exposition of all rolled-up metrics (HELP, TYPE, value lines)."""
-    long = (_request_long(spark, sf_dir).unionByName(_cache_long(spark, sf_dir))
-            .unionByName(_job_long(spark, sf_dir)).unionByName(_gauge_long(spark, sf_dir)))
-    return M.exposition(long)
+    return M.exposition(_exposed_long(spark, sf_dir))
 
 
 @register("metrics_text_sink", None)
