@@ -94,12 +94,14 @@ def q_response_records(spark, sf_dir):
                     F.col("metadata.cache_key").alias("cache_key"), F.col("metadata.profile_name").alias("profile_name"))
 
 
-@register("response_json_sink", None)
+@register("response_json_sink", "SELECT request_id, url, CAST(status_code AS INTEGER) AS status_code, from_cache FROM ("
+          + RESPONSE_SQL + ")")
 def q_response_json_sink(spark, sf_dir):
     """O-S6: response records written as JSON lines (partitioned by mode) and read back."""
     out = scratch(spark, "responses")
     sinks.write_responses(_responses(spark, sf_dir), out)
-    return spark.read.json(out).select("request_id", "url", "status_code", "from_cache")
+    back = spark.read.schema("request_id long, url string, status_code int, from_cache boolean").json(out)
+    return back.select("request_id", "url", "status_code", "from_cache")
 
 
 DUMP_SQL = """
@@ -116,13 +118,17 @@ def q_html_dump_names(spark, sf_dir):
                     F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1).alias("domain"))
 
 
-@register("html_dump_sink", None)
+@register("html_dump_sink", """
+SELECT regexp_extract(url, '^https?://(?:www\\.)?([^/:?#]+)', 1) AS domain,
+       left(replace(replace(replace(url, '://', '_'), '/', '_'), '?', '_'), 100) || '.html' AS file_name,
+       CAST(length(html) AS INTEGER) AS n_chars FROM pages""")
 def q_html_dump_sink(spark, sf_dir):
     """O-S5: pages written by the dump sink (parquet partitioned by domain, named rows)."""
     from pagecorpus.sources.tables import read_table
     out = scratch(spark, "dump")
     sinks.write_html_dump(read_table(spark, sf_dir, "pages"), out)
-    return spark.read.parquet(out).select("domain", "file_name", F.length("html").alias("n_chars"))
+    back = spark.read.option("basePath", out).schema("file_name string, html string, domain string").parquet(out)
+    return back.select("domain", "file_name", F.length("html").cast("int").alias("n_chars"))
 
 
 REQUEST_SOURCE_SQL = S.with_views(["fetch_log", "page_keys"], """
