@@ -152,3 +152,26 @@ def q_clean_content(spark, sf_dir):
     nodes = nodes_table(spark, sf_dir)
     html = C.rebuild_html(C.clean_nodes(nodes, CONTENT))
     return html.select("page_id", F.length("html").alias("content_length"), "html")
+
+
+LIGHT = C.resolve_features("light")
+
+MINIFIED_SQL = f"""
+SELECT page_id, CAST(len(list_filter(regexp_split_to_array(h, '<[^>]*>'),
+                                     lambda pc: regexp_matches(pc, '[^{S.WS[1:-1]}]'))) AS BIGINT) AS n_text_nodes
+FROM (SELECT page_id,
+        regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '<c>', 'g'),
+                       '(?si)<(script|style)\\b([^>]*)>(.+?)</(script|style)\\s*>', '<\\1\\2>x</\\4>', 'g') AS h
+      FROM pages)"""
+
+
+@register("clean_minified_text_nodes", MINIFIED_SQL)
+def q_clean_minified_text_nodes(spark, sf_dir):
+    """O-H12 / O-H13: text nodes left per page after the light preset -- comments removed,
+    whitespace collapsed, blank strings dropped by minify (script / style text preserved)."""
+    nodes = nodes_table(spark, sf_dir)
+    kept = C.clean_nodes(nodes, LIGHT).filter(F.col("kind").isin("text", "ctext"))
+    pages = nodes.filter(F.col("node_id") == 0).select("page_id")
+    counts = kept.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_text_nodes"))
+    return pages.join(counts, "page_id", "left").select(
+        "page_id", F.coalesce("n_text_nodes", F.lit(0)).cast("long").alias("n_text_nodes"))
