@@ -75,24 +75,35 @@ def apply_session_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts and written intermediates.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file system).
-    Only when it is unset -- local tests -- a fresh scratch folder is created and set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    Only when it is unset -- local tests -- a scratch folder is created once per Spark
+    context (core configs cannot be changed on a running session, so it is remembered
+    here and given to ``setCheckpointDir``)."""
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:
+        configured = None
+    sc = spark.sparkContext
+    if not configured:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="pagecorpus-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    app = sc.applicationId
+    if app not in _LOCAL_CKPT:
+        _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="pagecorpus-ckpt-", dir="/tmp")
+        sc.setCheckpointDir(_LOCAL_CKPT[app])
+    return sc.getCheckpointDir() or _LOCAL_CKPT[app]
 
 
 def materialize(df, kind: str = "table"):
