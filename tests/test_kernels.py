@@ -179,3 +179,19 @@ def test_unknown_field_type_gives_outer_html(spark):
     nodes = shred(spark.createDataFrame([(1, "<div><p class='a'>x &amp; y</p></div>")], "page_id long, html string"))
     r = extract(nodes, {"raw": {"selector": "p", "type": "weird"}}).collect()[0]
     assert r.extracted.raw == '<p class="a">x &amp; y</p>'
+
+
+def test_string_index_is_per_node_table(spark):
+    """Text from a cleaned node table must not reuse the raw table's string index."""
+    from pagecorpus.operators.select import select_nodes
+    from pagecorpus.operators.values import element_text
+    raw = shred(spark.createDataFrame([(1, "<div>a   b<script>drop()</script></div>")], "page_id long, html string"))
+    feats = {f: False for f in C.FEATURES}
+    feats["collapse_whitespace"] = True
+    cleaned = C.clean_nodes(raw, feats)
+    m_raw = select_nodes(raw, "div").select("page_id", "node_id")
+    m_clean = select_nodes(cleaned, "div").select("page_id", "node_id")
+    assert element_text(raw, m_raw).collect()[0].value == "a   b"
+    assert element_text(cleaned, m_clean).collect()[0].value == "a b"
+    script = select_nodes(raw, "script").select("page_id", "node_id")
+    assert element_text(raw, script).collect()[0].value == "drop()"
