@@ -86,7 +86,7 @@ def spans(docs: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(h), dtype="Int64") if pd.isna(doc_id) else np.full(len(h), int(doc_id)),
                                         "key": np.full(len(h), key), "p": np.arange(len(h), dtype=np.int32), "h": h})
     grams = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInPandas(run, "doc_id long, key long, p int, h long")
-    hits = grams.join(template_positions(spark), "h")
+    hits = grams.join(F.broadcast(template_positions(spark)), "h")  # a few hundred rows, fixed in this module
     votes = (hits.groupBy("doc_id", "key", "template", (F.col("p") - F.col("q")).alias("diagonal"))
              .agg(F.countDistinct("p").alias("votes")))
     near = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
