@@ -96,14 +96,65 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+class CodeTable:
+    """Place of each distinct code, by open addressing with whole arrays at a time."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.codes = np.empty(0, np.uint64)
+        self._make(room)
+
+    def _make(self, room: int) -> None:
+        self.shift = np.uint64(64 - (room.bit_length() - 1))
+        self.mask = room - 1
+        self.slots = np.full(room, -1, np.int32)
+        self._place(np.arange(len(self.codes), dtype=np.int32))
+
+    def _start(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _place(self, which: np.ndarray) -> None:
+        at = self._start(self.codes[which])
+        while len(which):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = which[free]  # of several at one slot the last one stays
+            lost = self.slots[at] != which
+            which, at = which[lost], at[lost] + 1 & self.mask
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code, -1 if it is not there."""
+        if not len(self.codes):
+            return np.full(len(codes), -1, np.int32)
+        at = self._start(codes)
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.codes[out] != codes))
+        while len(todo):
+            at[todo] = at[todo] + 1 & self.mask
+            got = self.slots[at[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.codes[got] != codes[todo])]
+        return out
+
+    def add(self, codes: np.ndarray) -> None:
+        """Distinct codes that are not there yet."""
+        old = len(self.codes)
+        self.codes = np.concatenate([self.codes, codes])
+        if len(self.codes) * 3 > len(self.slots):
+            self._make(1 << (len(self.codes) * 6).bit_length())
+        else:
+            self._place(np.arange(old, len(self.codes), dtype=np.int32))
+
+
 def block_pairs(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of the texts and their counts among the training rows."""
-    keys, counts = [], []
+    """Distinct pairs of the texts, in order, and their counts among the training rows."""
+    table, counts = CodeTable(), np.zeros(0, np.int64)
     for code, row in pieces(texts):
-        u, n = np.unique(code << np.uint64(1) | train[row].astype(np.uint64), return_counts=True)
-        keys.append(u >> np.uint64(1))
-        counts.append(n * (u & np.uint64(1)).astype(np.int64))
-    return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        new = np.unique(code[table.find(code) < 0])
+        if len(new):
+            table.add(new)
+            counts = np.concatenate([counts, np.zeros(len(new), np.int64)])
+        counts += np.bincount(table.find(code[train[row]]), minlength=len(counts))
+    order = np.argsort(table.codes)
+    return table.codes[order], counts[order]
 
 
 def ranges_of(codes: np.ndarray, n: int) -> np.ndarray:
@@ -291,24 +342,24 @@ def score(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
 
     def run(pdf, got):
         texts = [C.text_bytes(t) for t in pdf["text"]]
-        codes = [C.unpack_sorted(x) for x in got["codes"]]
-        lp = [np.frombuffer(x, "<f4") for x in got["log10_p"]]
-        codes, lp = (np.concatenate(codes), np.concatenate(lp)) if codes else (np.empty(0, np.uint64), np.empty(0, np.float32))
-        order = np.argsort(codes)
-        codes, lp = codes[order], lp[order].astype(float)
+        table = CodeTable()
+        if len(got):
+            table.add(np.concatenate([C.unpack_sorted(x) for x in got["codes"]]))
+        lp = np.concatenate([np.empty(0), *(np.frombuffer(x, "<f4") for x in got["log10_p"])])
         points = np.zeros(len(texts))
         for code, row in pieces(texts):
-            points += np.bincount(row, lp[np.searchsorted(codes, code)], len(texts))
-        known: dict[bytes, tuple] = {}
+            points += np.bincount(row, lp[table.find(code)], len(texts))
+        known: dict[bytes, float] = {}
         for some, c in zip(got["words"], got["word_counts"], strict=True):
-            c = C.unpack(c, "<i8")
-            known.update(zip(C.zlib.decompress(some).split(), zip(np.log10((c + 0.1) / floor).tolist(), (c > 0).tolist(), strict=True), strict=True))
+            known.update(zip(C.zlib.decompress(some).split(), np.log10((C.unpack(c, "<i8") + 0.1) / floor).tolist(), strict=True))
+        unseen = math.log10((0 + 0.1) / floor)
         end_point = math.log10((ends + 0.1) / floor)
         out = []
         for i, (doc_id, held, t) in enumerate(zip(pdf["doc_id"], pdf["held_out"], texts, strict=True)):
-            found = [known[w] for w in t.split()]
-            base = math.fsum(f[0] for f in found) + end_point
-            out.append((doc_id, bool(held), len(found) + 1, sum(f[1] for f in found) + (ends > 0), total, base, points[i],
+            words = t.split()
+            found = np.fromiter(map(known.__getitem__, words), float, len(words))
+            n_known = np.count_nonzero(found > unseen + 1e-9) + (ends > 0)
+            out.append((doc_id, bool(held), len(words) + 1, n_known, total, float(found.sum()) + end_point, points[i],
                         -points[i] / math.log10(2) / (len(t) + 1)))
         made = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         return made.astype({"doc_id": "Int64", "n_known": "int64"})
