@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,42 +39,80 @@ from pagecorpus.session import checkpoint_dir, materialize
 END = 0
 TARGET = 32 * C.MB
 BLOCK_TOKENS = 1 << 18
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
+#: Letters and signs that every Unicode version classes alike.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[^ \n{_LETTERS}0-9{_SIGNS}]")
+#: The tokenizer's own cut of such a text into words.
+_WORD = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \n]+(?![^ \n])|[ \n]+")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
+class Pieces(dict):
+    """Ids of a piece as bytes, made when first asked for.  Two generations bound the memory: when
+    the young one is full it becomes the old one, so frequent pieces stay."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)``."""
+    """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)``.
+
+    The tokenizer cuts a text into words and encodes each alone, so words (or, in texts with
+    other signs, pieces of white space and what follows it) are encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        #: Two bytes for each id if the vocabulary allows it.
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        self.whole = Pieces(self.encode)
+        self.words = Pieces(self.word)
+        cut = ByteLevel(add_prefix_space=False, use_regex=False)
+        # bytes as the vocabulary writes them
+        self.letters = str.maketrans({chr(b): cut.pre_tokenize_str(chr(b))[0][0] for b in range(128)})
+        for b in range(128, 256):  # second bytes of two-byte characters, and their first bytes
+            two = cut.pre_tokenize_str(chr(0x80 + (b & 0x3F)) if b < 0xC0 else chr(max(0x80, (b & 0x1F) << 6)))[0][0] if b < 0xE0 else None
+            if two:
+                self.letters[b] = two[1] if b < 0xC0 else two[0]
+
+    def word(self, piece: str) -> bytes:
+        """Ids of one word of plain signs: the tokenizer's model alone, without its cutting."""
+        return array(self.code, [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+            got = self.encode(text)
+        elif _PLAIN.search(text):
+            got = b"".join(map(self.whole.__getitem__, _PIECE.findall(text)))
+        else:
+            got = b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+        return np.frombuffer(got, "<u2" if self.code == "H" else "<u4")
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        cut: list = []
-        new: dict[str, None] = {}
-        for t in texts:
-            if _UNUSUAL.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-                continue
-            p = _PIECE.findall(t)
-            cut.append(p)
-            new.update(dict.fromkeys(x for x in p if x not in self.pieces))
-        if new:
-            fresh = list(new)
-            for piece, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.pieces.__getitem__
-        return [np.frombuffer(self.whole(t) if p is None else b"".join(map(get, p)), "<u4") for t, p in zip(texts, cut, strict=True)]
+        self.whole.turn()
+        self.words.turn()
+        return [self.ids(t) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -92,34 +132,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 # ---- the byte coding -------------------------------------------------------------------------
-_SHIFTS = np.array([0, 8, 16, 24], np.uint32)
 #: Lengths of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
 
 
 def encode_values(v: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    v = v.astype("<u4")
-    extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[:len(v)] = extra
-    q = padded.reshape(-1, 4)
-    control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    used = np.arange(4) <= extra[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    most = int(v.max()) if len(v) else 0
+    width = 2 if most <= 0xFFFF else 4
+    v = v.astype(f"<u{width}")
+    extra = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    extra[:len(v)] = v > 0xFF
+    if width > 2:
+        extra[:len(v)] += (v > 0xFFFF).view(np.uint8) + (v > 0xFFFFFF).view(np.uint8)
+    control = extra[0::4] | extra[1::4] << 2 | extra[2::4] << 4 | extra[3::4] << 6
+    used = np.arange(width, dtype=np.uint8) <= extra[:len(v), None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, width)[used].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    d = np.frombuffer(data + b"\0\0\0", np.uint8)
     at = np.cumsum(lengths, dtype=np.int64) - lengths
-    v = d[at].astype(np.uint32)
-    for j in (1, 2, 3):
-        if not (lengths > j).any():
-            break
-        v |= d[at + j].astype(np.uint32) << _SHIFTS[j]
-    return v & _MASKS[lengths]
+    width = int(lengths.max()) if n else 1
+    d = np.frombuffer(data + b"\0\0\0", np.uint8)
+    runs = d[:len(data)].astype(np.uint16 if width <= 2 else np.uint32)  # the bytes from each place on as one number
+    for j in range(1, width):
+        runs |= d[j:len(data) + j].astype(runs.dtype) << runs.dtype.type(8 * j)
+    return (runs[at] & _MASKS.astype(runs.dtype)[lengths]).astype(np.uint32)
 
 
 # ---- writing ---------------------------------------------------------------------------------
@@ -127,12 +167,17 @@ _BLOCK = "shard int, block int, doc_ids binary, counts binary, ids binary"
 _NULL = np.iinfo(np.int64).min
 
 
+_SQUEEZE, _RESTORE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _narrow(ids: np.ndarray) -> bytes:
-    return C.pack(ids.astype("<u4") if len(ids) and ids.max() > 0xFFFF else ids.astype("<u2")) + (b"4" if len(ids) and ids.max() > 0xFFFF else b"2")
+    """Ids in 2 (or 4) bytes each, compressed; the last byte tells which."""
+    wide = ids.itemsize > 2 and len(ids) > 0 and ids.max() > 0xFFFF
+    return _SQUEEZE.compress(ids.astype("<u4" if wide else "<u2").tobytes()) + (b"4" if wide else b"2")
 
 
 def _wide(b: bytes) -> np.ndarray:
-    return C.unpack(b[:-1], "<u4" if b[-1:] == b"4" else "<u2").astype(np.uint32)
+    return np.frombuffer(_RESTORE.decompress(b[:-1]), "<u4" if b[-1:] == b"4" else "<u2")
 
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
@@ -145,7 +190,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         enc = encoder(path)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            ids = [_narrow(np.append(x, np.uint32(end))) for x in enc.texts(texts)]
+            ids = [_narrow(np.append(x, x.dtype.type(end))) for x in enc.texts(texts)]
             yield pd.DataFrame({"shard": pdf["_bucket"], "doc_id": pdf["doc_id"].astype("Int64"), "tie": texts_hash(texts), "ids": ids})
 
     def blocks(batches):
