@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.llm import common as C
+from pagecorpus.llm.common import CodeTable
 from pagecorpus.session import materialize
 
 DEPTH = 5
@@ -96,54 +97,6 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-class CodeTable:
-    """Place of each distinct code, by open addressing with whole arrays at a time."""
-
-    def __init__(self, room: int = 1 << 16):
-        self.codes = np.empty(0, np.uint64)
-        self._make(room)
-
-    def _make(self, room: int) -> None:
-        self.shift = np.uint64(64 - (room.bit_length() - 1))
-        self.mask = room - 1
-        self.slots = np.full(room, -1, np.int32)
-        self._place(np.arange(len(self.codes), dtype=np.int32))
-
-    def _start(self, codes: np.ndarray) -> np.ndarray:
-        return (codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def _place(self, which: np.ndarray) -> None:
-        at = self._start(self.codes[which])
-        while len(which):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = which[free]  # of several at one slot the last one stays
-            lost = self.slots[at] != which
-            which, at = which[lost], at[lost] + 1 & self.mask
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Place of each code, -1 if it is not there."""
-        if not len(self.codes):
-            return np.full(len(codes), -1, np.int32)
-        at = self._start(codes)
-        out = self.slots[at]
-        todo = np.flatnonzero((out >= 0) & (self.codes[out] != codes))
-        while len(todo):
-            at[todo] = at[todo] + 1 & self.mask
-            got = self.slots[at[todo]]
-            out[todo] = got
-            todo = todo[(got >= 0) & (self.codes[got] != codes[todo])]
-        return out
-
-    def add(self, codes: np.ndarray) -> None:
-        """Distinct codes that are not there yet."""
-        old = len(self.codes)
-        self.codes = np.concatenate([self.codes, codes])
-        if len(self.codes) * 3 > len(self.slots):
-            self._make(1 << (len(self.codes) * 6).bit_length())
-        else:
-            self._place(np.arange(old, len(self.codes), dtype=np.int32))
-
-
 def block_pairs(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of the texts, in order, and their counts among the training rows."""
     table, counts = CodeTable(), np.zeros(0, np.int64)

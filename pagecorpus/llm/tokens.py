@@ -11,9 +11,9 @@ and token counts of the block's documents, the control bytes and the data bytes.
 (one row for each used id) stands beside them.  Parquet is the container since Spark writes it to
 any shared store; the payload is decoded from the two byte strings alone.
 
-Work is stateless per word: the tokenizer splits before white space that follows other text, so
-a piece of white space and the word after it is encoded once and remembered (a bounded cache).
-Texts with unusual white space or special-token strings go to the tokenizer whole.
+The tokenizer cuts texts into words and encodes each alone, so a distinct word is encoded once by
+the tokenizer's model and remembered in a table of bounded size.  Texts with other signs go to the
+tokenizer in pieces that it cuts anyway, texts with unusual white space or special-token strings whole.
 
 Defined results: a null text is empty and has only the end id; documents stand in ascending
 doc_id order (nulls first), equal ids by text; an empty table gives no rows.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -34,12 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagecorpus.llm import common as C
+from pagecorpus.llm.common import CodeTable
 from pagecorpus.session import checkpoint_dir, materialize
 
 END = 0
 TARGET = 32 * C.MB
 BLOCK_TOKENS = 1 << 18
-CACHE_PIECES = 450_000
+#: Distinct words kept by a process before its table is emptied (about 40 bytes each).
+CACHE_WORDS = 1_500_000
+#: Text cut at a time.
+CUT_BYTES = 1 << 19
 #: Letters and signs that every Unicode version classes alike.
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[^ \n{_LETTERS}0-9{_SIGNS}]")
@@ -49,31 +52,51 @@ _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
-class Pieces(dict):
-    """Ids of a piece as bytes, made when first asked for.  Two generations bound the memory: when
-    the young one is full it becomes the old one, so frequent pieces stay."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.make(piece)
-        self[piece] = ids
-        return ids
-
-    def turn(self) -> None:
-        if len(self) > CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
+#: Kind of each byte of such a text: 0 space, 1 line feed, 2 letter, 3 digit, 4 sign.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[0x20, 0x0A]] = 0, 1
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 2
+_KIND[0x30:0x3A] = 3
+_BASE = 0x2545F4914F6CDD1D
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of the hash base and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) <= n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 18) + 1, x, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def cut_words(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the words that the tokenizer's pattern (``_WORD``) cuts out of the bytes of plain
+    texts that begin at the places ``first``: a space goes with the run of letters, digits or signs after
+    it, all but the last white space before a word stand together, and a line feed alone."""
+    kind = _KIND[a]
+    white = kind < 2
+    before = np.empty(len(a), np.uint8)
+    before[1:] = kind[:-1]
+    after_white = np.empty(len(a), bool)
+    after_white[1:] = white[:-1]
+    after_white[first] = False
+    solid_next = np.zeros(len(a), bool)
+    solid_next[:-1] = ~white[1:]
+    solid_next[first[1:] - 1] = False  # the next text's
+    start = np.where(white, ~after_white | solid_next, np.where(after_white, before == 1, kind != before))
+    start[first] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)``.
 
-    The tokenizer cuts a text into words and encodes each alone, so words (or, in texts with
-    other signs, pieces of white space and what follows it) are encoded once."""
+    The tokenizer cuts a text into words and encodes each alone.  Plain texts (letters, digits, signs,
+    spaces and line feeds that every Unicode version classes alike) are cut with whole arrays, and each
+    distinct word, named by a 64-bit hash, is encoded once by the tokenizer's model and kept in a table of
+    bounded size.  In other texts, pieces of white space and what follows it go to the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,37 +105,88 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         #: Two bytes for each id if the vocabulary allows it.
-        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
-        self.whole = Pieces(self.encode)
-        self.words = Pieces(self.word)
+        self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         cut = ByteLevel(add_prefix_space=False, use_regex=False)
         # bytes as the vocabulary writes them
         self.letters = str.maketrans({chr(b): cut.pre_tokenize_str(chr(b))[0][0] for b in range(128)})
-        for b in range(128, 256):  # second bytes of two-byte characters, and their first bytes
-            two = cut.pre_tokenize_str(chr(0x80 + (b & 0x3F)) if b < 0xC0 else chr(max(0x80, (b & 0x1F) << 6)))[0][0] if b < 0xE0 else None
-            if two:
-                self.letters[b] = two[1] if b < 0xC0 else two[0]
-
-    def word(self, piece: str) -> bytes:
-        """Ids of one word of plain signs: the tokenizer's model alone, without its cutting."""
-        return array(self.code, [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            got = self.encode(text)
-        elif _PLAIN.search(text):
-            got = b"".join(map(self.whole.__getitem__, _PIECE.findall(text)))
-        else:
-            got = b"".join(map(self.words.__getitem__, _WORD.findall(text)))
-        return np.frombuffer(got, "<u2" if self.code == "H" else "<u4")
+        for b in range(128, 0xE0):  # second bytes of two-byte characters, and their first bytes
+            two = cut.pre_tokenize_str(chr(0x80 + (b & 0x3F)) if b < 0xC0 else chr(max(0x80, (b & 0x1F) << 6)))[0][0]
+            self.letters[b] = two[1] if b < 0xC0 else two[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = CodeTable(1 << 18)
+        self.flat, self.used = np.empty(1 << 20, self.type), 0
+        self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def word(self, piece: bytes) -> list[int]:
+        """Ids of one plain word: the tokenizer's model alone, without its cutting."""
+        return [t.id for t in self.tok.model.tokenize(piece.decode("latin-1").translate(self.letters))]
+
+    def learn(self, codes: np.ndarray, pieces: list[bytes]) -> None:
+        ids = [self.word(p) for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        new = np.fromiter((i for x in ids for i in x), self.type, int(sizes.sum()))
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used:self.used + len(new)] = new
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(new)
+        self.table.add(codes)
+
+    def plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts, none of them empty."""
+        if len(self.sizes) > CACHE_WORDS:
+            self.clear()
+        a = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        first = np.concatenate([[0], ends[:-1]])
+        start = cut_words(a, first)
+        stop = np.append(start[1:], len(a))
+        power, inverse = _powers(len(a))
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:len(a)], out=sums[1:])
+        codes = C.mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        at = self.table.find(codes)
+        new, where = np.unique(codes[at < 0], return_index=True)
+        if len(new):
+            where = np.flatnonzero(at < 0)[where]
+            whole = a.tobytes()
+            self.learn(new, [whole[i:j] for i, j in zip(start[where].tolist(), stop[where].tolist(), strict=True)])
+            at = self.table.find(codes)
+        n = self.sizes[at].astype(np.int64)
+        ids = self.flat[C.concat_ranges(self.starts[at].astype(np.int64), n)]
+        per = np.add.reduceat(n, np.searchsorted(start, first))
+        return np.split(ids, np.cumsum(per)[:-1])
+
+    def other(self, text: str) -> np.ndarray:
+        whole = _UNUSUAL.search(text) or any(s in text for s in self.special)
+        pieces = [text] if whole else _PIECE.findall(text)
+        return np.array([i for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False) for i in e.ids], self.type)
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        self.whole.turn()
-        self.words.turn()
-        return [self.ids(t) for t in texts]
+        out: list = [None] * len(texts)
+        held: list[int] = []
+        size = 0
+
+        def flush():
+            for i, x in zip(held, self.plain([texts[i].encode() for i in held]), strict=True):
+                out[i] = x
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = np.empty(0, self.type)
+            elif _PLAIN.search(t) or any(s in t for s in self.special):
+                out[i] = self.other(t)
+            else:
+                held.append(i)
+                size += len(t)
+                if size > CUT_BYTES:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -39,6 +39,23 @@ def test_pieces_equal_whole_texts(tokenizer):
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_cut_equals_pattern():
+    import random
+
+    rng = random.Random(4)
+    signs = ["a", "é", "Z", "7", ".", "-", "(", " ", " ", "\n", "  ", "\n\n", "ß9"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 30))) for _ in range(500)] + [" ", "\n", "  ", " a", "a ", "\n a"]
+    raw = [t.encode() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in raw])[:-1]])
+    whole = b"".join(raw)
+    start = K.cut_words(np.frombuffer(whole, np.uint8), first)
+    got = [whole[i:j].decode() for i, j in zip(start, [*start[1:], len(whole)], strict=True)]
+    assert got == [w for t in texts for w in K._WORD.findall(t)]
+    enc, tok = K.encoder(K.tokenizer_path()), Tokenizer.from_file(K.tokenizer_path())
+    for t, ids in zip(texts, enc.texts(texts), strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_byte_coding_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 4, 5, 1000):
