@@ -38,9 +38,9 @@ from pagecorpus.session import checkpoint_dir, materialize
 
 END = 0
 TARGET = 32 * C.MB
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 15
 #: Distinct words kept by a process before its table is emptied (about 40 bytes each).
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 #: Text cut at a time.
 CUT_BYTES = 1 << 19
 #: Letters and signs that every Unicode version classes alike.
