@@ -1,24 +1,31 @@
-"""Operator 8, fuzzy line dedup by MinHash, in DataFrame functions only.
+"""Operator 8, fuzzy line dedup by MinHash.
 
-Lines (pieces between line feeds, trimmed, lower case) that are equal become one class at once.
-The signature of a class has ``HASHES`` minima over character shingles: ``SIGN`` characters from
-the start of each run of letters or digits (and from each character of scripts without spaces).
-``ROWS`` minima make a band; lines with an equal band are candidates.  Candidates are verified
-by the exact Jaccard similarity of all their ``SHINGLE``-character shingles (0.8 or more).
+Lines (pieces between line feeds, without blanks at their ends, lower case) that are equal are one
+class at once, named by a 64-bit hash.  The signature of a class has ``BANDS * ROWS`` minima over the
+hashes of its ``SHINGLE``-character shingles (in UTF-8 bytes; each minimum under a mask of its own);
+lines with an equal band of ``ROWS`` minima are candidates.  At similarity 0.8 a pair shares a band
+with probability 1 - (1 - 0.8**4)**10 = 0.995.  Candidates are verified by the exact Jaccard
+similarity of their character shingles (0.8 or more).
 
 Round 1 verifies each line against the smallest line of each of its bands and joins the links by
 distributed union-find.  Round 2 verifies the candidates of a band that still lie in different
 components, all of them, so a band never emits pairs that are connected already.
 
-The class of a line is its 64-bit hash; two of n distinct lines share one with a chance of about
-n * n / 2**65.
+Signatures and similarities are array work inside tasks: a form in DataFrame functions only took
+more than five times the budget (README).  Joins, bands and union-find are DataFrame work.  Text is
+read where it lies, twice; only lines that have a candidate are shuffled.
+
+Two of n distinct lines share a 64-bit name with a chance of about n * n / 2**65.
 
 Defined results: blank lines are kept and belong to no component; lines shorter than ``SHINGLE``
-are one shingle; a null text has no lines; of equal (doc_id, line_no) rows each counts.
+are one shingle; a null text has no lines; equal (doc_id, line_no) rows each count.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,86 +33,155 @@ from pagecorpus.llm import common as C
 from pagecorpus.session import materialize
 
 SHINGLE = 5
-SIGN = 8
-HASHES = 16
-ROWS = 2
+ROWS, BANDS = 4, 10
 SHARE, PART = 80, 100
-#: Starts of the shingles that are signed.
-_ANCHOR = rf"(?<![\p{{L}}\p{{N}}&&[^⺀-￿]])(?=([\p{{L}}\p{{N}}].{{0,{SIGN - 1}}}))"
-#: One mask for each minimum: the leading bits differ, so the minima come from different hashes.
-_MASKS = [((i << 60) + 0x1234567 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(HASHES)]
+_RNG = np.random.default_rng(8)
+_MASKS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+#: Bytes of lines signed at a time.
+PIECE = 1 << 19
+BLANKS = " \t\r"
 
 
-def _signed(x: int) -> int:
+def line_name(line: str) -> int:
+    x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
     return x - (1 << 64) if x >> 63 else x
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, k) of every line that is not blank; ``line`` as it is compared."""
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    d = d.select("doc_id", "line_no", F.lower(F.trim(F.translate("raw", "\r\t", "  "))).alias("line")).where("line <> ''")
-    return d.withColumn("k", F.xxhash64("line"))
-
-
-def shingles(col: str):
-    """Distinct character shingles of a line."""
-    return F.when(F.length(col) <= SHINGLE, F.array(F.col(col))).otherwise(
-        F.array_distinct(F.expr(f"regexp_extract_all({col}, '(?s)(?=(.{{{SHINGLE}}}))', 1)")))
-
-
-def bands(distinct: DataFrame) -> DataFrame:
-    """(band, k): the bands of each distinct line (k, line)."""
-    anchors = F.regexp_extract_all(F.col("line"), F.lit(_ANCHOR), F.lit(1))
-    some = F.when(F.size(anchors) > 0, anchors).otherwise(F.array(F.col("line")))
-    each = distinct.select("k", F.explode(some).alias("s")).select("k", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(m)))).alias(f"m{i}") for i, m in enumerate(_MASKS)]
-    signed = each.groupBy("k").agg(*minima)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(HASHES // ROWS)]
-    return signed.select("k", F.explode(F.array(*keys)).alias("band"))
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """Band keys, one row for each line (no line is empty)."""
+    padded = [x if len(x) >= SHINGLE else x + b"\n" * (SHINGLE - len(x)) for x in lines]
+    a = np.frombuffer(b"".join(padded), np.uint8)
+    ends = np.cumsum([len(x) for x in padded])
+    code = np.zeros(len(a) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        code |= a[j:len(code) + j].astype(np.uint64) << np.uint64(8 * j)
+    keep = np.ones(len(code), bool)
+    for back in range(1, SHINGLE):  # shingles that run over into the next line
+        keep[ends[:-1] - back] = False
+    n = np.array([len(x) - SHINGLE + 1 for x in padded])
+    h = (C.mix64(code[keep]) >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum(n) - n
+    minima = np.stack([np.minimum.reduceat(h ^ m, starts) for m in _MASKS], axis=1).reshape(len(lines), BANDS, ROWS).astype(np.uint64)
+    return C.mix64((minima * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def lines_of(text) -> list[tuple[int, str]]:
+    """(line number, line as it is compared) of the lines that are not blank."""
+    if not isinstance(text, str):
+        return []
+    return [(i, low) for i, raw in enumerate(text.split("\n")) if (low := raw.strip(BLANKS).lower())]
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, k, bands) of every line that is not blank; ``bands`` where the task met the
+    line for the first time (within its latest ``PIECE`` lines)."""
+    def run(batches):
+        seen: set[int] = set()
+        for pdf in batches:
+            ids, no, names, new, at = [], [], [], [], []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                for i, line in lines_of(text):
+                    k = line_name(line)
+                    ids.append(doc_id)
+                    no.append(i)
+                    if k not in seen:
+                        seen.add(k)
+                        at.append(len(names))
+                        new.append(line.encode("utf-8", "surrogatepass"))
+                    names.append(k)
+            if len(seen) > PIECE:
+                seen.clear()
+            bands: list = [None] * len(names)
+            lo = 0
+            while lo < len(new):
+                hi, size = lo, 0
+                while hi < len(new) and (hi == lo or size + len(new[hi]) <= PIECE):
+                    size += len(new[hi])
+                    hi += 1
+                for j, row in zip(at[lo:hi], signatures(new[lo:hi]), strict=True):
+                    bands[j] = row
+                lo = hi
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "line_no": pd.Series(no, dtype="int32"), "k": pd.Series(names, dtype="int64"), "bands": bands})
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line_no int, k long, bands array<long>")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, line) of the wanted lines (k)."""
+    def run(batches):
+        seen: set[int] = set()
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                for _, line in lines_of(text):
+                    k = line_name(line)
+                    if k not in seen:
+                        seen.add(k)
+                        out.append((k, line))
+            if len(seen) > PIECE:
+                seen.clear()
+            yield pd.DataFrame(out, columns=["k", "line"])
+    every = docs.select("text").mapInPandas(run, "k long, line string")
+    return every.join(C.small(wanted), "k", "left_semi").dropDuplicates(["k"])
+
+
+def shingles(line: str) -> set[str]:
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def similar(a: set[str], b: set[str]) -> bool:
+    if min(len(a), len(b)) * PART < max(len(a), len(b)) * SHARE:
+        return False
+    common = len(a & b)
+    return (PART + SHARE) * common >= SHARE * (len(a) + len(b))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have the similarity asked for."""
     a = texts.select(F.col("k").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("k").alias("b"), F.col("line").alias("line_b"))
-    met = pairs.join(a, "a").join(b, "b")
-    # sizes of sets differ by a factor of 0.8 at most, and so do lengths unless shingles repeat
-    met = met.select("a", "b", shingles("line_a").alias("sa"), shingles("line_b").alias("sb"))
-    met = met.where((F.size("sa") * PART >= F.size("sb") * SHARE) & (F.size("sb") * PART >= F.size("sa") * SHARE))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return met.where((PART + SHARE) * common >= SHARE * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-
-def line_components(docs: DataFrame) -> DataFrame:
-    """(k, component) of the distinct lines that have a near copy."""
-    every = lines(docs)
-    distinct = every.groupBy("k").agg(F.min("line").alias("line"))
-    b = materialize(bands(distinct), "line_bands")
-    heads = b.groupBy("band").agg(F.min("k").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    near = materialize(b.join(heads, "band"), "line_near")  # lines that share a band
-    wanted = C.small(near.select("k").distinct())
-    texts = materialize(every.select("k", "line").join(wanted, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")), "line_texts")
+
+    def run(batches):
+        last, held = None, set()
+        for pdf in batches:
+            keep = []
+            for x, y, s, t in zip(pdf["a"], pdf["b"], pdf["line_a"], pdf["line_b"], strict=True):
+                if y != last:
+                    last, held = y, shingles(t)
+                if similar(shingles(s), held):
+                    keep.append((x, y))
+            yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+    met = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b")
+    return met.select("a", "b", "line_a", "line_b").mapInPandas(run, "a long, b long")
+
+
+def line_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, component) of the distinct lines that have a near copy."""
+    b = marked.where("bands is not null").select("k", F.explode("bands").alias("band"))
+    heads = b.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("other")).where("head < other").select("band", "head")
+    near = materialize(b.join(heads, "band").distinct(), "line_near")  # lines that share a band
+    texts = materialize(texts_of(docs, near.select("k").distinct()), "line_texts")
     star = near.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
     links = materialize(verified(star, texts), "line_links")
-    first = materialize(C.components(links), "line_first")
-    placed = near.join(first.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
-    open_bands = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-    left = materialize(placed.join(open_bands, "band", "left_semi"), "line_open")
+    first = materialize(C.components(links), "line_first").withColumnRenamed("id", "k")
+    placed = near.join(first, "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    # a band whose lines all lie in one component needs nothing; of two lines the star has seen the pair
+    unsure = (placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
+              .where("c0 <> c1 and n > 2").select("band"))
+    left = materialize(placed.join(unsure, "band", "left_semi"), "line_unsure")
     pairs = (left.join(left.select("band", F.col("k").alias("k2"), F.col("c").alias("c2")), "band")
-             .where("c < c2").select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct())
-    more = verified(pairs.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-                    .join(star, ["a", "b"], "left_anti"), texts)
-    return C.components(links.unionByName(more)).select(F.col("id").alias("k"), "component")
+             .where("c < c2").select(F.greatest("k", "k2").alias("a"), F.least("k", "k2").alias("b")).distinct())
+    more = verified(pairs.join(star, ["a", "b"], "left_anti"), texts)
+    return C.components(links.unionByName(more))
 
 
 def fuzzy_lines(docs: DataFrame) -> DataFrame:
     """One row for each line that is not blank: (doc_id, line_no, line_id, component, keep).  Equal
-    lines share line_id; ``keep`` marks the first line (smallest doc_id, then line_no) of a
-    component."""
-    found = materialize(line_components(docs), "line_components")
-    at = lines(docs).select("doc_id", "line_no", "k")
-    at = at.join(C.small(found), "k", "left").select("doc_id", "line_no", F.col("k").alias("line_id"), F.coalesce("component", "k").alias("component"))
-    at = materialize(at, "line_places")
+    lines share line_id; ``keep`` marks the first line (smallest doc_id, then line_no) of a component."""
+    marked = materialize(marks(docs), "line_marks")
+    found = materialize(line_components(docs, marked).select(F.col("id").alias("k"), "component"), "line_components")
+    at = marked.select("doc_id", "line_no", "k").join(C.small(found), "k", "left")
+    at = at.select("doc_id", "line_no", F.col("k").alias("line_id"), F.coalesce("component", "k").alias("component"))
     place = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "line_no")
     first = at.groupBy("component").agg(F.min(place).alias("first"))
     return (at.join(first, "component")
@@ -115,12 +191,9 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every document with only the lines that are kept and its blank lines."""
-    kept = fuzzy_lines(docs).where("keep").select("doc_id", "line_no").distinct()
+    kept = fuzzy_lines(docs).where("keep").select(F.col("doc_id").alias("id2"), F.col("line_no").alias("no2")).distinct()
     d = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
     blank = F.trim(F.translate("raw", "\r\t", "  ")) == ""
-    good = d.join(kept.withColumnRenamed("doc_id", "id2").withColumnRenamed("line_no", "no2"),
-                  F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("line_no") == F.col("no2")), "left")
+    good = d.join(kept, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("line_no") == F.col("no2")), "left")
     ordered = F.array_sort(F.collect_list(F.when(blank | F.col("no2").isNotNull(), F.struct("line_no", "raw"))))
     return good.groupBy("doc_id").agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["raw"])).alias("text"))
-
-

@@ -64,6 +64,24 @@ def test_odd_rows(odd, nothing):
     assert D.fuzzy_lines(nothing).count() == 0 and D.dedup(nothing).count() == 0
 
 
-def test_plan_has_no_python(documents):
-    plan = D.bands(D.lines(documents).select("k", "line"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+def test_band_probability():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    base = "".join(rng.choice(list("abcdefghijklmnop "), 400))
+    hits = trials = 0
+    for _ in range(200):
+        w = list(base)
+        for at in rng.integers(0, 400, 8):
+            w[at] = "z"
+        other = "".join(w)
+        if D.similar(D.shingles(base), D.shingles(other)):
+            a, b = D.signatures([base.encode(), other.encode()])
+            hits += bool((a == b).any())
+            trials += 1
+    assert trials > 50 and hits / trials > 0.97
+
+
+def test_signature_stands_alone():
+    lines = [b"abc", b"abcdefg", b"abcdef", b"x"]
+    assert (D.signatures(lines) == [D.signatures([x])[0] for x in lines]).all()
