@@ -250,8 +250,8 @@ class CodeTable:
         """Distinct codes that are not there yet."""
         old = len(self.codes)
         self.codes = np.concatenate([self.codes, codes])
-        if len(self.codes) * 2 > len(self.slots):
-            self._make(1 << (len(self.codes) * 3).bit_length())
+        if len(self.codes) * 3 > len(self.slots):
+            self._make(1 << (len(self.codes) * 4).bit_length())
         else:
             self._place(np.arange(old, len(self.codes), dtype=np.int32))
 

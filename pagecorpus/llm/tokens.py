@@ -40,7 +40,7 @@ END = 0
 TARGET = 32 * C.MB
 BLOCK_TOKENS = 1 << 15
 #: Distinct words kept by a process before its table is emptied (about 40 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 #: Text cut at a time.
 CUT_BYTES = 1 << 19
 #: Letters and signs that every Unicode version classes alike.
@@ -238,6 +238,7 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---- writing ---------------------------------------------------------------------------------
 _BLOCK = "shard int, block int, doc_ids binary, counts binary, ids binary"
+_BLOCK_COLUMNS = [c.split()[0] for c in _BLOCK.split(", ")]
 _NULL = np.iinfo(np.int64).min
 
 
@@ -272,20 +273,22 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         size, shard, block = 0, None, 0
 
         def flush():
-            return pd.DataFrame({"shard": [shard], "block": [block], "doc_ids": [np.array([h[0] for h in held], "<i8").tobytes()],
-                                 "counts": [np.array([len(h[1]) for h in held], "<i8").tobytes()],
-                                 "ids": [_narrow(np.concatenate([h[1] for h in held]))]})
+            return (shard, block, np.array([h[0] for h in held], "<i8").tobytes(), np.array([len(h[1]) for h in held], "<i8").tobytes(),
+                    _narrow(np.concatenate([h[1] for h in held])))
         for pdf in batches:
+            done = []
             for s, doc_id, b in zip(pdf["shard"], pdf["doc_id"], pdf["ids"], strict=True):
                 x = _wide(b)
                 if held and (s != shard or size + len(x) > BLOCK_TOKENS):
-                    yield flush()
+                    done.append(flush())
                     block, held, size = (block + 1 if s == shard else 0), [], 0
                 shard = s
                 held.append((_NULL if pd.isna(doc_id) else int(doc_id), x))
                 size += len(x)
+            if done:
+                yield pd.DataFrame(done, columns=_BLOCK_COLUMNS)
         if held:
-            yield flush()
+            yield pd.DataFrame([flush()], columns=_BLOCK_COLUMNS)
     rows = d.mapInPandas(run, "shard int, doc_id long, tie string, ids binary")
     return (rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
             .mapInPandas(blocks, _BLOCK))
@@ -325,9 +328,8 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
 
     def code(batches):
         for pdf in batches:
-            for s, b, ids_, counts, x in pdf[["shard", "block", "doc_ids", "counts", "ids"]].itertuples(index=False):
-                control, data = encode_values(rank[_wide(x)])
-                yield pd.DataFrame({"shard": [s], "block": [b], "doc_ids": [ids_], "counts": [counts], "control": [control], "data": [data]})
+            made = [encode_values(rank[_wide(x)]) for x in pdf["ids"]]
+            yield pdf[["shard", "block", "doc_ids", "counts"]].assign(control=[m[0] for m in made], data=[m[1] for m in made])
     (blocks.mapInPandas(code, "shard int, block int, doc_ids binary, counts binary, control binary, data binary")
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/blocks"))
 
@@ -342,12 +344,15 @@ def read(spark, out: str) -> DataFrame:
 
     def decode(batches):
         for pdf in batches:
+            out: list = []
             for s, b, doc_ids, counts, control, data in pdf[["shard", "block", "doc_ids", "counts", "control", "data"]].itertuples(index=False):
                 d, n = np.frombuffer(doc_ids, "<i8"), np.frombuffer(counts, "<i8")
-                x = ids[decode_values(control, data, int(n.sum()))].astype("<u4")
+                x = ids[decode_values(control, data, int(n.sum()))]
                 ends = np.cumsum(n)
-                yield pd.DataFrame({"shard": s, "block": b, "doc_id": pd.Series(d).where(d != _NULL).astype("Int64"), "within": ends - n, "n_tokens": n,
-                                    "ids_crc32": [zlib.crc32(x[e - k:e]) for e, k in zip(ends, n, strict=True)]})
+                out.extend((s, b, i, e - k, k, zlib.crc32(x[e - k:e])) for i, e, k in zip(d.tolist(), ends.tolist(), n.tolist(), strict=True))
+            made = pd.DataFrame(out, columns=["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
+            made["doc_id"] = made["doc_id"].astype("Int64").mask(made["doc_id"] == _NULL)
+            yield made
 
     def size(batches):
         for pdf in batches:
