@@ -23,7 +23,7 @@ from pagecorpus.session import apply_session_conf, materialize
 
 MB = 1 << 20
 #: Words kept by the per-process hash cache before it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _WIDTH = 0x9E3779B97F4A7C15
 _MULT = np.uint64(0xD1342543DE82EF95)
 
@@ -117,22 +117,31 @@ def in_blocks(docs: DataFrame, n: int, *cols: str) -> DataFrame:
             .repartition(n, "block"))
 
 
+def id_cuts(docs: DataFrame, n: int) -> np.ndarray:
+    """Approximate quantiles of doc_id that cut it into ``n`` buckets; equal ones once."""
+    if n < 2:
+        return np.empty(0, np.int64)
+    row = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000)).first()
+    return np.array(sorted({int(x) for x in (row[0] or [])}), np.int64)
+
+
+def buckets_of(ids: pd.Series, cuts: np.ndarray) -> np.ndarray:
+    """Bucket numbers that ascend with the id, from 1; 0 for nulls."""
+    missing = ids.isna().to_numpy()
+    out = np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), side="right").astype(np.int32) + 1
+    out[missing] = 0
+    return out
+
+
 def id_buckets(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
     """``docs`` with an int column ``_bucket`` that ascends with ``doc_id`` (nulls come first),
     cut at ``n`` approximate quantiles; and the number of buckets."""
-    qs = [i / n for i in range(1, n)]
-    bounds: list[int] = []
-    if qs:
-        row = docs.agg(F.percentile_approx("doc_id", qs, 100_000)).first()
-        bounds = sorted({int(x) for x in (row[0] or [])})
-    cuts = np.array(bounds, np.int64)
+    cuts = id_cuts(docs, n)
 
     @F.pandas_udf(T.IntegerType())
     def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), side="right").astype(np.int32))
-
-    plain = bucket(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))) + 1
-    return docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(plain)), len(cuts) + 2
+        return pd.Series(buckets_of(ids, cuts))
+    return docs.withColumn("_bucket", bucket("doc_id")), len(cuts) + 2
 
 
 class Sets:

@@ -36,7 +36,7 @@ from pagecorpus.llm import common as C
 from pagecorpus.session import materialize
 
 SHINGLE = 4
-TARGET = 16 * C.MB
+TARGET = 8 * C.MB
 MEMBERS = 1500
 #: Linked when PART * intersection >= SHARE * union.
 SHARE, PART = 85, 100

@@ -259,14 +259,15 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Blocks of ids in ascending doc_id order.  Text is encoded where it is read; only
     compressed ids are shuffled."""
     d = docs.select("doc_id", "text")
-    d, n = C.id_buckets(d, C.blocks_for(C.total_bytes(d), TARGET))
+    cuts = C.id_cuts(d, C.blocks_for(C.total_bytes(d), TARGET))
+    n = len(cuts) + 2
 
     def run(batches):
         enc = encoder(path)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             ids = [_narrow(np.append(x, x.dtype.type(end))) for x in enc.texts(texts)]
-            yield pd.DataFrame({"shard": pdf["_bucket"], "doc_id": pdf["doc_id"].astype("Int64"), "tie": texts_hash(texts), "ids": ids})
+            yield pd.DataFrame({"shard": C.buckets_of(pdf["doc_id"], cuts), "doc_id": pdf["doc_id"].astype("Int64"), "tie": texts_hash(texts), "ids": ids})
 
     def blocks(batches):
         held: list = []
