@@ -29,14 +29,8 @@ def java_class(ranges) -> str:
     return "[" + "".join(parts) + "]"
 
 
-def duck_class(ranges) -> str:
-    # RE2 accepts the same \x{..} escapes.
-    return java_class(ranges)
-
-
 WS = java_class(WHITESPACE_RANGES)
 LB = java_class([(c, c) for c in LINE_BREAKS])
-ASCII_WS = "[ \\t\\n\\x{C}\\r]"
 
 
 def py_strip(col: Column) -> Column:

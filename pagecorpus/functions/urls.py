@@ -21,7 +21,6 @@ USES_RELATIVE = [
     "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
     "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
 ]
-DEFAULT_PORTS = {"http": 80, "https": 443}
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 

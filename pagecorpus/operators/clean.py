@@ -25,6 +25,7 @@ PRESETS = {
     "aggressive": ["remove_scripts", "remove_styles", "remove_comments", "remove_meta", "remove_noscript",
                    "remove_hidden", "remove_media", "remove_data_attrs", "collapse_whitespace", "minify"],
 }
+# The features in the order they are reported.
 FEATURES = ["remove_hidden", "remove_scripts", "remove_styles", "remove_comments", "remove_meta",
             "remove_noscript", "remove_media", "remove_data_attrs", "absolute_urls",
             "collapse_whitespace", "minify"]
@@ -34,6 +35,7 @@ MEDIA_TAGS = ["audio", "canvas", "embed", "iframe", "img", "object", "picture",
 PRESERVE_TAGS = ["pre", "code", "textarea", "script", "style"]
 # Attributes that carry URLs.
 URL_ATTRS = ["href", "src", "action", "poster"]
+# Fixed value: styles that hide an element.
 HIDDEN_STYLE = f"(?i)(display{WS}*:{WS}*none|visibility{WS}*:{WS}*hidden)"
 STRING_KINDS = ["text", "ctext", "doctype", "cdata", "pi", "decl"]
 

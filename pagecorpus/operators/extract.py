@@ -178,9 +178,9 @@ def extract(nodes: DataFrame, spec: dict, bases: DataFrame | None = None,
     filled."""
     fields = compile_spec(spec)
     pages = nodes.filter(F.col("node_id") == 0).select("page_id", (F.col("last_desc") > 0).alias("_has_html"))
-    if not enabled or not fields:
+    if not fields:
         return pages.select("page_id", F.lit(None).alias("extracted"), F.lit(None).alias("extraction_error"))
-    roots = pages.filter("_has_html").select("page_id", F.lit(0).alias("scope_id"))
+    roots = (pages.filter("_has_html") if enabled else pages.filter(F.lit(False))).select("page_id", F.lit(0).alias("scope_id"))
     res = _evaluate(nodes, fields, roots, bases, [])
     failed = F.col("fail").isNotNull()
     res = res.select("page_id", F.when(~failed, F.col("record")).alias("extracted"),

@@ -26,13 +26,22 @@ def _first_marker(text: Column, markers: list[str]) -> Column:
     return out
 
 
-def block_label(status: Column, html: Column) -> tuple[Column, Column]:
-    """O-L1: (blocked, rule) -- rule is ``status``, ``too_short`` or ``marker:<text>``."""
+def page_block_rule(html: Column) -> Column:
+    """The part of O-L1 that depends on the page alone: ``too_short`` or ``marker:<text>``."""
     lower = F.lower(F.coalesce(html, F.lit("")))
     marker = _first_marker(lower, BLOCK_MARKERS)
-    rule = (F.when(status.isin(BLOCKED_STATUS), F.lit("status"))
-            .when(F.length(py_strip(F.coalesce(html, F.lit("")))) < MIN_VALID_HTML_LENGTH, F.lit("too_short"))
+    return (F.when(F.length(py_strip(F.coalesce(html, F.lit("")))) < MIN_VALID_HTML_LENGTH, F.lit("too_short"))
             .when(marker.isNotNull(), F.concat(F.lit("marker:"), marker)))
+
+
+def block_rule(status: Column, page_rule: Column) -> Column:
+    """O-L1 from a request's status and its page's rule."""
+    return F.when(status.isin(BLOCKED_STATUS), F.lit("status")).otherwise(page_rule)
+
+
+def block_label(status: Column, html: Column) -> tuple[Column, Column]:
+    """O-L1: (blocked, rule) -- rule is ``status``, ``too_short`` or ``marker:<text>``."""
+    rule = block_rule(status, page_block_rule(html))
     return rule.isNotNull(), rule
 
 

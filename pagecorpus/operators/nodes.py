@@ -31,12 +31,6 @@ def inside_flagged(flag: Column) -> Column:
     return F.coalesce(reach >= F.col("node_id"), F.lit(False))
 
 
-def below_flagged(flag: Column) -> Column:
-    """True when a strict ancestor of the row carries ``flag``."""
-    reach = F.max(F.when(flag, F.col("last_desc"))).over(_page_order().rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(reach >= F.col("node_id"), F.lit(False))
-
-
 def remove_subtrees(nodes: DataFrame, flag: Column) -> DataFrame:
     """Drop every node inside a subtree whose root satisfies ``flag`` (O-H2)."""
     return (nodes.withColumn("_gone", inside_flagged(flag))

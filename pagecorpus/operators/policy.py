@@ -125,61 +125,6 @@ def batch_summary(items: DataFrame, max_items: int = 50, max_concurrency: int =
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(F.col("success"), 1)).alias("succeeded"),
         F.count(F.when(~F.col("success"), 1)).alias("failed"),
-        F.max("elapsed_ms").alias("elapsed_ms"),
-    ).withColumn("size_ok", (F.col("total") >= 1) & (F.col("total") <= max_items))
-
-
-def _slot_plan(key, pdfs, state):
-    """One domain's micro-batch: earliest start with ``k`` slots, each slot free again
-    ``delay`` after its request finishes; state = the slots' free times (k numbers)."""
-    import heapq
-
-    import pandas as pd
-    slots = list(state.get[0]) if state.exists else None
-    out = []
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["arr_us", "request_id"])
-    for rid, arr, dur, delay, k in zip(pdf["request_id"], pdf["arr_us"], pdf["dur_us"], pdf["delay_us"], pdf["k"]):
-        if slots is None:
-            slots = [0] * int(k)
-            heapq.heapify(slots)
-        free = heapq.heappop(slots)
-        start = max(int(arr), free)
-        heapq.heappush(slots, start + int(dur) + int(delay))
-        out.append((int(rid), key[0], start))
-    state.update((slots,))
-    yield pd.DataFrame(out, columns=["request_id", "domain", "planned_start_us"])
-
-
-def pacing_plan_slots(requests: DataFrame, domain: str = "domain", ts: str = "requested_at",
-                      dur_ms: str = "elapsed_ms") -> DataFrame:
-    """O-D4: pacing with ``max_concurrent_requests`` slots per domain.
-
-    A k-slot queue has no closed form, so it runs as a stateful stream keyed by domain over
-    the log landed as time-ordered range files: each micro-batch holds one time range, the
-    state per domain is k numbers, so a dominant domain is split into range pieces instead
-    of one task holding all of its rows."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from pagecorpus.streaming.streams import scratch, write_source_files
-    spark = requests.sparkSession
-    rows = requests.select(
-        F.col("request_id"), F.col(domain).alias("domain"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("arr_us"), (F.col(dur_ms) * 1000).alias("dur_us"),
-        (F.col("min_delay_seconds") * 1_000_000).cast("long").alias("delay_us"),
-        F.col("max_concurrent_requests").cast("int").alias("k"))
-    src = scratch(spark, "slots_src")
-    # land the log once as time-ordered range files (about 5 M rows each, at least one per
-    # core); the stream reads them oldest first, one range per micro-batch
-    n_rows = rows.count()
-    n_files = max(spark.sparkContext.defaultParallelism, -(-n_rows // 5_000_000))
-    write_source_files(rows, src, n_files, "arr_us")
-    schema = rows.schema
-    out = scratch(spark, "slots_out")
-    plan = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-            .groupBy("domain").applyInPandasWithState(
-                _slot_plan, "request_id long, domain string, planned_start_us long", "slots array<long>",
-                "append", GroupStateTimeout.NoTimeout))
-    q = (plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_ckpt")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+        F.max("elapsed_ms").alias("elapsed_ms"), F.max("max_concurrency").alias("_asked"),
+    ).withColumn("size_ok", (F.col("total") >= 1) & (F.col("total") <= max_items)) \
+        .withColumn("concurrency_ok", F.col("_asked").between(1, max_concurrency)).drop("_asked")

@@ -59,9 +59,13 @@ def delete_keys(store: DataFrame, keys: DataFrame, on: str = "cache_key") -> Dat
 
 
 def purge_domain(store: DataFrame, needle: str) -> DataFrame:
-    """O-C8 / S16: drop rows whose URL contains ``needle`` (case-insensitive substring, the
-    way SQLite's LIKE compares ASCII)."""
-    return store.filter(~F.contains(F.lower("url"), F.lower(F.lit(needle))))
+    """O-C8 / S16: drop rows whose URL is LIKE ``%needle%``, without regard to case; ``%`` and
+    ``_`` in the needle are wildcards."""
+    return store.filter(~purged("url", needle))
+
+
+def purged(url: str, needle: str):
+    return F.like(F.lower(url), F.lit(f"%{needle.lower()}%"))
 
 
 def stats(store: DataFrame, now: Column) -> DataFrame:

@@ -81,18 +81,17 @@ def _profile_features(spark):
     return spark.createDataFrame(rows, "profile string, feature string")
 
 
-def _sql_profile_features() -> str:
-    rows = []
-    for prof, cfg in PROFILE_CONFIGS.items():
-        cfg = dict(cfg)
-        feats = C.resolve_features(cfg.pop("preset"), cfg.pop("enabled"), **cfg)
-        rows += [f"('{prof}', '{f}')" for f, on in feats.items() if on]
-    return "pf(profile, feature) AS (VALUES " + ", ".join(rows) + ")"
+#: The twin's own statement of each configuration's features.
+PROFILE_FEATURES_SQL = """pf(profile, feature) AS (
+  SELECT 'client_1', unnest(['remove_comments', 'remove_noscript', 'collapse_whitespace', 'minify'])
+  UNION ALL SELECT 'client_2', unnest(['remove_hidden', 'remove_scripts', 'remove_styles', 'remove_comments', 'remove_meta',
+    'remove_noscript', 'remove_data_attrs', 'absolute_urls', 'collapse_whitespace', 'minify'])
+  UNION ALL SELECT 'client_3', 'remove_media')"""
 
 
 PRESET_SQL = S.with_views(["fetch_log"], """
 SELECT p.profile, pf.feature, CAST(count(*) AS BIGINT) AS n_requests
-FROM fetch_log p JOIN pf USING (profile) GROUP BY 1, 2""", _sql_profile_features())
+FROM fetch_log p JOIN pf USING (profile) GROUP BY 1, 2""", PROFILE_FEATURES_SQL)
 
 
 @register("preset_features", PRESET_SQL)
@@ -108,7 +107,7 @@ APPLIED_SQL = S.with_views(["fetch_log"], """
 SELECT profile, CAST(count(*) AS BIGINT) AS n_requests, applied <> '' AS normalized, applied
 FROM (SELECT f.profile, coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM pf WHERE pf.profile = f.profile), '') AS applied
       FROM fetch_log f WHERE NOT f.failed)
-GROUP BY profile, applied""", _sql_profile_features())
+GROUP BY profile, applied""", PROFILE_FEATURES_SQL)
 
 
 @register("applied_features", APPLIED_SQL)

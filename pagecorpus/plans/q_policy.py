@@ -122,9 +122,12 @@ def q_batch_items(spark, sf_dir):
 
 @register("batch_summary", S.with_views(["fetch_log"], f"""
 SELECT request_id // {BATCH_SIZE} AS batch_id, count(*) AS total, count(*) FILTER (WHERE NOT failed) AS succeeded,
-       count(*) FILTER (WHERE failed) AS failed, max(elapsed_ms) AS elapsed_ms, count(*) BETWEEN 1 AND 50 AS size_ok
+       count(*) FILTER (WHERE failed) AS failed, max(elapsed_ms) AS elapsed_ms, count(*) BETWEEN 1 AND 50 AS size_ok,
+       request_id // {BATCH_SIZE} % 13 BETWEEN 1 AND 10 AS concurrency_ok
 FROM fetch_log GROUP BY 1"""))
 def q_batch_summary(spark, sf_dir):
-    """O-D9 / O-V3: per batch totals and the 1..50 size bound."""
+    """O-D9 / O-V3: per batch totals, the 1..50 size bound and the 1..10 concurrency bound (asked
+    concurrency 0..12 by batch)."""
     d = D.fetch_log(spark, sf_dir).withColumn("batch_id", (F.col("request_id") / BATCH_SIZE).cast("long"))
+    d = d.withColumn("max_concurrency", F.col("batch_id") % 13)
     return pol.batch_summary(pol.batch_items(d))

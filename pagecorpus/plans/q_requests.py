@@ -150,11 +150,3 @@ def q_store_compaction(spark, sf_dir):
     """O-C18: rewrite the store by fetch date and report files and bytes before / after."""
     out = scratch(spark, "compaction")
     return sinks.compact(spark, D.snapshots(spark, sf_dir), out, "fetched_at")
-
-
-@register("pacing_multi_slot", None)
-def q_pacing_multi_slot(spark, sf_dir):
-    """O-D4: earliest starts with ``max_concurrent_requests`` slots per domain (grouped-map
-    with a small heap per domain and hour chunk; rows-only check, brute-force tested)."""
-    from pagecorpus.plans.q_policy import _logp
-    return pol.pacing_plan_slots(_logp(spark, sf_dir)).select("request_id", "domain", "planned_start_us")

@@ -212,19 +212,13 @@ def q_proxy_choice(spark, sf_dir):
 
 def _page_labels(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    lower = F.lower("html")
-    marker = L._first_marker(lower, L.BLOCK_MARKERS)
-    from pagecorpus.functions.text import py_strip
-    return p.select("page_id", (F.length(py_strip(F.col("html"))) < L.MIN_VALID_HTML_LENGTH).alias("short"),
-                    marker.alias("marker"))
+    return p.select("page_id", L.page_block_rule(F.col("html")).alias("page_rule"))
 
 
 def _labels(spark, sf_dir):
     f = D.fetch_log(spark, sf_dir)
     j = f.join(_page_labels(spark, sf_dir), "page_id")
-    rule = (F.when(F.col("status_code").isin(L.BLOCKED_STATUS), F.lit("status"))
-            .when(F.col("short"), F.lit("too_short"))
-            .when(F.col("marker").isNotNull(), F.concat(F.lit("marker:"), F.col("marker"))))
+    rule = L.block_rule(F.col("status_code"), F.col("page_rule"))
     return j.withColumn("rule", rule).withColumn("blocked", F.col("rule").isNotNull())
 
 

@@ -123,7 +123,7 @@ def q_store_purge_all(spark, sf_dir):
 
 @register("store_purge_domain", S.with_views(["snapshots", "page_keys"], """
 SELECT s.cache_key, s.url,
-       NOT contains(lower(s.url), 'example.net') AS kept_substring,
+       lower(s.url) NOT LIKE '%example.n_t%' AS kept_substring,
        coalesce(k.domain <> 'blog.ththan.example.net', true) AS kept_exact
 FROM snapshots s LEFT JOIN (SELECT DISTINCT cache_key, domain FROM page_keys) k USING (cache_key)"""))
 def q_store_purge_domain(spark, sf_dir):
@@ -132,7 +132,7 @@ def q_store_purge_domain(spark, sf_dir):
     k = D.page_keys(spark, sf_dir).select("cache_key", "domain").distinct()
     j = s.join(k, "cache_key", "left")
     return j.select("cache_key", "url",
-                    (~F.contains(F.lower("url"), F.lit("example.net"))).alias("kept_substring"),
+                    (~st.purged("url", "EXAMPLE.n_t")).alias("kept_substring"),
                     F.coalesce(F.col("domain") != "blog.ththan.example.net", F.lit(True)).alias("kept_exact"))
 
 

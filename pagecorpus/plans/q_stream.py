@@ -14,8 +14,6 @@ from pagecorpus.plans.registry import ORACLES, register
 from pagecorpus.sources import derived as D
 from pagecorpus.streaming import streams as T
 
-N_FILES = 6
-
 
 def _snapshot_rows(spark, sf_dir):
     raw = D.snapshots_raw(spark, sf_dir).join(D.page_keys(spark, sf_dir).select("page_id", "cache_key"), "page_id")
@@ -24,7 +22,7 @@ def _snapshot_rows(spark, sf_dir):
 
 def _ingested_store(spark, sf_dir):
     rows = _snapshot_rows(spark, sf_dir)
-    src = T.write_source_files(rows, T.scratch(spark, "snap_src"), N_FILES, "fetched_at")
+    src = T.write_source_files(rows, T.scratch(spark, "snap_src"), T.input_files(spark), "fetched_at")
     return T.ingest_snapshots(spark, src, rows.schema, T.scratch(spark, "store"))
 
 
@@ -39,7 +37,7 @@ def q_stream_ingest(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     """O-T2: repeated fetches of a key inside the watermark delay suppressed (rows-only)."""
     rows = _snapshot_rows(spark, sf_dir)
-    src = T.write_source_files(rows, T.scratch(spark, "dedup_src"), N_FILES, "fetched_at")
+    src = T.write_source_files(rows, T.scratch(spark, "dedup_src"), T.input_files(spark), "fetched_at")
     return T.dedup_within_ttl(spark, src, rows.schema, T.scratch(spark, "dedup_out"), "cache_key", "fetched_at") \
         .select("cache_key", "seq", "fetched_at")
 
@@ -53,7 +51,7 @@ FROM fetch_log GROUP BY 1, 2""")
 def q_stream_window_counts(spark, sf_dir):
     """O-T3: hourly request counters per mode from the fetch-log stream (watermarked)."""
     rows = D.fetch_log(spark, sf_dir)
-    src = T.write_source_files(rows, T.scratch(spark, "win_src"), N_FILES, "requested_at")
+    src = T.write_source_files(rows, T.scratch(spark, "win_src"), T.input_files(spark), "requested_at")
     out = T.windowed_counts(spark, src, rows.schema, T.scratch(spark, "win_out"), "requested_at", ["mode"])
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "mode", "n", "elapsed_ms_sum")
 
@@ -62,7 +60,7 @@ def q_stream_window_counts(spark, sf_dir):
 def q_stream_job_states(spark, sf_dir):
     """O-T4: job states maintained by a stateful stream over the job event log."""
     ev = D.job_events(spark, sf_dir).select("job_id", "ts", "event")
-    src = T.write_source_files(ev, T.scratch(spark, "job_src"), N_FILES, "ts")
+    src = T.write_source_files(ev, T.scratch(spark, "job_src"), T.input_files(spark), "ts")
     return T.job_state_stream(spark, src, ev.schema, T.scratch(spark, "job_out")).select(
         "job_id", "status", "created_at", "started_at", "finished_at", "updated_at")
 

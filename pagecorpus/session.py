@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("PAGECORPUS_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("PAGECORPUS_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_session_conf(spark)
@@ -99,6 +99,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not (sc.master or "").startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
     if app not in _LOCAL_CKPT:
         _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="pagecorpus-ckpt-", dir="/tmp")
@@ -142,3 +144,12 @@ def fs_list(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def fs_identity(spark: SparkSession, path: str) -> str:
+    """Size and newest modification time of the files under ``path`` (one folder level): a table
+    that is overwritten has another identity."""
+    p, fs = _fs(spark, path)
+    top = fs.getFileStatus(p)
+    parts = fs.listStatus(p) if top.isDirectory() else [top]
+    return f"{path}|{sum(s.getLen() for s in parts)}|{max([s.getModificationTime() for s in parts], default=0)}|{len(parts)}"

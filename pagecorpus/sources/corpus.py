@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecorpus.session import checkpoint_dir, fs_exists
+from pagecorpus.session import checkpoint_dir, fs_exists, fs_identity
 from pagecorpus.sources.shred import shred
 from pagecorpus.sources.tables import read_table, table_path
 
@@ -23,7 +23,7 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 def nodes_table(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None,
                 key: str | None = None) -> DataFrame:
     """Node table of ``sf_dir``'s pages (or of ``pages`` under a caller-chosen ``key``)."""
-    src_key = key or table_path(sf_dir, "pages")
+    src_key = (key or "") + fs_identity(spark, table_path(sf_dir, "pages"))
     cache_key = (spark.sparkContext.applicationId, src_key)
     path = _WRITTEN.get(cache_key)
     if path is None or not fs_exists(spark, path):

@@ -118,7 +118,7 @@ class _TreeBuilder(HTMLParser):
         self.container_depth = 0    # open string containers
         self.preserve_depth = 0     # open pre / textarea
         self.pending: list[str] = []
-        self.closed_void: list[str] = []
+        self.closed_void: dict[str, int] = {}
 
     def _new(self, parent, depth, kind, tag, attrs, text) -> int:
         nid = len(self.kind)
@@ -162,15 +162,15 @@ class _TreeBuilder(HTMLParser):
             self.preserve_depth += 1
         if _close_void and tag in VOID_ELEMENTS:
             self._pop_to(tag)
-            self.closed_void.append(tag)
+            self.closed_void[tag] = self.closed_void.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs, _close_void=False)
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag, _check_void=True):
-        if _check_void and tag in self.closed_void:
-            self.closed_void.remove(tag)
+        if _check_void and self.closed_void.get(tag):
+            self.closed_void[tag] -= 1
             return
         self._flush()
         self._pop_to(tag)

@@ -50,7 +50,18 @@ def write_source_files(df: DataFrame, path: str, n_files: int, order_col: str) -
     return path
 
 
-def _stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+#: Micro-batches that a replay takes: files are read in order, so many to a batch.
+REPLAY_BATCHES = 6
+
+
+def input_files(spark: SparkSession) -> int:
+    """Files of a landed stream input: as many as the session shuffles into."""
+    return max(REPLAY_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    if files_per_trigger is None:
+        files_per_trigger = max(1, sum(f.startswith("part-") for f in fs_list(spark, path)) // REPLAY_BATCHES)
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
@@ -147,7 +158,7 @@ def _job_state_fn(key, pdfs, state):
 def job_state_stream(spark: SparkSession, source: str, schema, out_dir: str) -> DataFrame:
     """O-T4: job events stream -> current job state; the latest row per job is kept by an
     idempotent per-batch merge (max_by on the batch id)."""
-    states = (_stream(spark, source, schema, files_per_trigger=2).groupBy("job_id")
+    states = (_stream(spark, source, schema).groupBy("job_id")
               .applyInPandasWithState(_job_state_fn, _JOB_STATE_OUT, _JOB_STATE, "update",
                                       GroupStateTimeout.NoTimeout))
 
