@@ -101,6 +101,19 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers are reused, and what the
+    allocators keep would add up over the stages of a job."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def total_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(col)).cast("long")), F.lit(0))).first()[0])
 

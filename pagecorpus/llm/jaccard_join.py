@@ -72,6 +72,8 @@ def frequencies(blocks: DataFrame, n: int) -> DataFrame:
         heads, counts = _heads([shingle_set(t) for t in pdf["text"]])
         cut = _cuts(heads, n)
         rows = [(key[0], i, C.pack_sorted(heads[cut[i]:cut[i + 1]]), C.pack(counts[cut[i]:cut[i + 1]].astype("<i4"))) for i in range(n)]
+        del heads, counts
+        C.release()
         return pd.DataFrame(rows, columns=["block", "part", "heads", "counts"])
 
     def answer(key, pdf):
@@ -106,6 +108,8 @@ def prefixes(blocks: DataFrame, classes: DataFrame) -> DataFrame:
             name = xxhash.xxh128_digest(s.tobytes())
             out.append((doc_id, n, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True),
                         shared.astype(np.int64), text if len(shared) else None))
+        del sets, heads, klass
+        C.release()
         return pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "shared", "text"]).astype({"doc_id": "Int64"})
     return (blocks.groupBy("block").cogroup(classes.groupBy("block"))
             .applyInPandas(run, "doc_id long, n long, k1 long, k2 long, shared array<long>, text string"))
@@ -227,6 +231,8 @@ def trie_links(members: DataFrame, limit: int = MEMBERS) -> DataFrame:
         own, reps = pdf["own"].to_numpy(), pdf["rep"].to_numpy()
         left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
         links = group_links(sets, left, right) if len(left) and len(right) else []
+        del sets
+        C.release()
         return pd.DataFrame([(reps[a], reps[b]) for a, b in links], columns=["a", "b"], dtype="int64")
     return pairs.select("family", "g0", "g1", "own", "rep", "text").groupBy("family", "g0", "g1").applyInPandas(run, "a long, b long")
 

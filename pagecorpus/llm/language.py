@@ -84,6 +84,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 df += gram_counts(t) > 0
                 n += 1
         at = np.flatnonzero(df)
+        C.release()
         yield pd.DataFrame({"dim": np.append(at, -1), "n": np.append(df[at], n)})
     rows = docs.select("text").mapInPandas(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(DIMS, np.int64), 0

@@ -40,7 +40,7 @@ END = 0
 TARGET = 32 * C.MB
 BLOCK_TOKENS = 1 << 15
 #: Distinct words kept by a process before its table is emptied (about 40 bytes each).
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_200_000
 #: Text cut at a time.
 CUT_BYTES = 1 << 19
 #: Letters and signs that every Unicode version classes alike.
@@ -268,6 +268,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             ids = [_narrow(np.append(x, x.dtype.type(end))) for x in enc.texts(texts)]
             yield pd.DataFrame({"shard": C.buckets_of(pdf["doc_id"], cuts), "doc_id": pdf["doc_id"].astype("Int64"), "tie": texts_hash(texts), "ids": ids})
+        C.release()
 
     def blocks(batches):
         held: list = []
@@ -290,6 +291,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 yield pd.DataFrame(done, columns=_BLOCK_COLUMNS)
         if held:
             yield pd.DataFrame([flush()], columns=_BLOCK_COLUMNS)
+        C.release()
     rows = d.mapInPandas(run, "shard int, doc_id long, tie string, ids binary")
     return (rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
             .mapInPandas(blocks, _BLOCK))
@@ -331,6 +333,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
         for pdf in batches:
             made = [encode_values(rank[_wide(x)]) for x in pdf["ids"]]
             yield pdf[["shard", "block", "doc_ids", "counts"]].assign(control=[m[0] for m in made], data=[m[1] for m in made])
+        C.release()
     (blocks.mapInPandas(code, "shard int, block int, doc_ids binary, counts binary, control binary, data binary")
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/blocks"))
 
