@@ -3,8 +3,8 @@
 A text becomes a vector of hashed byte bigrams and trigrams of its lower-case form, weighted by
 log(1 + count) and by inverse document frequency, and scaled to length 1.  Every language has
 several centroids, found by spherical k-means over its own documents; a text takes the
-language of the centroid with the largest cosine.  A text whose cosine is under that centroid's
-rejection limit (a fixed share of the smallest cosine among the centroid's own members) is
+language of the centroid with the largest cosine.  A text whose cosine is under that language's
+rejection limit (a fixed share of the smallest cosine among the language's own sample) is
 rejected: it is too far from everything that was learned.
 
 Document frequencies cover all learning rows.  The centroids are fitted on a bounded sample:
@@ -29,7 +29,9 @@ LOG_DIMS = 13
 DIMS = 1 << LOG_DIMS
 CENTROIDS = 4
 SAMPLE = 400
-REJECT = 0.25
+REJECT = 0.4
+#: Share of a language's sample that a centroid needs.
+LEAST_SHARE = 0.02
 _KNUTH = np.uint32(2654435761)
 
 
@@ -57,7 +59,8 @@ def vectors(texts, idf: np.ndarray) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means with farthest-first starts; centroids and each one's least cosine."""
+    """Spherical k-means with farthest-first starts; the centroids that hold a fair share of the rows,
+    and the least cosine between a row and its nearest one of them."""
     mean = x.mean(axis=0)
     picks = [int(np.argmax(x @ mean))]
     while len(picks) < min(k, len(x)):
@@ -69,10 +72,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
             if (own == j).any():
                 v = x[own == j].sum(axis=0)
                 c[j] = v / max(float(np.linalg.norm(v)), 1e-12)
-    sims = x @ c.T
-    own = np.argmax(sims, axis=1)
-    least = np.array([sims[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
-    return c, least
+    n = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    c = c[(n >= LEAST_SHARE * len(x)) | (n == n.max())]  # a few outliers are no cluster
+    return c, np.full(len(c), (x @ c.T).max(axis=1).min())
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
