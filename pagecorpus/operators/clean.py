@@ -182,9 +182,10 @@ def rebuild_html(nodes: DataFrame, root_col: str | None = None) -> DataFrame:
 
     Every node yields an opening piece at ``(node_id, 0)`` and elements a closing piece at
     ``(last_desc, 1, -depth)``, so closings follow the subtree inner-first; one sorted
-    ``collect_list`` per page joins them.  Void elements print as ``<br/>``; text is
+    ``collect_list`` per page joins them.  Rows of several subtrees (``root_col``) bring their
+    ``parent_tag`` along.  Void elements print as ``<br/>``; text is
     escaped except directly inside script / style."""
-    n = with_parent_tag(nodes).filter(F.col("kind") != "document")
+    n = (nodes if "parent_tag" in nodes.columns else with_parent_tag(nodes)).filter(F.col("kind") != "document")
     attrs_txt = F.array_join(F.transform(F.map_entries("attrs"), lambda e: _attr_text(e["key"], e["value"])), "")
     is_void = F.col("tag").isin(list(VOID_ELEMENTS))
     raw_parent = F.coalesce(F.col("parent_tag").isin("script", "style"), F.lit(False))

@@ -6,11 +6,11 @@ objects).  Spark has no recursive types, so the spec is compiled on the driver i
 plan whose result type follows the spec: string, ``array<string>``, ``struct`` or
 ``array<struct>``.
 
-Every field is evaluated per *scope* ``(page_id, scope_id)``: the document (scope 0) at
-the top, the matched elements of an object field below it.  A field's matches are the
-selector's global matches that lie inside the scope (descendant test = equi-join on the
-exploded ancestor list).  Values per match come from :mod:`values`; per scope the first
-match (``min_by`` on node id) or the document-ordered list is kept.  Then:
+All selectors become boolean columns of the node table (:mod:`select`), and the nodes of a page one
+array indexed by node id, all behind one exchange by page.  Every field is evaluated per *scope*: the
+document at the top, a matched element of an object field below it.  A scope is a slice of the array,
+since a subtree is an interval of ids; so is the text of an element.  Of the matches inside the scope
+the first one or the document-ordered list is kept.  Then:
 
 * no match -> ``default`` (null for multiple too), or a failure when ``required``;
 * a matched element lacking the attribute -> null, not the default;
@@ -21,14 +21,18 @@ match (``min_by`` on node id) or the document-ordered list is kept.  Then:
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecorpus.operators.clean import rebuild_html
-from pagecorpus.operators.select import parse_selector, select_nodes
-from pagecorpus.operators.values import element_attr, element_text
+from pagecorpus.functions.text import py_strip
+from pagecorpus.operators.clean import rebuild_html, with_parent_tag
+from pagecorpus.operators.select import match_columns, parse_selector
+from pagecorpus.operators.values import absolutize, attr_value
+from pagecorpus.sources.shred import STRING_CONTAINERS
 
 FIELD_TYPES = ("text", "html", "attr", "object")
 
@@ -48,6 +52,7 @@ class Field:
     required: bool = False
     absolute_url: bool = False
     fields: list["Field"] = field(default_factory=list)
+    no: int = -1
 
     def spark_type(self) -> T.DataType:
         if self.type == "object":
@@ -89,85 +94,119 @@ def _default_col(f: Field) -> Column:
     return F.lit(f.default)
 
 
-def _scoped(matches: DataFrame, scopes: DataFrame | None) -> DataFrame:
-    """Matches inside each scope, as ``(page_id, scope_id, node_id)``."""
-    if scopes is None:
-        return matches.select("page_id", F.lit(0).alias("scope_id"), "node_id")
-    anc = matches.select("page_id", "node_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("scope_id"))
-    return anc.join(scopes.select("page_id", "scope_id").distinct(), ["page_id", "scope_id"], "left_semi")
+def subtree_html(nodes: DataFrame, matches: DataFrame, inner: bool = True) -> DataFrame:
+    """O-X3 (inner) / O-X14 (outer) markup of each match ``(page_id, node_id, last_desc)``:
+    ``(page_id, node_id, html)``; an element without content has no row in the inner form.
 
+    A match is spread to the ids of its interval, so as many rows are made as are printed."""
+    first = F.col("node_id") + (1 if inner else 0)
+    ids = (matches.filter(first <= F.col("last_desc"))
+           .select("page_id", F.col("node_id").alias("_root"), F.explode(F.sequence(first, "last_desc")).alias("node_id")))
+    rows = ids.join(with_parent_tag(nodes), ["page_id", "node_id"])
+    return rebuild_html(rows, root_col="_root").withColumnRenamed("_root", "node_id")
 
-def subtree_html(nodes: DataFrame, matches: DataFrame, inner: bool = True) -> DataFrame:
-    """O-X3 (inner) / O-X14 (outer) markup of each match: ``(page_id, node_id, value)``."""
-    m = matches.select("page_id", F.col("node_id").alias("_root")).distinct()
-    span = F.slice("path", 1, F.size("path") - 1) if inner else F.col("path")
-    # explode ids only, keep the (node, root) pairs inside a match, then join the node rows back
-    ids = nodes.select("page_id", "node_id", F.explode(span).alias("_root")).join(m, ["page_id", "_root"], "left_semi")
-    rows = ids.join(nodes, ["page_id", "node_id"])
-    html = rebuild_html(rows, root_col="_root").withColumnRenamed("_root", "node_id")
-    return (m.withColumnRenamed("_root", "node_id").join(html, ["page_id", "node_id"], "left")
-            .select("page_id", "node_id", F.coalesce("html", F.lit("")).alias("value")))
-
-
-def _values(nodes: DataFrame, f: Field, matches: DataFrame, bases: DataFrame | None,
-            path: list[int]) -> DataFrame:
-    """``(page_id, node_id, value, fail)`` per match for a non-object or object field."""
+
+_FAIL = "struct<field:string,message:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _numbered(fields: list[Field]) -> list[Field]:
+    """All fields of a spec, parents before children; ``Field.no`` is the place in this list."""
+    out: list[Field] = []
+
+    def walk(level):
+        for f in level:
+            f.no = len(out)
+            out.append(f)
+            walk(f.fields)
+    walk(fields)
+    return out
+
+
+def _inside(page: Column, m: Column) -> Column:
+    """The part of the page's array below node ``m`` (element i of the array is node i - 1)."""
+    return F.slice(page, m["id"] + 2, m["last"] - m["id"])
+
+
+def _value(f: Field, page: Column, m: Column) -> Column:
+    """``struct(value, fail)`` of one match."""
+    if f.type == "object":
+        return _record(f.fields, page, _inside(page, m))
     if f.type == "text":
-        v = element_text(nodes, matches)
-    elif f.type == "attr":
-        if f.absolute_url and bases is None:
-            raise SpecError("absolute_url needs page base URLs")
-        v = element_attr(nodes, matches, f.attribute, f.absolute_url, bases)
-    elif f.type == "html":
-        v = subtree_html(nodes, matches, inner=True)
-    elif f.type == "outer":
-        v = subtree_html(nodes, matches, inner=False)
+        strings = F.filter(_inside(page, m), lambda n: n["container"] == m["container"])
+        value = F.array_join(F.transform(strings, lambda n: n["piece"]), "")
     else:
-        # every matched element is a scope; for a single object the caller keeps the
-        # first element's record and failure (min_by on node id), as only it is evaluated
-        scopes = matches.select("page_id", F.col("node_id").alias("scope_id"), "node_id").distinct()
-        level = _evaluate(nodes, f.fields, scopes, bases, path, scoped_ids=True)
-        return level.select("page_id", F.col("scope_id").alias("node_id"), F.col("record").alias("value"), "fail")
-    return v.withColumn("fail", F.lit(None).cast(_FAIL))
-
-
-_FAIL = "struct<ord:array<bigint>,field:string,message:string>"
-
-
-def _evaluate(nodes: DataFrame, fields: list[Field], scopes: DataFrame, bases: DataFrame | None,
-              path: list[int], scoped_ids: bool = False) -> DataFrame:
-    """All ``fields`` per scope: ``(page_id, scope_id, record struct, fail)``."""
-    out = scopes.select("page_id", "scope_id").distinct()
-    fail_cols = []
-    for i, f in enumerate(fields):
-        matches = select_nodes(nodes, f.selector)
-        in_scope = _scoped(matches, scopes if scoped_ids else None)
-        vals = _values(nodes, f, matches.join(in_scope.select("page_id", "node_id").distinct(),
-                                              ["page_id", "node_id"], "left_semi"), bases, path + [i])
-        per = in_scope.join(vals, ["page_id", "node_id"])
+        value = m[f"v{f.no}"]
+    return F.struct(value.alias("value"), F.lit(None).cast(_FAIL).alias("fail"))
+
+
+def _field(f: Field, page: Column, scope: Column) -> Column:
+    """``struct(value, fail)`` of a field among the nodes of ``scope``."""
+    own = F.struct(F.lit(f.name).alias("field"), F.lit(f"No element matched CSS selector '{f.selector}'").alias("message"))
+    none = F.struct(_default_col(f).cast(f.spark_type()).alias("value"),
+                    F.when(F.lit(f.required), own).cast(_FAIL).alias("fail"))
+
+    def of(matches: Column) -> Column:
         if f.multiple:
-            agg_val = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"])
-            agg_fail = F.min(F.when(F.col("fail").isNotNull(), F.struct(
-                F.concat(F.array(F.col("node_id").cast("bigint")), F.col("fail.ord")).alias("ord"),
-                F.col("fail.field").alias("field"), F.col("fail.message").alias("message"))))
+            found = _let(F.transform(matches, lambda m: _value(f, page, m)), lambda each: F.struct(
+                F.transform(each, lambda x: x["value"]).alias("value"),
+                F.get(F.filter(F.transform(each, lambda x: x["fail"]), lambda x: x.isNotNull()), F.lit(0)).alias("fail")))
         else:
-            agg_val = F.min_by("value", "node_id")
-            agg_fail = F.min_by("fail", "node_id")
-        got = per.groupBy("page_id", "scope_id").agg(agg_val.alias(f"_v{i}"), F.count(F.lit(1)).alias(f"_n{i}"),
-                                                      agg_fail.alias(f"_f{i}"))
-        out = out.join(got, ["page_id", "scope_id"], "left")
-        matched = F.coalesce(F.col(f"_n{i}"), F.lit(0)) > 0
-        out = out.withColumn(f"_v{i}", F.when(matched, F.col(f"_v{i}")).otherwise(_default_col(f)))
-        own_fail = F.struct(F.array(F.lit(i).cast("bigint")).alias("ord"), F.lit(f.name).alias("field"),
-                            F.lit(f"No element matched CSS selector '{f.selector}'").alias("message"))
-        nested = F.when(F.col(f"_f{i}").isNotNull(), F.struct(
-            F.concat(F.array(F.lit(i).cast("bigint")), F.col(f"_f{i}.ord")).alias("ord"),
-            F.col(f"_f{i}.field").alias("field"), F.col(f"_f{i}.message").alias("message")))
-        out = out.withColumn(f"_f{i}", F.when(~matched & F.lit(f.required), own_fail).otherwise(nested).cast(_FAIL))
-        fail_cols.append(F.col(f"_f{i}"))
-    record = F.struct(*[F.col(f"_v{i}").alias(f.name) for i, f in enumerate(fields)])
-    fail = F.least(*fail_cols) if len(fail_cols) > 1 else (fail_cols[0] if fail_cols else F.lit(None).cast(_FAIL))
-    return out.select("page_id", "scope_id", record.alias("record"), fail.alias("fail"))
+            found = _let(F.get(matches, F.lit(0)), lambda m: _value(f, page, m))
+        return F.when(F.size(matches) == 0, none).otherwise(found)
+    return _let(F.filter(scope, lambda n: n[f"m{f.no}"]), of)
+
+
+def _record(fields: list[Field], page: Column, scope: Column) -> Column:
+    """``struct(value, fail)`` of all fields among the nodes of ``scope``; the first failing field counts."""
+    each = F.struct(*[_field(f, page, scope).alias(f"f{f.no}") for f in fields])
+    return _let(each, lambda r: F.struct(
+        F.struct(*[r[f"f{f.no}"]["value"].alias(f.name) for f in fields]).alias("value"),
+        F.coalesce(*[r[f"f{f.no}"]["fail"] for f in fields]).alias("fail")))
+
+
+def page_arrays(nodes: DataFrame, fields: list[Field], bases: DataFrame | None) -> DataFrame:
+    """``(page_id, has_html, page)``: one row for each page, ``page[i]`` for node i with its interval, its
+    stripped string, and for field k whether it matches (``mk``) and its attribute or markup (``vk``).
+
+    Nodes that no field needs are null.  One exchange by page; a page's array is bounded by the size
+    cap of pages."""
+    every = _numbered(fields)
+    string = F.col("kind").isin("text", "cdata", "ctext")
+    keep = [F.when(string, py_strip(F.col("text"))).alias("piece"),
+            F.when(string, F.col("kind") == "ctext").otherwise(F.coalesce(F.col("tag").isin(list(STRING_CONTAINERS)), F.lit(False)))
+            .alias("container")]
+    keep += [attr_value(f.attribute).alias(f"v{f.no}") for f in every if f.type == "attr"]
+    df = match_columns(nodes, {f"m{f.no}": f.selector for f in every}, keep)
+    absolute = [f for f in every if f.type == "attr" and f.absolute_url]
+    df = df.withColumns({f"v{f.no}": F.when(F.col(f"m{f.no}"), F.col(f"v{f.no}")) for f in every if f.type == "attr"})
+    if absolute:
+        if bases is None:
+            raise SpecError("absolute_url needs page base URLs")
+        df = df.join(bases.select("page_id", "base_url"), "page_id", "left")
+        for f in absolute:
+            df = absolutize(df, f"v{f.no}", "base_url", f"v{f.no}")
+    for f in every:
+        if f.type in ("html", "outer"):
+            html = subtree_html(nodes, df.filter(f"m{f.no}").select("page_id", "node_id", "last_desc"), f.type == "html")
+            df = df.join(html.withColumnRenamed("html", f"v{f.no}"), ["page_id", "node_id"], "left")
+            df = df.withColumn(f"v{f.no}", F.when(F.col(f"m{f.no}"), F.coalesce(f"v{f.no}", F.lit(""))))
+    marks = [f"m{f.no}" for f in every]
+    texts = F.col("piece") != "" if any(f.type == "text" for f in every) else F.lit(False)
+    needed = reduce(or_, [F.col(m) for m in marks], (F.col("node_id") == 0) | F.coalesce(texts, F.lit(False)))
+    gap = F.lead("node_id").over(Window.partitionBy("page_id").orderBy("node_id")) - F.col("node_id") - 1
+    values = [f"v{f.no}" for f in every if f.type in ("attr", "html", "outer")]
+    df = df.filter(needed).select("page_id", F.coalesce(gap, F.lit(0)).alias("gap"), F.struct(
+        F.col("node_id").alias("id"), F.col("last_desc").alias("last"), "container", "piece", *marks, *values).alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("n.id").alias("id"), "n", "gap")))
+    filled = F.flatten(F.transform(rows, lambda r: F.concat(F.array(r["n"]), F.array_repeat(F.when(F.lit(False), r["n"]), r["gap"]))))
+    return (df.groupBy("page_id").agg(filled.alias("page"))
+            .filter(F.col("page")[0]["id"] == 0)
+            .select("page_id", (F.col("page")[0]["last"] > 0).alias("has_html"), "page"))
 
 
 def extract(nodes: DataFrame, spec: dict, bases: DataFrame | None = None,
@@ -177,13 +216,11 @@ def extract(nodes: DataFrame, spec: dict, bases: DataFrame | None = None,
     O-X13 gating: disabled or empty specs and pages with empty HTML get neither column
     filled."""
     fields = compile_spec(spec)
-    pages = nodes.filter(F.col("node_id") == 0).select("page_id", (F.col("last_desc") > 0).alias("_has_html"))
-    if not fields:
-        return pages.select("page_id", F.lit(None).alias("extracted"), F.lit(None).alias("extraction_error"))
-    roots = (pages.filter("_has_html") if enabled else pages.filter(F.lit(False))).select("page_id", F.lit(0).alias("scope_id"))
-    res = _evaluate(nodes, fields, roots, bases, [])
-    failed = F.col("fail").isNotNull()
-    res = res.select("page_id", F.when(~failed, F.col("record")).alias("extracted"),
-                     F.when(failed, F.struct(F.col("fail.field").alias("field"),
-                                             F.col("fail.message").alias("message"))).alias("extraction_error"))
-    return pages.select("page_id").join(res, "page_id", "left")
+    if not fields or not enabled:
+        kind = T.StructType([T.StructField(f.name, f.spark_type(), True) for f in fields]) if fields else T.NullType()
+        return nodes.filter(F.col("node_id") == 0).select(
+            "page_id", F.lit(None).cast(kind).alias("extracted"), F.lit(None).cast(_FAIL).alias("extraction_error"))
+    pages = page_arrays(nodes, fields, bases)
+    done = pages.select("page_id", F.when(F.col("has_html"), _record(fields, F.col("page"), F.col("page"))).alias("r"))
+    return done.select("page_id", F.when(F.col("r.fail").isNull(), F.col("r.value")).alias("extracted"),
+                       F.col("r.fail").alias("extraction_error"))

@@ -1,22 +1,23 @@
-"""O-X1: CSS selectors compiled to joins over the node table.
+"""O-X1: CSS selectors compiled to windows over the node table.
 
 Supported subset: type, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]``, ``~= |= ^= $= *=``,
 ``:first-child``, ``:last-child``, ``:nth-child(an+b)``, ``:not(compound)``, the four
 combinators (descendant, ``>``, ``+``, ``~``) and comma lists.  Anything else is rejected
 when the selector is compiled, never silently ignored.
 
-Plan shapes: a compound is a predicate on one node row; ``A B`` explodes only the *candidate*
-``B`` rows' ancestor lists and semi-joins them to the ``A`` matches on ``(page_id, ancestor)``;
-``A > B`` is a semi-join on ``(page_id, parent_id)``; ``A + B`` / ``A ~ B`` join on
-``(page_id, parent_id)`` with the element-sibling index.  No range or nested-loop joins.
+A compound is a predicate on one node row.  ``A B`` compares a running maximum of the ends of ``A``'s
+intervals with the node's id; ``A > B`` looks at the group of a parent and its children; ``A + B`` and
+``A ~ B`` look at the siblings before.  All windows lie within a page, so rows are dealt once.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecorpus.functions.text import WS
@@ -220,48 +221,80 @@ def compound_predicate(c: Compound) -> Column:
     return pred
 
 
-_KEEP = ["page_id", "node_id", "parent_id", "esib", "path"]
-
-
-def _step(prev: DataFrame, comb: str, cand: DataFrame) -> DataFrame:
-    """Candidates related to ``prev`` matches by ``comb`` (both carry _KEEP columns)."""
-    if comb == " ":
-        anc = (cand.select("page_id", "node_id",
-                           F.explode(F.slice("path", 1, F.size("path") - 1)).alias("anc")))
-        hits = anc.join(prev.select("page_id", F.col("node_id").alias("anc")), ["page_id", "anc"],
-                        "left_semi").select("page_id", "node_id").distinct()
-        return cand.join(hits, ["page_id", "node_id"], "left_semi")
-    if comb == ">":
-        return cand.join(prev.select("page_id", F.col("node_id").alias("parent_id")).distinct(),
-                         ["page_id", "parent_id"], "left_semi")
-    if comb == "+":
-        return cand.join(prev.select("page_id", "parent_id", (F.col("esib") + 1).alias("esib")).distinct(),
-                         ["page_id", "parent_id", "esib"], "left_semi")
-    if comb == "~":
-        first = prev.groupBy("page_id", "parent_id").agg(F.min("esib").alias("_first"))
-        c = cand.alias("c")
-        f = first.alias("f")
-        return c.join(f, (F.col("c.page_id") == F.col("f.page_id"))
-                      & (F.col("c.parent_id") == F.col("f.parent_id"))
-                      & (F.col("c.esib") > F.col("f._first")), "left_semi")
-    raise SelectorError(f"unknown combinator {comb!r}")
+def _strictly_before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _descendants(df: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """Nodes below a flagged one: some flagged node before it has an interval that reaches it."""
+    order = _strictly_before(Window.partitionBy("page_id").orderBy("node_id"))
+    return df.select("*", *[
+        (F.col(own) & F.coalesce(F.max(F.when(F.col(prev), F.col("last_desc"))).over(order) >= F.col("node_id"), F.lit(False)))
+        .alias(out) for out, prev, own in steps])
+
+
+def _children(df: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """Children of a flagged node: flagged rows get a second copy in the group of their children."""
+    parent = reduce(or_, [F.col(prev) for _, prev, _ in steps])
+    own = F.struct(F.col("parent_id").alias("group"), F.lit(True).alias("row"))
+    copy = F.struct(F.col("node_id").alias("group"), F.lit(False).alias("row"))
+    both = df.select("*", F.explode(F.when(parent, F.array(own, copy)).otherwise(F.array(own))).alias("_g"))
+    family = Window.partitionBy("page_id", "_g.group")
+    return both.select(*df.columns, "_g", *[
+        (F.col(own_) & F.max(~F.col("_g.row") & F.col(prev)).over(family)).alias(out)
+        for out, prev, own_ in steps]).filter("_g.row").drop("_g")
+
+
+def _siblings(df: DataFrame, steps: list[tuple[str, str, str]], adjacent: bool) -> DataFrame:
+    """Elements right after (``+``) or anywhere after (``~``) a flagged sibling; other nodes have no
+    ``esib`` and sort first."""
+    order = Window.partitionBy("page_id", "parent_id").orderBy("esib")
+    seen = (lambda c: F.lag(c).over(order)) if adjacent else (lambda c: F.max(c).over(_strictly_before(order)))
+    return df.select("*", *[(F.col(own) & F.coalesce(seen(F.col(prev)), F.lit(False))).alias(out) for out, prev, own in steps])
+
+
+_STEPS = {" ": _descendants, ">": _children, "+": lambda df, s: _siblings(df, s, True), "~": lambda df, s: _siblings(df, s, False)}
+
+
+def match_columns(nodes: DataFrame, selectors: dict[str, str], keep: list) -> DataFrame:
+    """``page_id, node_id, parent_id, last_desc, esib``, the ``keep`` columns and one boolean column
+    for each of ``selectors`` (name -> selector), for every node.
+
+    Compounds are tested where the rows lie, so attribute maps need not travel.  Then the rows are
+    dealt by ``page_id`` once, and every combinator is a window within the page: no join, and no
+    second exchange, however many selectors and steps there are.  Steps that selectors have in
+    common (the same beginning) are computed once."""
+    parsed = {name: parse_selector(text) for name, text in selectors.items()}
+    tests: dict[str, str] = {}
+    paths: dict[str, list[tuple]] = {}
+    predicates = []
+    for name, alternatives in parsed.items():
+        for steps in alternatives:
+            for _, compound in steps:
+                if repr(compound) not in tests:
+                    tests[repr(compound)] = f"_t{len(tests)}"
+                    predicates.append(F.coalesce(compound_predicate(compound), F.lit(False)).alias(tests[repr(compound)]))
+        paths[name] = [tuple((comb, repr(compound)) for comb, compound in steps) for steps in alternatives]
+    df = nodes.select("page_id", "node_id", "parent_id", "last_desc", "esib", *keep, *predicates)
+    done = {path[:1]: tests[path[0][1]] for found in paths.values() for path in found}
+    longest = max((len(path) for found in paths.values() for path in found), default=1)
+    if longest > 1:
+        df = df.repartition("page_id")
+    for size in range(2, longest + 1):
+        todo = dict.fromkeys(path[:size] for found in paths.values() for path in found if len(path) >= size)
+        for comb, step in _STEPS.items():
+            now = [p for p in todo if p[-1][0] == comb]
+            for p in now:
+                done[p] = f"_s{len(done)}"
+            if now:
+                df = step(df, [(done[p], done[p[:-1]], tests[p[-1][1]]) for p in now])
+    marks = [reduce(or_, [F.col(done[path]) for path in paths[name]]).alias(name) for name in selectors]
+    return df.select("page_id", "node_id", "parent_id", "last_desc", "esib",
+                     *[c for c in df.columns[5:5 + len(keep)]], *marks)
 
 
 def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
-    """Matches of ``selector`` as ``(page_id, node_id, parent_id, esib, path)`` (one row per
-    matched element; order by ``node_id`` for document order)."""
-    alternatives = parse_selector(selector)
-    base = nodes.filter(F.col("kind") == "element").select(*_KEEP, "tag", "attrs", "esib_rev", "kind")
-    results = []
-    for complex_sel in alternatives:
-        current = None
-        for comb, comp in complex_sel:
-            cand = base.filter(compound_predicate(comp)).select(*_KEEP)
-            current = cand if current is None else _step(current, comb, cand)
-        results.append(current)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    if len(results) > 1:
-        out = out.dropDuplicates(["page_id", "node_id"])
-    return out
+    """Matches of ``selector`` as ``(page_id, node_id, parent_id, last_desc, esib, tag)``, one row for each
+    matched element (order by ``node_id`` for document order)."""
+    return (match_columns(nodes, {"_match": selector}, ["tag"]).filter("_match")
+            .select("page_id", "node_id", "parent_id", "last_desc", "esib", "tag"))

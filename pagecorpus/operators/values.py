@@ -1,9 +1,5 @@
-"""Per-element values for extraction: text (O-X2), attributes (O-X4/O-X5, O-X12).
-
-Text of an element = its descendant strings, each stripped, empty ones skipped, joined with
-nothing (``Bold and italic`` across tags becomes ``Boldanditalic``).  Elements that are
-string containers (script, style, template, rt, rp) report their own container strings.
-"""
+"""Values of matched elements for extraction: attributes (O-X4/O-X5, O-X12).  Text values (O-X2) are
+slices of the page's strings and stand with the spec compiler in :mod:`extract`."""
 
 from __future__ import annotations
 
@@ -11,57 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.functions import urls
-from pagecorpus.functions.text import py_strip
-from pagecorpus.operators.nodes import ordered_join
-from pagecorpus.sources.shred import STRING_CONTAINERS
-
-
-_INDEX: dict[tuple, tuple[str, str]] = {}
-
-
-def string_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pieces(page_id, sid, kind, piece)`` -- every non-empty stripped string -- and
-    ``anc(page_id, sid, node_id)`` -- each string's strict ancestors.
-
-    Strings are stripped once (not once per ancestor row) and only ids go through the
-    explode.  For a written node table both are written once next to it (an index built
-    once per corpus, shared by every text field and query)."""
-    pieces = (nodes.filter(F.col("kind").isin("text", "cdata", "ctext"))
-              .select("page_id", F.col("node_id").alias("sid"), "kind", "path",
-                      py_strip(F.col("text")).alias("piece"))
-              .filter(F.col("piece") != ""))
-    anc = pieces.select("page_id", "sid", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
-    pieces = pieces.drop("path")
-    spark = nodes.sparkSession
-    from pagecorpus.session import fs_exists, materialize_at
-    # keyed by the canonical plan of the node table (a cleaned table gets its own index)
-    key = (spark.sparkContext.applicationId, nodes._jdf.queryExecution().analyzed().semanticHash())
-    got = _INDEX.get(key)
-    if got is None or not all(fs_exists(spark, p) for p in got):
-        (pw, pp), (aw, ap) = materialize_at(pieces, "string_pieces"), materialize_at(anc, "string_ancestors")
-        _INDEX[key] = (pp, ap)
-        return pw, aw
-    return spark.read.parquet(got[0]), spark.read.parquet(got[1])
-
-
-def element_text(nodes: DataFrame, matches: DataFrame) -> DataFrame:
-    """``matches(page_id, node_id)`` -> ``(page_id, node_id, value)``, one row per match.
-
-    Descendant strings are found by exploding each string node's ancestor list and
-    joining it to the matches on ``(page_id, ancestor)``; only string rows are exploded.
-    """
-    m = matches.select("page_id", "node_id").distinct()
-    tags = nodes.select("page_id", "node_id", "tag")
-    m = m.join(tags, ["page_id", "node_id"])
-    pieces, anc = string_index(nodes)
-    pairs = anc.join(m, ["page_id", "node_id"])
-    joined = pairs.join(pieces, ["page_id", "sid"])
-    container = F.col("tag").isin(list(STRING_CONTAINERS))
-    joined = joined.filter(F.when(container, F.col("kind") == "ctext")
-                           .otherwise(F.col("kind").isin("text", "cdata")))
-    text = ordered_join(joined, ["page_id", "node_id"], "sid", "piece", "", "value")
-    return (m.join(text, ["page_id", "node_id"], "left")
-            .select("page_id", "node_id", F.coalesce("value", F.lit("")).alias("value")))
 
 
 def attr_value(attribute: str | None) -> Column:
@@ -78,17 +23,3 @@ def absolutize(df: DataFrame, value: str, base: str, out: str) -> DataFrame:
     d = urls.add_joined_url(df, base, value, "_abs")
     v = F.col(value)
     return d.withColumn(out, F.when(v.isNotNull() & (v != ""), F.col("_abs")).otherwise(v)).drop("_abs")
-
-
-def element_attr(nodes: DataFrame, matches: DataFrame, attribute: str | None,
-                 absolute: bool = False, bases: DataFrame | None = None) -> DataFrame:
-    """``(page_id, node_id, value)`` for an attribute field."""
-    m = matches.select("page_id", "node_id").distinct()
-    vals = nodes.select("page_id", "node_id", attr_value(attribute).alias("value"))
-    out = m.join(vals, ["page_id", "node_id"])
-    if absolute:
-        if bases is None:
-            raise ValueError("absolute_url needs a (page_id, base_url) table")
-        out = out.join(bases.select("page_id", "base_url"), "page_id", "left")
-        out = absolutize(out, "value", "base_url", "value").select("page_id", "node_id", "value")
-    return out

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagecorpus.functions import urls
+from pagecorpus.operators.extract import extract
 from pagecorpus.operators.nodes import visible_text
-from pagecorpus.operators.select import select_nodes
-from pagecorpus.operators.values import element_text
 from pagecorpus.sources.corpus import nodes_table
 from pagecorpus.sources.tables import read_table
 
 
-def first_match(matches: DataFrame) -> DataFrame:
-    """O-X6: the first match per page in document order."""
-    return matches.groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+SUMMARY_SPEC = {"title": {"selector": "title"}, "links": {"selector": "nav a", "type": "attr", "multiple": True}}
 
 
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +25,9 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes_table(spark, sf_dir)
     keyed = urls.add_url_keys(pages, "url", canonical=None).select("page_id", "domain", "cache_key")
     text = visible_text(nodes).select("page_id", F.length("text").cast("long").alias("n_chars"))
-    title = element_text(nodes, first_match(select_nodes(nodes, "title"))) \
-        .select("page_id", F.col("value").alias("title"))
-    links = select_nodes(nodes, "nav a").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    found = extract(nodes, SUMMARY_SPEC).select("page_id", "extracted.title", F.size("extracted.links").alias("n_links"))
     return (keyed.join(text, "page_id", "left")
-            .join(title, "page_id", "left")
-            .join(links, "page_id", "left")
+            .join(found, "page_id", "left")
             .select("page_id", "domain", "cache_key", "title",
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.greatest("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars")))

@@ -255,11 +255,8 @@ FROM (SELECT page_id, html, regexp_extract(regexp_replace(html, '(?si)<(script|s
 @register("challenge_labels", CHALLENGE_SQL)
 def q_challenge_labels(spark, sf_dir):
     """O-L2: challenge marker found in the page title first, else in the whole page."""
-    from pagecorpus.operators.select import select_nodes
-    from pagecorpus.operators.values import element_text
-    from pagecorpus.plans.pages import first_match
-    nodes = nodes_table(spark, sf_dir)
-    title = element_text(nodes, first_match(select_nodes(nodes, "title"))).select("page_id", F.col("value").alias("title"))
+    from pagecorpus.operators.extract import extract
+    title = extract(nodes_table(spark, sf_dir), {"title": {"selector": "title"}}).select("page_id", "extracted.title")
     p = read_table(spark, sf_dir, "pages").select("page_id", "html").join(title, "page_id", "left")
     return p.select("page_id", L.challenge_label(F.col("title"), F.col("html")).alias("challenge_marker"))
 

@@ -13,7 +13,7 @@ DataFrame work on the node table.
 Node table schema::
 
     page_id long, node_id int (pre-order, 0 = document), parent_id int, depth int,
-    path array<int> (ancestor-or-self ids), last_desc int (end of the subtree interval),
+    last_desc int (end of the subtree interval),
     esib int (1-based index among element siblings), esib_rev int (same from the end),
     kind string, tag string, attrs map<string,string>, text string
 
@@ -35,7 +35,6 @@ NODE_SCHEMA = T.StructType([
     T.StructField("node_id", T.IntegerType(), False),
     T.StructField("parent_id", T.IntegerType(), True),
     T.StructField("depth", T.IntegerType(), False),
-    T.StructField("path", T.ArrayType(T.IntegerType(), False), False),
     T.StructField("last_desc", T.IntegerType(), False),
     T.StructField("esib", T.IntegerType(), True),
     T.StructField("esib_rev", T.IntegerType(), True),
@@ -246,13 +245,11 @@ def shred_page(page_id: int, html: str | None) -> dict:
         b.feed(html)
     b.finish()
     n = len(b.kind)
-    paths: list[list[int]] = [[0]] * n
     esib = [None] * n
     esib_rev = [None] * n
     children: dict[int, list[int]] = {}
     for nid in range(1, n):
         par = b.parent[nid]
-        paths[nid] = paths[par] + [nid]
         if b.kind[nid] == "element":
             children.setdefault(par, []).append(nid)
     for kids in children.values():
@@ -262,7 +259,7 @@ def shred_page(page_id: int, html: str | None) -> dict:
             esib_rev[k] = m - i
     return {
         "page_id": [page_id] * n, "node_id": list(range(n)), "parent_id": b.parent,
-        "depth": b.depth, "path": paths, "last_desc": b.last_desc, "esib": esib,
+        "depth": b.depth, "last_desc": b.last_desc, "esib": esib,
         "esib_rev": esib_rev, "kind": b.kind, "tag": b.tag,
         "attrs": b.attrs, "text": b.text,
     }

@@ -14,6 +14,7 @@ from pagecorpus.operators import policy as pol
 from pagecorpus.operators.extract import extract
 from pagecorpus.operators.jobs import fold_events
 from pagecorpus.operators.retention import keep_newest
+from pagecorpus.operators.select import match_columns
 from pagecorpus.operators.scan import previous_value, running_sum
 from pagecorpus.sources.shred import shred
 
@@ -179,20 +180,93 @@ def test_unknown_field_type_gives_outer_html(spark):
     assert r.extracted.raw == '<p class="a">x &amp; y</p>'
 
 
-def test_string_index_is_per_node_table(spark):
-    """Text from a cleaned node table must not reuse the raw table's string index."""
-    from pagecorpus.operators.select import select_nodes
-    from pagecorpus.operators.values import element_text
-    raw = shred(spark.createDataFrame([(1, "<div>a   b<script>drop()</script></div>")], "page_id long, html string"))
-    feats = {f: False for f in C.FEATURES}
-    feats["collapse_whitespace"] = True
+def test_text_of_raw_and_cleaned_nodes(spark):
+    """A cleaned node table has gaps in its ids and texts of its own."""
+    raw = shred(spark.createDataFrame([(1, "<i>z</i><div>a   b<script>drop()</script><b>c</b></div>")], "page_id long, html string"))
+    feats = {f: False for f in C.FEATURES} | {"collapse_whitespace": True, "remove_scripts": True}
     cleaned = C.clean_nodes(raw, feats)
-    m_raw = select_nodes(raw, "div").select("page_id", "node_id")
-    m_clean = select_nodes(cleaned, "div").select("page_id", "node_id")
-    assert element_text(raw, m_raw).collect()[0].value == "a   b"
-    assert element_text(cleaned, m_clean).collect()[0].value == "a b"
-    script = select_nodes(raw, "script").select("page_id", "node_id")
-    assert element_text(raw, script).collect()[0].value == "drop()"
+    spec = {"div": {"selector": "div"}, "b": {"selector": "b"}, "script": {"selector": "script"}}
+    assert tuple(extract(raw, spec).collect()[0].extracted) == ("a   bc", "c", "drop()")
+    assert tuple(extract(cleaned, spec).collect()[0].extracted) == ("a bc", "c", None)
+
+
+def _random_page(rnd):
+    out, open_tags = [], []
+    for _ in range(rnd.randint(0, 80)):
+        if open_tags and rnd.random() < 0.4:
+            out.append(f"</{open_tags.pop()}>")
+        elif rnd.random() < 0.6:
+            open_tags.append(rnd.choice("abcd"))
+            out.append(f"<{open_tags[-1]}>")
+        else:
+            out.append(rnd.choice(["x ", "y", " ", "z"]))
+    return "".join(out)
+
+
+def test_selectors_match_a_tree_walk(spark):
+    rnd = random.Random(5)
+    nodes = shred(spark.createDataFrame([(i, _random_page(rnd)) for i in range(150)], "page_id long, html string")).cache()
+    pages = {}
+    for r in nodes.collect():
+        pages.setdefault(r.page_id, {})[r.node_id] = r
+    left = {" ": lambda t, x, f: f < x <= t[f].last_desc, ">": lambda t, x, f: t[x].parent_id == f,
+            "+": lambda t, x, f: t[x].parent_id == t[f].parent_id and t[x].esib == t[f].esib + 1,
+            "~": lambda t, x, f: t[x].parent_id == t[f].parent_id and t[x].esib > t[f].esib}
+    cases = {"a b": ["a", " ", "b"], "a > b": ["a", ">", "b"], "a + b": ["a", "+", "b"], "a ~ b": ["a", "~", "b"],
+             "a b > c": ["a", " ", "b", ">", "c"], "a > c ~ b d": ["a", ">", "c", "~", "b", " ", "d"],
+             "c + c > d": ["c", "+", "c", ">", "d"]}
+    got = match_columns(nodes, {f"m{i}": s for i, s in enumerate(cases)}, []).collect()
+    assert len(got) == sum(map(len, pages.values()))
+    for i, steps in enumerate(cases.values()):
+        want = set()
+        for pid, t in pages.items():
+            found = {n for n, r in t.items() if r.tag == steps[0]}
+            for comb, tag in zip(steps[1::2], steps[2::2]):
+                found = {n for n, r in t.items() if r.tag == tag and any(left[comb](t, n, f) for f in found)}
+            want |= {(pid, n) for n in found}
+        assert {(r.page_id, r.node_id) for r in got if r[f"m{i}"]} == want and want, list(cases)[i]
+
+
+def test_nested_matches_keep_their_own_text_and_markup(spark):
+    nodes = shred(spark.createDataFrame([(1, "<div>a<div>b<p>c</p></div><script>1<2</script></div>"), (2, None)], "page_id long, html string"))
+    spec = {"t": {"selector": "div", "multiple": True}, "h": {"selector": "div", "type": "html", "multiple": True},
+            "s": {"selector": "script", "type": "html"}, "e": {"selector": "br", "type": "html", "default": "none"},
+            "o": {"selector": "div", "type": "object", "multiple": True, "fields": {
+                "in": {"selector": "div", "type": "object", "fields": {"p": {"selector": "p"}}}}}}
+    got = {r.page_id: r.extracted for r in extract(nodes, spec).collect()}
+    e = got[1]
+    assert e.t == ["abc", "bc"]
+    assert e.h == ["a<div>b<p>c</p></div><script>1<2</script>", "b<p>c</p>"]
+    assert e.s == "1<2" and e.e == "none"
+    assert e.o[0]["in"].p == "c" and e.o[1]["in"] is None
+    assert got[2] is None
+
+
+def test_extraction_plans_deal_each_page_once(spark, tmp_path):
+    from pagecorpus.plans import q_extract as Q
+
+    path = str(tmp_path / "nodes")
+    shred(spark.createDataFrame([(1, SIMPLE)], "page_id long, html string")).write.parquet(path)
+    nodes = spark.read.parquet(path)
+    bases = spark.createDataFrame([(1, "https://ex.com/")], "page_id long, base_url string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for spec, most in ((Q.HEAD_SPEC, 1), (Q.REQUIRED_SPEC, 1), (Q.ITEMS_SPEC, 1), (Q.NAV_OBJECT_SPEC, 1), (Q.NAV_SPEC, 2)):
+            plan = extract(nodes, spec, bases)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= most, plan
+            assert "Exchange SinglePartition" not in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_shredded_cells_grow_with_the_page():
+    from pagecorpus.sources.shred import shred_page
+
+    cells = [sum(len(v) for v in shred_page(1, "<li>x" * n).values()) for n in (8_000, 16_000)]
+    assert cells[1] < 2.1 * cells[0]
 
 
 def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
@@ -224,11 +298,7 @@ def test_disabled_extraction_keeps_the_type(spark):
     from pagecorpus.sources.shred import shred
 
     nodes = shred(spark.createDataFrame([(1, "<h1>x</h1>")], "page_id long, html string"))
-    spec = {"fields": {"title": {"selector": "h1", "type": "text"}}}
-    try:
-        on = extract(nodes, spec)
-    except Exception:
-        spec = {"title": {"selector": "h1", "type": "text"}}
-        on = extract(nodes, spec)
+    spec = {"title": {"selector": "h1"}, "all": {"selector": "p", "type": "object", "multiple": True, "fields": {"b": {"selector": "b"}}}}
+    on = extract(nodes, spec)
     off = extract(nodes, spec, enabled=False)
-    assert off.schema == on.schema and off.collect()[0].extracted is None
+    assert off.schema.simpleString() == on.schema.simpleString() and off.collect()[0].extracted is None
