@@ -2,7 +2,7 @@
 
 ``fetch_log``      one fetch result per event (request id, time, profile, page, mode, status,
                    latency, failed)
-``snapshots_raw``  every successful fetch of a page as a snapshot row (several per URL)
+``snapshots_raw``  every successful fetch of a page up to ``NOW`` as a snapshot row (several per URL)
 ``snapshots``      the store: newest snapshot per cache key (O-C3 upsert applied)
 ``policies``       per-domain policy rows for about half of the domains
 ``jobs``           job rows from orders; ``job_events`` their event log
@@ -54,7 +54,8 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fetch_log(spark, sf_dir).filter(~F.col("failed"))
+    # the store as of NOW: it cannot hold fetches that are still to come
+    f = fetch_log(spark, sf_dir).filter(~F.col("failed") & (F.col("requested_at") <= now_col()))
     p = page_sizes(spark, sf_dir)
     j = f.join(p, "page_id")
     return j.select(
