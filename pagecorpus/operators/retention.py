@@ -2,69 +2,77 @@
 
 "Delete the oldest until at most N rows / S bytes remain" equals "keep the rows whose
 newest-first running total (inclusive) stays within the limit", as weights are never
-negative.  A window over the whole table would pull every row into one task, so:
+negative.  So there is one row at which the total first exceeds the limit, and a row is kept
+if it is newer than that one.  To find it:
 
-1. the input is written once (shared checkpoint folder) with its hour and second buckets;
-2. weights are summed per hour (distributed, partial aggregation) and a running total runs
-   over the hour table, which has one row per hour;
-3. hours wholly inside the limit are kept, wholly outside dropped; only the one boundary
-   hour is summed per second, and only the one boundary second is ranked row by row.
+1. weights are summed per hour (partial aggregation, one row for each hour of the time span
+   reaches the driver), which gives the hour that holds the row;
+2. only the rows of that hour, as ``(micros, tie, weight)``, are dealt by range into parts of
+   about ``PART_ROWS`` rows, newest first, and summed per part;
+3. only the part that holds the row gets a running total.
 
-Ties on the timestamp break on ``tie`` (newest first = larger tie value first).
+The table itself is never shuffled or written: each row is compared with the cut-off.  An hour
+or a second with all rows (a bulk load) is split like any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecorpus.session import materialize
 
+#: Rows of a part, the unit that one task ranks row by row.
+PART_ROWS = 500_000
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
 
-def _bucket(ts: str, width: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width * 1_000_000))
+def _crossing(sums: list, limit: int, before: int) -> tuple:
+    """The first of ``sums`` (in order) whose weight takes the running total over ``limit``, and the
+    total before it; (None, total) if all fit."""
+    for one in sums:
+        if before + one["w"] > limit:
+            return one, before
+        before += one["w"]
+    return None, before
 
 
-def _classify_buckets(agg: DataFrame, bucket: str, before: Column, lim: Column) -> DataFrame:
-    """Bucket table -> status keep / drop / edge and the weight of everything newer."""
-    newer = Window.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    b = agg.withColumn("_nb", before + F.coalesce(F.sum("_bw").over(newer), F.lit(0)).cast("long"))
-    status = (F.when(F.col("_nb") + F.col("_bw") <= lim, F.lit("keep"))
-              .when(F.col("_nb") > lim, F.lit("drop")).otherwise(F.lit("edge")))
-    return b.withColumn("_st", status)
+def cut_off(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None):
+    """``(us, tie)`` of the newest row that no longer fits ``limit``; None if all rows fit."""
+    spark = df.sparkSession
+    most = limit if not isinstance(limit, Column) else spark.range(1).select(limit).first()[0]
+    w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
+    rows = df.select(_micros(ts).alias("us"), F.col(tie).alias("tie"), w.alias("w")).filter("us is not null")
+    hour = F.floor(F.col("us") / 3_600_000_000)
+    hours = rows.groupBy(hour.alias("h")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    at, before = _crossing(sorted(hours, key=lambda r: -r["h"]), most, 0)
+    if at is None:
+        return None
+    parts = rows.filter(hour == at["h"]).repartitionByRange(max(1, math.ceil(at["n"] / PART_ROWS)), F.desc("us"), F.desc("tie"))
+    parts = materialize(parts.withColumn("part", F.spark_partition_id()), "boundary_hour")
+    sums = parts.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect()
+    part, before = _crossing(sums, most, before)
+    newest_first = Window.partitionBy("part").orderBy(F.desc("us"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = parts.filter(F.col("part") == part["part"]).withColumn("run", F.lit(before) + F.sum("w").over(newest_first))
+    return tuple(ranked.filter(F.col("run") > most).orderBy("run", F.desc("us"), F.desc("tie")).select("us", "tie").first())
 
 
 def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None,
                 out: str = "keep") -> DataFrame:
     """Add boolean ``out``: row is among the newest whose running weight fits ``limit``.
 
-    ``limit`` is a number or a scalar column; ``weight`` defaults to 1 per row."""
-    lim = limit if isinstance(limit, Column) else F.lit(limit)
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = materialize(df.withColumn("_w", w).withColumn("_h", _bucket(ts, 3600))
-                       .withColumn("_s", _bucket(ts, 1)), "keep_newest")
-    # level 1: hours (small table)
-    hours = _classify_buckets(rows.groupBy("_h").agg(F.sum("_w").alias("_bw")), "_h", F.lit(0).cast("long"), lim)
-    edge_h = hours.filter(F.col("_st") == "edge").select("_h", F.col("_nb").alias("_before_h"))
-    # level 2: seconds of the boundary hour only (at most 3600 rows)
-    in_edge = rows.join(F.broadcast(edge_h), "_h")  # at most one hour row
-    secs = _classify_buckets(in_edge.groupBy("_s", "_before_h").agg(F.sum("_w").alias("_bw")),
-                             "_s", F.first("_before_h").over(Window.orderBy("_s").rowsBetween(
-                                 Window.unboundedPreceding, Window.unboundedFollowing)), lim)
-    edge_s = secs.filter(F.col("_st") == "edge").select("_s", F.col("_nb").alias("_before_s"))
-    # level 3: rows of the boundary second, exact newest-first running sum
-    exact_rows = rows.join(F.broadcast(edge_s), "_s")  # at most one second row
-    order = Window.orderBy(F.col(ts).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = exact_rows.withColumn("_run", F.col("_before_s") + F.sum("_w").over(order)) \
-        .select(F.col("_s").alias("_xs"), F.col(ts).alias("_xts"), F.col(tie).alias("_xtie"),
-                (F.col("_run") <= lim).alias("_xkeep"))
-    # the hour table has one row per hour of the time span (87 600 rows for ten years)
-    tagged = (rows.join(F.broadcast(hours.select("_h", F.col("_st").alias("_sth"))), "_h", "left")
-              .join(F.broadcast(secs.select("_s", F.col("_st").alias("_sts"))), "_s", "left")
-              .join(exact, (F.col("_s") == F.col("_xs")) & (F.col(ts) == F.col("_xts")) & (F.col(tie) == F.col("_xtie")),
-                    "left"))
-    decided = (F.when(F.col("_sth") == "keep", F.lit(True)).when(F.col("_sth") == "drop", F.lit(False))
-               .when(F.col("_sts") == "keep", F.lit(True)).when(F.col("_sts") == "drop", F.lit(False))
-               .otherwise(F.coalesce(F.col("_xkeep"), F.lit(False))))
-    cols = [c for c in df.columns]
-    return tagged.select(*cols, decided.alias(out))
+    ``limit`` is a number or a scalar column; ``weight`` defaults to 1 per row (null counts 0).  Ties on
+    the timestamp break on ``tie`` (the larger is newer, nulls are oldest); rows equal in both stand or
+    fall together.  Rows without a timestamp are never kept unless all rows fit.  ``df`` is read three
+    times, so give a table or a cheap view of one."""
+    stop = cut_off(df, ts, tie, limit, weight)
+    if stop is None:
+        return df.withColumn(out, F.lit(True))
+    us, last = stop
+    newer = F.col(tie).isNotNull() if last is None else F.col(tie) > F.lit(last)
+    return df.withColumn(out, F.coalesce((_micros(ts) > us) | ((_micros(ts) == us) & newer), F.lit(False)))

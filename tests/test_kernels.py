@@ -49,6 +49,22 @@ def test_keep_newest_matches_sort_and_cumulate(spark):
         assert got == want, limit
 
 
+def test_keep_newest_splits_one_second(spark, monkeypatch):
+    """Every row in one second, in parts of a few rows; null weights, times and ties."""
+    from pagecorpus.operators import retention
+
+    monkeypatch.setattr(retention, "PART_ROWS", 20)
+    rows = [(f"k{i * 37 % 300:03d}", BASE, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, size long")
+    for limit in (0, 1, 150, 299, 300):
+        got = {r.key for r in keep_newest(df, "ts", "key", limit).filter("keep").collect()}
+        assert got == {f"k{i:03d}" for i in range(300 - limit, 300)}
+    assert all(r.keep for r in keep_newest(df, "ts", "key", 300, weight="size").collect())
+    odd = spark.createDataFrame([("a", BASE, None), (None, BASE, 5), ("b", None, 1)], "key string, ts timestamp_ntz, size long")
+    assert [r.keep for r in keep_newest(odd, "ts", "key", 4, weight="size").collect()] == [True, False, False]
+    assert keep_newest(df.limit(0), "ts", "key", 0).count() == 0
+
+
 def test_chunked_scans_match_loops(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), BASE + dt.timedelta(minutes=rnd.randint(0, 600)), i, rnd.randint(1, 9))
