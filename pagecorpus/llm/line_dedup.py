@@ -4,8 +4,8 @@ Lines (pieces between line feeds, without blanks at their ends, lower case) that
 class at once, named by a 64-bit hash.  The signature of a class has ``BANDS * ROWS`` minima over the
 hashes of its ``SHINGLE``-character shingles (in UTF-8 bytes; each minimum under a mask of its own);
 lines with an equal band of ``ROWS`` minima are candidates.  At similarity 0.8 a pair shares a band
-with probability 1 - (1 - 0.8**4)**10 = 0.995.  Candidates are verified by the exact Jaccard
-similarity of their character shingles (0.8 or more).
+with probability 1 - (1 - 0.8**6)**18 = 0.996, and one of similarity 0.1 with 0.00002.  Candidates are
+verified by the exact Jaccard similarity of their character shingles (0.8 or more).
 
 Round 1 verifies each line against the smallest line of each of its bands and joins the links by
 distributed union-find.  Round 2 verifies the candidates of a band that still lie in different
@@ -13,7 +13,7 @@ components, all of them, so a band never emits pairs that are connected already.
 
 Signatures and similarities are array work inside tasks: a form in DataFrame functions only took
 more than five times the budget (README).  Joins, bands and union-find are DataFrame work.  Text is
-read where it lies, twice; only lines that have a candidate are shuffled.
+read where it lies; only lines that have a candidate are shuffled.  Band rows are shuffled once.
 
 Two of n distinct lines share a 64-bit name with a chance of about n * n / 2**65.
 
@@ -33,13 +33,15 @@ from pagecorpus.llm import common as C
 from pagecorpus.session import materialize
 
 SHINGLE = 5
-ROWS, BANDS = 4, 10
+ROWS, BANDS = 6, 18
 SHARE, PART = 80, 100
 _RNG = np.random.default_rng(8)
 _MASKS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-#: Bytes of lines signed at a time.
-PIECE = 1 << 19
+#: Characters of lines signed at a time, few enough that their hashes stay in a core's cache.
+PIECE = 1 << 17
+#: Names of lines that a task remembers.
+KNOWN = 1 << 19
 BLANKS = " \t\r"
 
 
@@ -62,7 +64,8 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     n = np.array([len(x) - SHINGLE + 1 for x in padded])
     h = (C.mix64(code[keep]) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(n) - n
-    minima = np.stack([np.minimum.reduceat(h ^ m, starts) for m in _MASKS], axis=1).reshape(len(lines), BANDS, ROWS).astype(np.uint64)
+    minima = np.stack([np.minimum.reduceat(h ^ m, starts) for m in _MASKS], axis=1)
+    minima = minima.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
     return C.mix64((minima * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -74,53 +77,55 @@ def lines_of(text) -> list[tuple[int, str]]:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, k, bands) of every line that is not blank; ``bands`` where the task met the
-    line for the first time (within its latest ``PIECE`` lines)."""
+    """(doc_id, line_no, k) of every line that is not blank."""
     def run(batches):
-        seen: set[int] = set()
         for pdf in batches:
-            ids, no, names, new, at = [], [], [], [], []
+            ids, no, names = [], [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 for i, line in lines_of(text):
-                    k = line_name(line)
                     ids.append(doc_id)
                     no.append(i)
-                    if k not in seen:
-                        seen.add(k)
-                        at.append(len(names))
-                        new.append(line.encode("utf-8", "surrogatepass"))
-                    names.append(k)
-            if len(seen) > PIECE:
+                    names.append(line_name(line))
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "line_no": pd.Series(no, dtype="int32"), "k": pd.Series(names, dtype="int64")})
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line_no int, k long")
+
+
+def new_lines(batches):
+    """(name, line) of the lines that a task meets for the first time, in lists of about ``PIECE`` characters.
+    What it has met is forgotten after ``KNOWN`` lines, so a line may come again."""
+    seen: set[int] = set()
+    out, size = [], 0
+    for pdf in batches:
+        for text in pdf["text"]:
+            for _, line in lines_of(text):
+                k = line_name(line)
+                if k not in seen:
+                    seen.add(k)
+                    out.append((k, line))
+                    size += len(line)
+                    if size >= PIECE:
+                        yield out
+                        out, size = [], 0
+            if len(seen) > KNOWN:
                 seen.clear()
-            bands: list = [None] * len(names)
-            lo = 0
-            while lo < len(new):
-                hi, size = lo, 0
-                while hi < len(new) and (hi == lo or size + len(new[hi]) <= PIECE):
-                    size += len(new[hi])
-                    hi += 1
-                for j, row in zip(at[lo:hi], signatures(new[lo:hi]), strict=True):
-                    bands[j] = row
-                lo = hi
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "line_no": pd.Series(no, dtype="int32"), "k": pd.Series(names, dtype="int64"), "bands": bands})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line_no int, k long, bands array<long>")
+    if out:
+        yield out
+
+
+def bands(docs: DataFrame) -> DataFrame:
+    """(k, band) of the lines: every band of each, perhaps more than once."""
+    def run(batches):
+        for found in new_lines(batches):
+            keys = signatures([line.encode("utf-8", "surrogatepass") for _, line in found])
+            yield pd.DataFrame({"k": np.repeat(np.array([k for k, _ in found], np.int64), BANDS), "band": keys.ravel()})
+    return docs.select("text").mapInPandas(run, "k long, band long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, line) of the wanted lines (k)."""
     def run(batches):
-        seen: set[int] = set()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                for _, line in lines_of(text):
-                    k = line_name(line)
-                    if k not in seen:
-                        seen.add(k)
-                        out.append((k, line))
-            if len(seen) > PIECE:
-                seen.clear()
-            yield pd.DataFrame(out, columns=["k", "line"])
+        for found in new_lines(batches):
+            yield pd.DataFrame(found, columns=["k", "line"])
     every = docs.select("text").mapInPandas(run, "k long, line string")
     return every.join(C.small(wanted), "k", "left_semi").dropDuplicates(["k"])
 
@@ -155,9 +160,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "line_a", "line_b").mapInPandas(run, "a long, b long")
 
 
-def line_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
+def line_components(docs: DataFrame) -> DataFrame:
     """(id, component) of the distinct lines that have a near copy."""
-    b = marked.where("bands is not null").select("k", F.explode("bands").alias("band"))
+    b = bands(docs).repartition("band")  # one exchange for the heads and for the rows that have one
     heads = b.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("other")).where("head < other").select("band", "head")
     near = materialize(b.join(heads, "band").distinct(), "line_near")  # lines that share a band
     texts = materialize(texts_of(docs, near.select("k").distinct()), "line_texts")
@@ -179,7 +184,7 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
     """One row for each line that is not blank: (doc_id, line_no, line_id, component, keep).  Equal
     lines share line_id; ``keep`` marks the first line (smallest doc_id, then line_no) of a component."""
     marked = materialize(marks(docs), "line_marks")
-    found = materialize(line_components(docs, marked).select(F.col("id").alias("k"), "component"), "line_components")
+    found = materialize(line_components(docs).select(F.col("id").alias("k"), "component"), "line_components")
     at = marked.select("doc_id", "line_no", "k").join(C.small(found), "k", "left")
     at = at.select("doc_id", "line_no", F.col("k").alias("line_id"), F.coalesce("component", "k").alias("component"))
     place = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "line_no")
