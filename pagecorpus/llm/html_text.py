@@ -4,9 +4,10 @@ Markup is stripped into lines, one for each block element.  Lines inside structu
 (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers) and lines that
 are all links outside an article have length 0.  The lengths are summed over sliding windows of
 ``WINDOW`` lines.  A surge point is where the sums rise from 0, a dive point is where they fall
-back to 0 after a line of length 0; the text between a surge and its dive is one candidate
-region.  A page with an article (or main) element keeps the regions of the one with the most
-text; any other page keeps the region with the most text and those near it in weight.
+back to 0, which takes ``WINDOW`` lines of length 0, so an advert or a link inside a text does not end
+it; the text between a surge and its dive is one candidate region, with its lines of links.  A page
+with an article (or main) element keeps the regions of the one with the most text; any other page keeps
+the region with the most text, the regions next to it, and those near it in weight.
 
 Each page is a row of its own (no shuffle), html is read whole, nothing is cut.
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-#: Share of the heaviest region's text that a further region needs on pages without an article.
+#: Share of the heaviest region's text that a region not next to it needs on pages without an article.
 NEAR = 0.3
 
 _ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
@@ -177,22 +178,14 @@ def lines_of(page: str) -> list[tuple[str, int, float]]:
     return out
 
 
-def regions(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) pairs: maximal stretches of lines from a rise of the windowed sum above 0
-    to the line of length 0 after which it falls."""
-    sums = np.convolve(lengths, np.ones(window, np.int64))[:len(lengths)]  # of the window that ends at each line
-    out = []
-    i, n = 0, len(lengths)
-    while i < n:
-        if lengths[i] == 0 or sums[i] == 0:
-            i += 1
-            continue
-        j = i
-        while j < n and lengths[j] > 0:
-            j += 1
-        out.append((i, j))
-        i = j
-    return out
+def regions(lengths: np.ndarray, window: int = 1) -> list[tuple[int, int]]:
+    """(surge, dive) pairs: maximal stretches of lines over which the sum of the window that ends at a
+    line stays above 0, without the lines of length 0 at their end."""
+    sums = np.convolve(lengths, np.ones(window, np.int64))[:len(lengths)]
+    above = np.concatenate([[0], sums > 0, [0]])
+    surges, dives = np.flatnonzero(np.diff(above) > 0), np.flatnonzero(np.diff(above) < 0)
+    text = np.flatnonzero(lengths)
+    return [(int(i), int(text[np.searchsorted(text, j) - 1]) + 1) for i, j in zip(surges, dives, strict=True)]
 
 
 def main_text(page) -> str:
@@ -208,12 +201,13 @@ def main_text(page) -> str:
             inside[c] = inside.get(c, 0) + len(text)
     best = min(inside, key=lambda c: (-inside[c], c)) if inside else 0
     lengths = np.array([len(t) if (c == best if best else c >= 0 and share < 0.8) else 0 for t, c, share in lines], np.int64)
-    found = regions(lengths)
+    found = regions(lengths, WINDOW)
     if not found:
         return ""
     weight = [int(lengths[i:j].sum()) for i, j in found]
-    keep = [r for r, w in zip(found, weight, strict=True) if best or w >= NEAR * max(weight)]
-    return "\n".join(lines[i][0] for a, b in keep for i in range(a, b))
+    main = weight.index(max(weight))
+    keep = [r for k, (r, w) in enumerate(zip(found, weight, strict=True)) if best or abs(k - main) <= 1 or w >= NEAR * weight[main]]
+    return "\n".join(lines[i][0] for a, b in keep for i in range(a, b) if lines[i][0] and (not best or lines[i][1] == best))
 
 
 def extract(pages: DataFrame) -> DataFrame:

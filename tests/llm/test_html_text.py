@@ -46,3 +46,35 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect())
     assert got == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT))]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def _paragraphs(first, last):
+    return "".join(f"<p>Paragraph number {i} holds a good deal of text, as paragraphs do.</p>" for i in range(first, last))
+
+
+def test_short_text_after_an_advert_without_article():
+    page = "<body>" + _paragraphs(0, 6) + "<div class=advert>Buy</div><p>Short end.</p></body>"
+    assert H.main_text(page).split("\n")[-1] == "Short end." and "Buy" not in H.main_text(page)
+    page = "<body>" + _paragraphs(0, 3) + "<p><a href=x>One block that is a link</a></p>" + _paragraphs(3, 4) + "</body>"
+    assert H.main_text(page).split("\n")[3:] == ["One block that is a link", "Paragraph number 3 holds a good deal of text, as paragraphs do."]
+    page = "<body>" + _paragraphs(0, 6) + "<div class=advert>Buy</div>" * 5 + "<p>Short end.</p></body>"
+    assert H.main_text(page).endswith("do.\nShort end.")  # next to the main region
+
+
+def test_window_changes_regions(monkeypatch):
+    import numpy as np
+
+    lengths = np.array([0, 5, 0, 0, 7, 0, 0, 0, 2])
+    assert H.regions(lengths, 3) == [(1, 5), (8, 9)]
+    assert H.regions(lengths, 2) == [(1, 2), (4, 5), (8, 9)] and H.regions(lengths, 4) == [(1, 9)]
+    links = "<p><a href=x>A link</a></p>" * 3
+    page = "<body>" + _paragraphs(0, 6) + links + "<p>Short.</p>" + links + "<p>Further.</p></body>"
+    three = H.main_text(page)
+    assert "Short." in three and "A link" not in three and "Further." not in three
+    monkeypatch.setattr(H, "WINDOW", 4)
+    assert H.main_text(page).count("A link") == 6 and H.main_text(page).endswith("Further.")
+
+
+def test_lines_of_other_containers_stay_out():
+    page = "<article><p>One here is a text</p><article class=x><p>Inner</p></article><p>Two here is a text</p></article>"
+    assert H.main_text(page) == "One here is a text\nTwo here is a text"
