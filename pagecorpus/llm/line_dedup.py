@@ -2,7 +2,8 @@
 
 Lines (pieces between line feeds, without blanks at their ends, lower case) that are equal are one
 class at once, named by a 64-bit hash.  The signature of a class has ``BANDS * ROWS`` minima over the
-hashes of its ``SHINGLE``-character shingles (in UTF-8 bytes; each minimum under a mask of its own);
+hashes of its ``SHINGLE``-character shingles (in UTF-8 bytes; each minimum under an odd factor and a
+term of its own, since minima under XOR masks that agree in their top bits fall on the same shingle);
 lines with an equal band of ``ROWS`` minima are candidates.  At similarity 0.8 a pair shares a band
 with probability 1 - (1 - 0.8**6)**18 = 0.996, and one of similarity 0.1 with 0.00002.  Candidates are
 verified by the exact Jaccard similarity of their character shingles (0.8 or more).
@@ -36,7 +37,8 @@ SHINGLE = 5
 ROWS, BANDS = 6, 18
 SHARE, PART = 80, 100
 _RNG = np.random.default_rng(8)
-_MASKS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_FACTORS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
+_TERMS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 #: Characters of lines signed at a time, few enough that their hashes stay in a core's cache.
 PIECE = 1 << 17
@@ -64,7 +66,7 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     n = np.array([len(x) - SHINGLE + 1 for x in padded])
     h = (C.mix64(code[keep]) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(n) - n
-    minima = np.stack([np.minimum.reduceat(h ^ m, starts) for m in _MASKS], axis=1)
+    minima = np.stack([np.minimum.reduceat(h * m + t, starts) for m, t in zip(_FACTORS, _TERMS, strict=True)], axis=1)
     minima = minima.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
     return C.mix64((minima * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
