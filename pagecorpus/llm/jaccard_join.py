@@ -1,7 +1,7 @@
 """Operator 5, n-gram Jaccard join by prefix trees.
 
 A document's set is the set of its distinct four-word shingles, as 64-bit hashes.  Two documents
-link when 100 * intersection >= 85 * union.
+link when 100 * intersection >= 85 * union.  Callers may ask for another width and share.
 
 1. Global order.  Blocks of documents send their shingles (32-bit heads, packed and sorted) to
    ranges, which count in how many documents each occurs and answer with a frequency class.
@@ -38,21 +38,21 @@ from pagecorpus.session import materialize
 SHINGLE = 4
 TARGET = 8 * C.MB
 MEMBERS = 1500
-#: Linked when PART * intersection >= SHARE * union.
+#: Linked when PART * intersection >= SHARE * union, unless a caller gives another share.
 SHARE, PART = 85, 100
 
 
-def shingle_set(text) -> np.ndarray:
+def shingle_set(text, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(C.shingle_hashes(C.word_hashes(C.words_of(text)), SHINGLE))
+    return np.unique(C.shingle_hashes(C.word_hashes(C.words_of(text)), width))
 
 
-def linked(overlap, n, m):
-    return (PART + SHARE) * overlap >= SHARE * (n + m)
+def linked(overlap, n, m, share: int = SHARE):
+    return (PART + share) * overlap >= share * (n + m)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-SHARE * n // PART) + 1
+def prefix_length(n: int, share: int = SHARE) -> int:
+    return n - -(-share * n // PART) + 1
 
 
 # ---- 1: global order --------------------------------------------------------------------------
@@ -65,11 +65,11 @@ def _cuts(heads: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(heads, np.array([(i << 32) // n for i in range(n + 1)], np.uint64))
 
 
-def frequencies(blocks: DataFrame, n: int) -> DataFrame:
+def frequencies(blocks: DataFrame, n: int, width: int = SHINGLE) -> DataFrame:
     """(block, part, classes): the frequency class of each head of a block, in the order of heads:
     0 if it occurs once in the whole corpus, else 1 + floor(log2 of its count)."""
     def ask(key, pdf):
-        heads, counts = _heads([shingle_set(t) for t in pdf["text"]])
+        heads, counts = _heads([shingle_set(t, width) for t in pdf["text"]])
         cut = _cuts(heads, n)
         rows = [(key[0], i, C.pack_sorted(heads[cut[i]:cut[i + 1]]), C.pack(counts[cut[i]:cut[i + 1]].astype("<i4"))) for i in range(n)]
         del heads, counts
@@ -91,11 +91,11 @@ def frequencies(blocks: DataFrame, n: int) -> DataFrame:
 
 
 # ---- 2, 3: classes, prefixes, families --------------------------------------------------------
-def prefixes(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+def prefixes(blocks: DataFrame, classes: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """One row for each document: size of its set, a 128-bit name of the set, the shared shingles
     of its prefix, and the text where there are any."""
     def run(pdf, got):
-        sets = [shingle_set(t) for t in pdf["text"]]
+        sets = [shingle_set(t, width) for t in pdf["text"]]
         heads, _ = _heads(sets)
         got = got.sort_values("part")
         klass = np.concatenate([C.unpack(x, np.uint8) for x in got["classes"]]) if len(got) else np.empty(0, np.uint8)
@@ -103,7 +103,7 @@ def prefixes(blocks: DataFrame, classes: DataFrame) -> DataFrame:
         for doc_id, text, s in zip(pdf["doc_id"], pdf["text"], sets, strict=True):
             n = len(s)
             c = klass[np.searchsorted(heads, s >> np.uint64(32))]
-            first = np.lexsort((s, c))[:prefix_length(n)] if n else np.empty(0, np.int64)
+            first = np.lexsort((s, c))[:prefix_length(n, share)] if n else np.empty(0, np.int64)
             shared = s[first[c[first] > 0]]
             name = xxhash.xxh128_digest(s.tobytes())
             out.append((doc_id, n, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True),
@@ -176,7 +176,7 @@ class Trie:
             self.least[up] = min(self.least[up], self.least[j])
             self.most[up] = max(self.most[up], self.most[j])
 
-    def probe(self, s: np.ndarray, mark: np.ndarray) -> list[tuple[int, int]]:
+    def probe(self, s: np.ndarray, mark: np.ndarray, share: int = SHARE) -> list[tuple[int, int]]:
         """(member, overlap) of each stored set that links to ``s``.  ``mark`` is a scratch array
         over ranks, all False."""
         mark[s] = True
@@ -190,16 +190,16 @@ class Trie:
                 break
             tokens = C.concat_ranges(self.start[kids], self.length[kids])
             overlap = overlap + np.add.reduceat(mark[self.flat[tokens]].astype(np.int64), np.cumsum(self.length[kids]) - self.length[kids])
-            for j in np.flatnonzero(self.has[kids] & linked(overlap, n, self.depth[kids])):
+            for j in np.flatnonzero(self.has[kids] & linked(overlap, n, self.depth[kids], share)):
                 out.extend((m, int(overlap[j])) for m in self.members[kids[j]])
             rest = np.minimum(n - np.searchsorted(s, self.last[kids], "right"), self.most[kids] - self.depth[kids])
-            stay = (self.n_child[kids] > 0) & linked(overlap + rest, n, self.least[kids])
+            stay = (self.n_child[kids] > 0) & linked(overlap + rest, n, self.least[kids], share)
             at, overlap = kids[stay], overlap[stay]
         mark[s] = False
         return out
 
 
-def group_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, share: int = SHARE) -> list[tuple[int, int]]:
     """Links that span the components among the pairs of the sets ``left`` and ``right``."""
     names, local, n_sets = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(names), np.int64)
@@ -210,13 +210,13 @@ def group_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     mark = np.zeros(len(names), bool)
     union, out = C.Sets(len(sets)), []
     for j in right:
-        for m, _ in trie.probe(ranked[j], mark):
+        for m, _ in trie.probe(ranked[j], mark, share):
             if union.join(int(left[m]), int(j)):
                 out.append((int(left[m]), int(j)))
     return out
 
 
-def trie_links(members: DataFrame, limit: int = MEMBERS) -> DataFrame:
+def trie_links(members: DataFrame, limit: int = MEMBERS, *, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """(a, b) links among ``members`` (family, rep, text), spanning within each task."""
     sizes = members.groupBy("family").agg(F.count("*").alias("n"))
     m = members.join(sizes, "family")
@@ -227,10 +227,10 @@ def trie_links(members: DataFrame, limit: int = MEMBERS) -> DataFrame:
     pairs = pairs.withColumn("g0", F.least("own", "other")).withColumn("g1", F.greatest("own", "other"))
 
     def run(key, pdf):
-        sets = [shingle_set(t) for t in pdf["text"]]
+        sets = [shingle_set(t, width) for t in pdf["text"]]
         own, reps = pdf["own"].to_numpy(), pdf["rep"].to_numpy()
         left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        links = group_links(sets, left, right) if len(left) and len(right) else []
+        links = group_links(sets, left, right, share) if len(left) and len(right) else []
         del sets
         C.release()
         return pd.DataFrame([(reps[a], reps[b]) for a, b in links], columns=["a", "b"], dtype="int64")
@@ -238,13 +238,14 @@ def trie_links(members: DataFrame, limit: int = MEMBERS) -> DataFrame:
 
 
 # ---- all --------------------------------------------------------------------------------------
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def join(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): shingles of ``width``
+    words, links from a similarity of ``share`` in a hundred."""
     d = docs.select("doc_id", "text")
     n = C.blocks_for(C.total_bytes(d), TARGET)
     blocks = C.in_blocks(d, n, "doc_id", "text")
-    classes = materialize(frequencies(blocks, n), "join_classes")
-    rows = materialize(prefixes(blocks, classes), "join_prefixes")
+    classes = materialize(frequencies(blocks, n, width), "join_classes")
+    rows = materialize(prefixes(blocks, classes, width, share), "join_prefixes")
     named = rows.where("n > 0 and doc_id is not null")
     copies = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     candidates = named.where(F.size("shared") > 0).select("doc_id", "k1", "k2", "shared")
@@ -252,18 +253,18 @@ def join(docs: DataFrame) -> DataFrame:
     family = materialize(families(reps).select(F.col("id").alias("rep"), F.col("component").alias("family")), "join_families")
     texts = rows.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("rep"), "text", "k1", "k2")
     members = texts.join(copies.select("k1", "k2", "rep"), ["k1", "k2", "rep"]).join(family, "rep").dropDuplicates(["rep"]).select("family", "rep", "text")
-    found = C.components(trie_links(members)).select(F.col("id").alias("rep"), "component")
+    found = C.components(trie_links(members, width=width, share=share)).select(F.col("id").alias("rep"), "component")
     top = copies.join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "k1", "k2").join(top, ["k1", "k2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (equal ids:
     the smallest hash of the text, then any of equal rows).  Texts without words are kept."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    found = materialize(join(docs).where("doc_id is not null"), "join_result")
+    found = materialize(join(docs, width, share).where("doc_id is not null"), "join_result")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(C.small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")

@@ -82,3 +82,17 @@ def test_components(spark):
     got = {r.id: r.component for r in C.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 105: 100, 103: 100}
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_width_and_share_of_a_caller(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"end{i}" for i in range(46)])),  # 196 of 242 shingles of five words: 0.81
+            (3, " ".join(words[:90] + [f"mid{i}" for i in range(14)] + words[104:])),  # 178 of 214: 0.83
+            (4, " ".join(words[:100] + [f"far{i}" for i in range(60)] + words[160:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: J.shingle_set(t, 5) for i, t in rows}
+    near = {i for i in sets if 100 * len(np.intersect1d(sets[1], sets[i])) >= 80 * len(np.union1d(sets[1], sets[i]))}
+    assert near == {1, 2, 3}
+    assert {r.doc_id: r.component_id for r in J.join(df, 5, 80).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id for r in J.keep_one(df, 5, 80).collect()} == {1, 4}
+    assert {r.doc_id: r.component_id for r in J.join(df).collect()} == {i: i for i in sets}
