@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecorpus.llm import (contamination, fingerprints, html_text, jaccard_join, language, licenses, line_dedup, lm_score,
-                            mixing, tokens)
+from pagecorpus.llm import (alignment, chat_format, contamination, fingerprints, html_text, jaccard_join, language, licenses,
+                            line_dedup, lm_score, mixing, spelling, tokens)
 from pagecorpus.llm import common as C
 
 # corpus_pipeline.py stands at the repository top
@@ -62,11 +62,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(C.table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.probe(C.table(spark, sf_dir, "conversations")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     found = (op1_fingerprints, op2_language, op3_lm_score, op4_tokens, op5_jaccard_join, op6_html_text, op7_licenses,
-             op8_line_dedup, op9_contamination, op10_mixing)
+             op8_line_dedup, op9_contamination, op10_mixing, op11_spelling, op12_chat_format, op13_alignment)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
