@@ -43,12 +43,16 @@ CHUNK = 256 << 10
 #: Fragments that are composed at a time.
 FAN = 16
 #: Text of a block, and distinct words that a task remembers, in bytes and words.
-BLOCK = 8 * C.MB
-CACHE_WORDS = 150_000
+BLOCK = 16 * C.MB
+CACHE_WORDS = 400_000
 #: Text worked on at a time.
 BATCH = C.MB
 
 _WORDS = re.compile(r"(?<=[!-~\w])(?=[ \n])")
+_SAFE_END = re.compile(r"[!-~\w]\Z")
+#: Words that are encoded at a time as one text, and the first sign that sends a word through the whole tokenizer.
+JOINED = 2000
+_OTHER = "\u0250"
 #: Before white space, and between a letter and a sign: tokens of A never cross these.
 _A_CUTS = re.compile(r"(?<=[!-~\w])(?=[ \n])|(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~、。，！？])")
 
@@ -75,13 +79,44 @@ class Coders:
             self.a_bytes[i] = bytes(byte_of.get(x, 0) for x in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.quick_a = self._ranked(entries)
         self.a_len, self.b_len = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         #: Neighbouring signs of B's pieces; its tokens never cross any other two.
         self.pairs = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
 
+    def _ranked(self, entries: dict[str, int]):
+        """A's merges as ranks, a faster form of the same; None if its ids do not stand in the order of its merges."""
+        import json
+
+        import tiktoken
+
+        spec = json.loads(self.a.to_str())
+        merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+        ids = [entries.get(m.replace(" ", ""), -1) for m in merges]
+        level = spec.get("pre_tokenizer") or {}
+        if ids != sorted(ids) or (level.get("type"), level.get("use_regex", True), level.get("add_prefix_space")) != ("ByteLevel", True, False) or spec.get("normalizer"):
+            return None
+        ranks = {self.a_bytes[i]: i for i in {*ids, *(i for e, i in entries.items() if len(e) == 1)}}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and of B of words that end where tokens of both end, and the number of each word's;
+        None if the words' bytes are not those of the tokens."""
+        out, raws = ([], []), [w.encode() for w in words]
+        for i in range(0, len(words), JOINED):
+            text = "".join(words[i:i + JOINED])
+            a, b = self.quick_a.encode_ordinary(text), self.b.encode("\n" + text, num_threads=1)[2:]
+            if not b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == text.encode():
+                return None
+            out[0].append(np.array(a, np.int64))
+            out[1].append(np.array(b, np.int64))
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        a, b = (np.concatenate(x) for x in out)
+        return a, *(np.diff(np.searchsorted(np.cumsum(lens[ids]), ends, "right"), prepend=0) for ids, lens in ((a, self.a_len), (b, self.b_len))), b
+
     def encode(self, a_texts: list[str], b_texts: list[str]) -> tuple[list, list]:
         """Ids of each text by A, and of each by B as the middle of a longer text."""
-        a = [e.ids for e in self.a.encode_batch(a_texts, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(a_texts, add_special_tokens=False)]
         # a line break never merges, so what follows it is encoded as it is; the space that B adds goes with it
         return a, [x[2:] for x in self.b.encode(["\n" + t for t in b_texts], num_threads=1)]
 
@@ -199,33 +234,65 @@ class _Words:
 
     def __init__(self, coders: Coders):
         self.coders = coders
+        # each id with what may follow it in the text of groups
+        self.a_names, self.b_names = (np.array([f"{i}{end}" for end in ends for i in range(n)], object)
+                                      for n, ends in ((len(coders.a_bytes), ",|"), (len(coders.b_bytes), ",;")))
+        self.a_name_len, self.b_name_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_names, self.b_names))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
-        self.codes: list[np.ndarray] = []
+        self.codes = np.empty(0, np.int64)
+        self.starts = np.empty(0, np.int64)  # of each word's links
         self.sizes = np.empty((0, 4), np.int64)  # tokens of A, of B, groups, whether the bytes differ
 
-    def learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        co = self.coders
-        a, b = co.encode(words, words)
-        ok = [co.same(w, x, y) for w, x, y in zip(words, a, b)]
-        a = [x if o else [] for x, o in zip(a, ok)]
-        b = [x if o else [] for x, o in zip(b, ok)]
-        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ai, ae = _join(a, co.a_len)
-        bi, be = _join(b, co.b_len)
+    def learn(self, words: set[str], ends: set[str]) -> None:
+        """New words; ``ends`` are the last ones of documents, which may end anywhere."""
+        odd = [w for w in ends if not _SAFE_END.search(w)]
+        rest = (words | ends).difference(odd)
+        quick = [w for w in rest if w.isascii() or max(w) < _OTHER] if self.coders.quick_a else []
+        odd += rest.difference(quick)
+        got = self.coders.encode_joined(quick) if quick else None
+        if got:
+            a, na, nb, b = got
+            self._add(quick, a, na, b, nb, np.zeros(len(quick), bool))
+        else:
+            odd += quick
+        for i in range(0, len(odd), JOINED):
+            self._learn_odd(odd[i:i + JOINED])
+
+    def _learn_odd(self, words: list[str]) -> None:
+        a, b = self.coders.encode(words, words)
+        ok = [self.coders.same(w, x, y) for w, x, y in zip(words, a, b)]
+        a, b = ([x if o else [] for x, o in zip(xs, ok)] for xs in (a, b))
+        (na, ai), (nb, bi) = ((np.fromiter(map(len, x), np.int64, len(x)), np.fromiter((i for y in x for i in y), np.int64)) for x in (a, b))
+        self._add(words, ai, na, bi, nb, ~np.array(ok, bool))
+
+    def _add(self, words: list[str], a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, bad: np.ndarray) -> None:
+        ae, be = np.cumsum(self.coders.a_len[a]), np.cumsum(self.coders.b_len[b])
         ends = np.intersect1d(ae, be, assume_unique=True)  # a word's end is one
-        ga, gb = (np.diff(np.searchsorted(e, ends, "right"), prepend=0) for e in (ae, be))
-        groups = np.diff(np.searchsorted(ends, np.concatenate([[0], ae])[np.cumsum(na)], "right"), prepend=0)
-        texts, codes = group_text(ai, ga, bi, gb), link_codes(ai, ga, bi, gb) if len(ends) else _NO
-        cuts = np.cumsum(groups)
-        self.texts += [";".join(texts[e - g:e]) for e, g in zip(cuts.tolist(), groups.tolist())]
-        self.codes += np.split(codes, cuts[:-1])
-        self.sizes = np.concatenate([self.sizes, np.stack([na, nb, groups, ~np.array(ok, bool)], axis=1)])
+        last_a, last_b = np.searchsorted(ae, ends), np.searchsorted(be, ends)
+        word_ends = np.concatenate([[0], ae])[np.cumsum(na)]
+        groups = np.diff(np.searchsorted(ends, word_ends, "right"), prepend=0)
+        # the groups' text: A's ids of a group, then B's, each with its sign
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        closes_a[last_a], closes_b[last_b] = 1, 1
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        names = np.concatenate([self.a_names[a + closes_a * len(self.coders.a_bytes)], self.b_names[b + closes_b * len(self.coders.b_bytes)]])
+        size = np.concatenate([self.a_name_len[a + closes_a * len(self.coders.a_bytes)], self.b_name_len[b + closes_b * len(self.coders.b_bytes)]])
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        text = "".join(names[order].tolist())
+        until = np.cumsum(size[order])[np.cumsum(na + nb) - 1] if len(order) else np.zeros(len(words), np.int64)
+        until = np.where(np.cumsum(na + nb) > 0, until, 0).tolist()
+        at = 0
+        for e in until:
+            self.texts.append(text[at:e - 1] if e > at else "")
+            at = e
+        codes = a[last_a] << 16 | b[last_b]
+        self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(groups) - groups])
+        self.codes = np.concatenate([self.codes, codes])
+        self.sizes = np.concatenate([self.sizes, np.stack([na, nb, groups, bad], axis=1)])
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
 
 
@@ -233,9 +300,10 @@ _ROWS = ("block long, is_words boolean, doc_id string, n_a long, n_b long, n_gro
 _COLS = [x.split()[0] for x in _ROWS.split(", ")]
 
 
-def _words_row(block: int, codes: list[np.ndarray], counts: np.ndarray, used: np.ndarray) -> tuple:
-    """The dictionary of a block: links of each word with their number, and how often it stands in the block."""
-    data = np.concatenate([np.array([len(codes)], np.int64), np.fromiter(map(len, codes), np.int64, len(codes)), used, *codes, counts])
+def _words_row(block: int, lens: np.ndarray, codes: np.ndarray, counts: np.ndarray, used: np.ndarray) -> tuple:
+    """The dictionary of a block: how many links each word has and how often it stands in the block; the
+    links and how often each stands in its word."""
+    data = np.concatenate([np.array([len(lens)], np.int64), lens, used, codes, counts])
     return (block, True, None, 0, 0, 0, None, C.pack(data), None)
 
 
@@ -261,16 +329,26 @@ def _align_short(a_path: str, b_path: str, keep: bool):
 
         def work() -> None:
             nonlocal size, held, held_size
+            if not held:
+                return
             parts = [_WORDS.split(" " + t) if t else [] for _, t in held]
-            words.learn(list({w for p in parts for w in p if w not in words.index}))
-            for (doc_id, _), p in zip(held, parts):
-                at = np.fromiter(map(words.index.__getitem__, p), np.int64, len(p))
-                n_a, n_b, n_groups, bad = words.sizes[at].sum(axis=0).tolist()
-                if bad or not len(at):
+            flat = [w for p in parts for w in p]
+            words.learn({w for p in parts for w in p[:-1] if w not in words.index}, {p[-1] for p in parts if p and p[-1] not in words.index})
+            every = np.fromiter(map(words.index.__getitem__, flat), np.int64, len(flat))
+            lens = np.fromiter(map(len, parts), np.int64, len(parts))
+            sums = np.zeros((len(parts), 4), np.int64)
+            some = lens > 0
+            if len(every):
+                sums[some] = np.add.reduceat(words.sizes[every], (np.cumsum(lens) - lens)[some], axis=0)
+            at = 0
+            for (doc_id, _), n, (n_a, n_b, n_groups, bad) in zip(held, lens.tolist(), sums.tolist()):
+                own = every[at:at + n]
+                at += n
+                if bad or not n:
                     docs.append(((doc_id, 0, 0, 0, "", None), _NO))
                 else:
-                    text = ";".join([words.texts[i] for i in at.tolist()])
-                    docs.append(((doc_id, n_a, n_b, n_groups, hashlib.sha256(text.encode()).hexdigest(), text if keep else None), at))
+                    text = ";".join(map(words.texts.__getitem__, own.tolist()))
+                    docs.append(((doc_id, n_a, n_b, n_groups, hashlib.sha256(text.encode()).hexdigest(), text if keep else None), own))
             size += held_size
             held, held_size = [], 0
 
@@ -278,12 +356,13 @@ def _align_short(a_path: str, b_path: str, keep: bool):
             nonlocal block, docs, size
             distinct, local = np.unique(np.concatenate([at for _, at in docs]), return_inverse=True)
             used = np.bincount(local, minlength=len(distinct))
-            codes = [words.codes[i] for i in distinct.tolist()]
-            ones = np.ones(sum(map(len, codes)), np.int64)
-            rows = [_words_row(block, codes, ones, used)]
+            lens = words.sizes[distinct, 2]
+            codes = words.codes[C.concat_ranges(words.starts[distinct], lens)]
+            rows = [_words_row(block, lens, codes, np.ones(len(codes), np.int64), used)]
+            local = local.astype(np.int32)
             ends = np.cumsum([len(at) for _, at in docs])
             for ((doc_id, n_a, n_b, n_groups, sha, text), at), e in zip(docs, ends.tolist()):
-                rows.append((block, False, doc_id, n_a, n_b, n_groups, sha, C.pack(local[e - len(at):e].astype(np.int32)), text))
+                rows.append((block, False, doc_id, n_a, n_b, n_groups, sha, C.pack(local[e - len(at):e]), text))
             block, docs, size = block + 1, [], 0
             if len(words.index) > CACHE_WORDS:
                 words.clear()
@@ -403,7 +482,7 @@ def _finish(keep: bool):
             for r in df.itertuples():
                 block = -1 - r.key
                 if not r.ok:
-                    rows = [_words_row(block, [], _NO, _NO), (block, False, r.doc_id, 0, 0, 0, "", C.pack(_NO.astype(np.int32)), None)]
+                    rows = [_words_row(block, _NO, _NO, _NO, _NO), (block, False, r.doc_id, 0, 0, 0, "", C.pack(_NO.astype(np.int32)), None)]
                 else:
                     whole = Fragment(unpack_tokens(r.head), list(r.closed), unpack_tokens(r.tail), r.is_open)
                     digest, texts, codes, sizes = hashlib.sha256(), [], [], np.zeros(3, np.int64)
@@ -414,7 +493,7 @@ def _finish(keep: bool):
                         codes.append(link_codes(*piece))
                         sizes += [len(piece[0]), len(piece[2]), len(piece[1])]
                     distinct, counts = np.unique(np.concatenate(codes), return_counts=True)
-                    rows = [_words_row(block, [distinct], counts, np.ones(1, np.int64)),
+                    rows = [_words_row(block, np.array([len(distinct)]), distinct, counts, np.ones(1, np.int64)),
                             (block, False, r.doc_id, *sizes.tolist(), digest.hexdigest(), C.pack(np.zeros(1, np.int32)), ";".join(texts) if keep else None)]
                 yield _frame(rows)
 
