@@ -98,27 +98,26 @@ def q_store_stale(spark, sf_dir):
 @register("store_delete_key", S.with_views(["snapshots"], """
 SELECT cache_key, url FROM snapshots WHERE cache_key NOT IN (SELECT cache_key FROM snapshots WHERE status_code = 404)"""))
 def q_store_delete_key(spark, sf_dir):
-    """O-C5: delete by key (the keys whose newest fetch was a 404)."""
-    s = D.snapshots(spark, sf_dir)
-    gone = s.filter(F.col("status_code") == 404).select("cache_key")
-    return st.delete_keys(s, gone).select("cache_key", "url")
+    """O-C5: delete by key (the keys whose newest fetch was a 404), then read the table back."""
+    gone = D.snapshots(spark, sf_dir).filter(F.col("status_code") == 404).select("cache_key")
+    return D.store_table(spark, sf_dir).delete_keys(gone).read().select("cache_key", "url")
 
 
 @register("store_delete_url", S.with_views(["snapshots"], """
 SELECT cache_key, url FROM snapshots WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE '%utm_source=%')"""))
 def q_store_delete_url(spark, sf_dir):
-    """O-C6: delete by exact raw URL (the tracking-parameter URLs of the page table)."""
+    """O-C6: delete by exact raw URL (the tracking-parameter URLs of the page table), then read the table back."""
     from pagecorpus.sources.tables import read_table
-    s = D.snapshots(spark, sf_dir)
     urls_ = read_table(spark, sf_dir, "pages").filter(F.col("url").contains("utm_source=")).select("url")
-    return st.delete_keys(s, urls_, on="url").select("cache_key", "url")
+    return D.store_table(spark, sf_dir).delete_urls(urls_).read().select("cache_key", "url")
 
 
 @register("store_purge_all", S.with_views(["snapshots"], """
 SELECT CAST(count(*) AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS remaining FROM snapshots"""))
 def q_store_purge_all(spark, sf_dir):
-    """O-C7: purge everything; reports the deleted count."""
-    return D.snapshots(spark, sf_dir).agg(F.count(F.lit(1)).alias("deleted"), F.lit(0).cast("long").alias("remaining"))
+    """O-C7: purge everything; the deleted rows as the table reports them, the remaining ones as read back."""
+    after = D.store_table(spark, sf_dir).purge()
+    return after.read().agg(F.lit(after.report["deleted"]).cast("long").alias("deleted"), F.count(F.lit(1)).alias("remaining"))
 
 
 @register("store_purge_domain", S.with_views(["snapshots", "page_keys"], """
@@ -136,6 +135,18 @@ def q_store_purge_domain(spark, sf_dir):
                     F.coalesce(F.col("domain") != "blog.ththan.example.net", F.lit(True)).alias("kept_exact"))
 
 
+@register("store_purge_like", S.with_views(["snapshots"], """
+SELECT count(*) FILTER (WHERE gone) AS deleted, count(*) FILTER (WHERE NOT gone) AS remaining,
+       CAST(coalesce(sum(content_length) FILTER (WHERE NOT gone), 0) AS BIGINT) AS size_bytes
+FROM (SELECT *, lower(url) LIKE '%example.n_t%' AS gone FROM snapshots)"""))
+def q_store_purge_like(spark, sf_dir):
+    """O-C8: the substring purge on the written table: deleted rows from the pass that removes them, the
+    rest as read back."""
+    after = D.store_table(spark, sf_dir).delete_where(st.purged("url", "EXAMPLE.n_t"))
+    return after.read().agg(F.lit(after.report["deleted"]).cast("long").alias("deleted"), F.count(F.lit(1)).alias("remaining"),
+                            F.coalesce(F.sum("content_length"), F.lit(0)).cast("long").alias("size_bytes"))
+
+
 @register("store_stats", S.with_views(["snapshots"], f"""
 SELECT CAST(count(*) AS BIGINT) AS total_entries, CAST(coalesce(sum(content_length), 0) AS BIGINT) AS total_size_bytes,
        CAST(count(*) FILTER (WHERE expires_at IS NOT NULL AND expires_at < {NOW}) AS BIGINT) AS expired_entries
@@ -229,6 +240,24 @@ def q_store_cleanup(spark, sf_dir):
     return st.cleanup_report(tagged)
 
 
+CLEANED_SQL = S.with_views(["snapshots"], f"""
+SELECT cache_key, fetched_at, content_length FROM (
+  SELECT *, sum(content_length) OVER (ORDER BY fetched_at DESC, cache_key DESC ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, row_number() OVER (ORDER BY fetched_at DESC, cache_key DESC) AS rn FROM snapshots
+        WHERE NOT coalesce(expires_at < {NOW} - INTERVAL {GRACE_SECONDS} SECOND, false))
+  WHERE rn <= {MAX_ENTRIES})
+WHERE run <= {MAX_SIZE}""")
+
+
+@register("store_cleanup_apply", CLEANED_SQL)
+def q_store_cleanup_apply(spark, sf_dir):
+    """O-C15 on the written table: the phases' rows are deleted in one version; what is left, read back."""
+    table = D.store_table(spark, sf_dir)
+    tagged = st.cleanup(table.read(), D.now_col(), GRACE_SECONDS, MAX_ENTRIES, MAX_SIZE)
+    after = table.delete_keys(tagged.where("phase is not null").select("cache_key"))
+    return after.read().select("cache_key", "fetched_at", "content_length")
+
+
 @register("store_evict_on_write", S.with_views(["snapshots"], f"""
 SELECT cache_key, (SELECT sum(content_length) FROM snapshots) > {MAX_SIZE} AND (expired OR run > {MAX_SIZE}) AS evicted
 FROM (SELECT cache_key, coalesce(expires_at < {NOW}, false) AS expired,

@@ -153,3 +153,30 @@ def fs_identity(spark: SparkSession, path: str) -> str:
     top = fs.getFileStatus(p)
     parts = fs.listStatus(p) if top.isDirectory() else [top]
     return f"{path}|{sum(s.getLen() for s in parts)}|{max([s.getModificationTime() for s in parts], default=0)}|{len(parts)}"
+
+
+def fs_read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, through the Hadoop file system."""
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def fs_write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file so that it appears whole or not at all: under another name first,
+    then by one rename.  An existing file is an error."""
+    import uuid
+
+    p, fs = _fs(spark, path)
+    temp, _ = _fs(spark, os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}.tmp"))
+    stream = fs.create(temp, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(temp, p):
+        fs.delete(temp, False)
+        raise RuntimeError(f"{path} is committed already")

@@ -79,6 +79,14 @@ def upsert_latest(rows: DataFrame, key: str = "cache_key",
 _TABLES: dict[tuple[str, str, str], str] = {}
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> str:
+    """What the written tables derive from: an input that is overwritten gets new ones."""
+    import os
+
+    from pagecorpus.session import fs_identity
+    return "|".join(fs_identity(spark, os.path.join(sf_dir, f"{t}.parquet")) for t in ("pages", "events"))
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table written once per session under the shared checkpoint folder (the
     store and the keyed frontier are tables in a deployment, not views recomputed per use)."""
@@ -86,7 +94,7 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     import uuid
 
     from pagecorpus.session import checkpoint_dir, fs_exists
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, _inputs(spark, sf_dir), name)
     path = _TABLES.get(key)
     if path is None or not fs_exists(spark, path):
         path = os.path.join(checkpoint_dir(spark), "derived", name, uuid.uuid4().hex)
@@ -105,6 +113,22 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, "snapshots", build)
 
 
+def store_table(spark: SparkSession, sf_dir: str):
+    """The store as a versioned table (``store_table.StoreTable``), at the version that holds ``snapshots``.
+    Written once per session; writes on it commit further versions and leave this one as it is."""
+    import os
+    import uuid
+
+    from pagecorpus.session import checkpoint_dir
+    from pagecorpus.sources.store_table import StoreTable
+    key = (spark.sparkContext.applicationId, _inputs(spark, sf_dir), "store_table")
+    if key not in _TABLES:
+        root = os.path.join(checkpoint_dir(spark), "derived", "store_table", uuid.uuid4().hex)
+        StoreTable(spark, root).upsert(snapshots(spark, sf_dir), 1)
+        _TABLES[key] = root
+    return StoreTable(spark, _TABLES[key], 1)
+
+
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, canonical_url, cache_key, domain)``: URL keys computed once per page
     (not once per fetch), then joined to fetch rows by ``page_id`` (written once per session)."""
@@ -114,6 +138,14 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, "page_keys", build)
 
 
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, host)``: the host of each page's URL (written once per session)."""
+    def build():
+        return urls.add_url_parts(read_table(spark, sf_dir, "pages").select("page_id", "url"), "url").select(
+            "page_id", F.col("hostname").alias("host"))
+    return _written(spark, sf_dir, "page_hosts", build)
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     d = pages.select(F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1).alias("domain")).distinct()
