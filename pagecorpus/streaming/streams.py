@@ -4,13 +4,14 @@ Sources are parquet folders read with ``readStream``; every query runs with
 ``trigger(availableNow=True)`` and a checkpoint under the shared checkpoint folder, so a
 restarted query resumes where it stopped.  Sinks are idempotent per micro-batch id.
 
-* O-T1 snapshot ingest: ``foreachBatch`` merges each batch into the store with the O-C3
-  upsert (``max_by`` on ``(fetched_at, seq)``), writing version ``v{batch_id}`` -- a replayed
-  batch rewrites the same version, so the result does not depend on retries.
-* O-T2 duplicate suppression: ``withWatermark`` + ``dropDuplicatesWithinWatermark(key)``.
-* O-T3 windowed counters: watermark + tumbling ``window`` + ``groupBy``.
-* O-T4 job states: ``applyInPandasWithState`` per job id; the state keeps the job's few
-  events and the fold is recomputed, so arrival order does not matter.
+* O-T1 snapshot ingest: ``foreachBatch`` upserts each batch into the versioned store table
+  (``sources/store_table.py``): only touched partitions are written, and a replayed batch finds
+  its version committed.
+* O-T2 duplicate suppression by each row's own TTL: keyed state (``state.Suppression``), late rows
+  in an output of their own.
+* O-T3 windowed counters: watermark + tumbling ``window`` + ``groupBy`` in append mode, so closed
+  windows leave the state; late rows are counted.
+* O-T4 job states: keyed state (``state.JobStates``) that a timer removes after the result TTL.
 * O-T5 periodic retention: the O-C15 cleanup run over the ingested store.
 """
 
@@ -19,12 +20,12 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagecorpus.session import checkpoint_dir, fs_list
+from pagecorpus.sources.store_table import StoreTable
+from pagecorpus.streaming.state import JOB_ROWS, LOOKBACK, SUPPRESSED_ROWS, JobStates, Suppression
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -32,19 +33,23 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 
 def write_source_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
-    """Land a table as ``n_files`` parquet files cut by ``order_col`` ranges (a stream's input).
+    """Land a table as ``n_files`` parquet files cut by ``order_col`` ranges (a stream's input); files that
+    are there already stay and come first.
 
     The file source reads files in modification-time order; parallel writers finish in any
     order, so the files' times are set in range order afterwards (Hadoop file-system API),
     making every replay see the ranges oldest first."""
     spark = df.sparkSession
-    df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+    before = set(fs_list(spark, path))
+    df.repartitionByRange(n_files, order_col).write.mode("append").parquet(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("part-")),
+    stats = [st for st in fs.listStatus(root) if st.getPath().getName().startswith("part-")]
+    old = [int(st.getModificationTime()) for st in stats if st.getPath().getName() in before]
+    parts = sorted((st.getPath() for st in stats if st.getPath().getName() not in before),
                    key=lambda p: p.getName())  # part-00000.. follow the range order
-    base = int(fs.getFileStatus(root).getModificationTime())
+    base = max([int(fs.getFileStatus(root).getModificationTime()), *old])
     for i, p in enumerate(parts):
         fs.setTimes(p, base + 1000 * (i + 1), -1)
     return path
@@ -65,108 +70,98 @@ def _stream(spark: SparkSession, path: str, schema, files_per_trigger: int | Non
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def _run(writer, ckpt: str) -> None:
+def _run(writer, ckpt: str):
+    """Run a query over all files that are there; returns it, ended."""
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
-def ingest_snapshots(spark: SparkSession, source: str, schema, store_dir: str) -> DataFrame:
-    """O-T1: stream of snapshot rows -> upserted store; returns the final store."""
-    from pagecorpus.sources.derived import upsert_latest
+def _keyed_state(spark: SparkSession) -> None:
+    """State with timers lives in RocksDB, on each executor's disk and in the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        versions = sorted(int(v[1:]) for v in fs_list(spark, store_dir) if v.startswith("v"))
-        prior = [v for v in versions if v < batch_id]
-        rows = batch
-        if prior:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(os.path.join(store_dir, f"v{prior[-1]}")))
-        upsert_latest(rows).write.mode("overwrite").parquet(os.path.join(store_dir, f"v{batch_id}"))
 
-    _run(_stream(spark, source, schema).writeStream.foreachBatch(merge), os.path.join(store_dir + "_ckpt"))
-    versions = sorted(int(v[1:]) for v in fs_list(spark, store_dir) if v.startswith("v"))
-    return spark.read.parquet(os.path.join(store_dir, f"v{versions[-1]}"))
+def _with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    # event time as TIMESTAMP (the session zone is UTC, so the instant is unchanged)
+    return df.withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", delay)
 
 
-def dedup_within_ttl(spark: SparkSession, source: str, schema, out_dir: str, key: str, ts: str,
-                     delay: str = "1 hour") -> DataFrame:
-    """O-T2: drop repeated keys inside the watermark delay."""
-    s = (_stream(spark, source, schema).withColumn("_evt", F.col(ts).cast("timestamp"))
-         .withWatermark("_evt", delay).dropDuplicatesWithinWatermark([key]).drop("_evt"))
-    _run(s.writeStream.format("parquet").option("path", out_dir).outputMode("append"), out_dir + "_ckpt")
-    return spark.read.schema(schema).parquet(out_dir)
+def _put(out_dir: str, *by: str):
+    """A sink that writes each batch to its own folder, so that a replayed batch replaces itself."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        path = os.path.join(out_dir, f"batch_id={batch_id}")
+        (batch.write.partitionBy(*by) if by else batch.write).mode("overwrite").parquet(path)
+    return put
 
 
-def windowed_counts(spark: SparkSession, source: str, schema, out_dir: str, ts: str, keys: list[str],
-                    width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """O-T3: counts per tumbling window and key; the complete result is rewritten per batch
-    (state stays in the stream's state store; late rows beyond the watermark are dropped)."""
-    # event time as TIMESTAMP (the session zone is UTC, so the instant is unchanged)
-    agg = (_stream(spark, source, schema).withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", delay)
-           .groupBy(F.window("_evt", width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"),
-                                                               F.sum("elapsed_ms").alias("elapsed_ms_sum")))
+def _read_batches(spark: SparkSession, out_dir: str, columns: str) -> DataFrame:
+    """What ``_put`` wrote, with ``batch_id``."""
+    if not any(f.startswith("batch_id=") for f in fs_list(spark, out_dir)):
+        return spark.createDataFrame([], columns + ", batch_id int")
+    return spark.read.schema(columns + ", batch_id int").parquet(out_dir)
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
-
-    _run(agg.writeStream.outputMode("complete").foreachBatch(put), out_dir + "_ckpt")
-    return spark.read.parquet(out_dir)
-
-
-_JOB_STATE_OUT = ("job_id long, status string, created_at timestamp_ntz, started_at timestamp_ntz, "
-                  "finished_at timestamp_ntz, updated_at timestamp_ntz")
-_JOB_STATE = "events string"
-
-
-def _fold_pandas(events: list[tuple]) -> dict:
-    """The O-J1 fold for one job (a handful of events), in (ts, rank) order."""
-    rank = {"created": 0, "started": 1, "cancelled": 2}
-    st = {"status": None, "created_at": None, "started_at": None, "finished_at": None, "updated_at": None}
-    for ts, ev in sorted(events, key=lambda e: (e[0], rank.get(e[1], 3))):
-        s = st["status"]
-        new = s
-        if ev == "created" and s is None:
-            new = "queued"
-        elif ev == "started" and s == "queued":
-            new = "running"
-        elif ev in ("succeeded", "failed") and s == "running":
-            new = ev
-        elif ev == "cancelled" and s == "queued":
-            new = "cancelled"
-        if new != s:
-            st["status"] = new
-            if ev == "created":
-                st["created_at"] = ts
-            if ev == "started":
-                st["started_at"] = ts
-            if ev in ("succeeded", "failed"):
-                st["finished_at"] = ts
-            st["updated_at"] = ts
-    return st
-
-
-def _job_state_fn(key, pdfs, state):
-    import json
-    seen = json.loads(state.get[0]) if state.exists else []
-    for pdf in pdfs:
-        for ts, ev in zip(pdf["ts"], pdf["event"]):
-            seen.append([pd.Timestamp(ts).isoformat(), ev])
-    state.update((json.dumps(seen),))
-    st = _fold_pandas([(pd.Timestamp(t), e) for t, e in seen])
-    yield pd.DataFrame([{"job_id": key[0], **st}])
-
-
-def job_state_stream(spark: SparkSession, source: str, schema, out_dir: str) -> DataFrame:
-    """O-T4: job events stream -> current job state; the latest row per job is kept by an
-    idempotent per-batch merge (max_by on the batch id)."""
-    states = (_stream(spark, source, schema).groupBy("job_id")
-              .applyInPandasWithState(_job_state_fn, _JOB_STATE_OUT, _JOB_STATE, "update",
-                                      GroupStateTimeout.NoTimeout))
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(out_dir, f"batch_id={batch_id}"))
+def ingest_snapshots(spark: SparkSession, source: str, schema, store_dir: str) -> DataFrame:
+    """O-T1: stream of snapshot rows -> upserted store table; returns its rows."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        StoreTable.latest(s, store_dir).upsert(batch, batch_id + 1)
+
+    _run(_stream(spark, source, schema).writeStream.foreachBatch(merge), store_dir + "_ckpt")
+    return StoreTable.latest(spark, store_dir).read()
+
+
+def _state_rows(q) -> int:
+    """Rows in the state of an ended query: states, pending rows and timers."""
+    done = q.recentProgress
+    return done[-1]["stateOperators"][0]["numRowsTotal"] if done else 0
 
-    _run(states.writeStream.outputMode("update").foreachBatch(put), out_dir + "_ckpt")
-    allv = spark.read.parquet(out_dir)
-    cols = [c for c in allv.columns if c not in ("job_id", "batch_id")]
-    return allv.groupBy("job_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s")).select("job_id", "s.*")
+
+def suppress_within_ttl(spark: SparkSession, source: str, schema, out_dir: str, key: str = "cache_key",
+                        lateness_seconds: int = 3600) -> tuple[DataFrame, int]:
+    """O-T2: a row is dropped while the last kept row of its key has not expired (its own ``expires_at``).
+    Returns (key, seq, ts_us, kind): ``kept`` rows, and ``late`` ones that came after the watermark;
+    and the number of rows left in the state."""
+    _keyed_state(spark)
+    rows = _with_event_time(_stream(spark, source, schema), "fetched_at", LOOKBACK).select(
+        F.col(key).alias("key"), "seq", F.unix_micros("_evt").alias("ts_us"),
+        F.unix_micros(F.col("expires_at").cast("timestamp")).alias("until_us"), "_evt")
+    out = rows.groupBy("key").transformWithState(Suppression(lateness_seconds), SUPPRESSED_ROWS, "append", "EventTime")
+    q = _run(out.writeStream.outputMode("append").foreachBatch(_put(out_dir, "kind")), out_dir + "_ckpt")
+    return _read_batches(spark, out_dir, SUPPRESSED_ROWS).drop("batch_id"), _state_rows(q)
+
+
+def windowed_counts(spark: SparkSession, source: str, schema, out_dir: str, ts: str, keys: list[str],
+                    width: str = "1 hour", delay: str = "2 hours") -> tuple[DataFrame, dict]:
+    """O-T3: counts per tumbling window and key, in append mode: a window is given out once, when the
+    watermark passes its end, and leaves the state.  Also returns what the run measured: rows read
+    (``rows_in``) and windows left in the state (``state_rows``)."""
+    rows = _with_event_time(_stream(spark, source, schema), ts, delay).observe("seen", F.count(F.lit(1)).alias("rows_in"))
+    agg = rows.groupBy(F.window("_evt", width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"),
+                                                                     F.sum("elapsed_ms").alias("elapsed_ms_sum"))
+    q = _run(agg.writeStream.outputMode("append").foreachBatch(_put(out_dir)), out_dir + "_ckpt")
+    seen = sum(p["observedMetrics"]["seen"]["rows_in"] for p in q.recentProgress if p["numInputRows"])
+    kinds = ", ".join(f"{c} {t}" for c, t in agg.dtypes)
+    return _read_batches(spark, out_dir, kinds).drop("batch_id"), {"rows_in": seen, "state_rows": _state_rows(q)}
+
+
+def job_state_stream(spark: SparkSession, source: str, schema, out_dir: str, ttl_seconds: int,
+                     lateness_seconds: int = 3600) -> tuple[DataFrame, int]:
+    """O-T4: job events -> rows (job_id, kind, ...): ``state`` rows hold a job's state after a batch,
+    ``expired`` rows tell that a finished job outlived the TTL and left the state, ``late`` rows
+    are events from before the watermark; and the number of rows left in the state."""
+    _keyed_state(spark)
+    events = _with_event_time(_stream(spark, source, schema), "ts", LOOKBACK).select(
+        "job_id", F.unix_micros("_evt").alias("ts_us"), "event", "_evt")
+    out = events.groupBy("job_id").transformWithState(JobStates(ttl_seconds, lateness_seconds), JOB_ROWS, "append", "EventTime")
+    q = _run(out.writeStream.outputMode("append").foreachBatch(_put(out_dir, "kind")), out_dir + "_ckpt")
+    return _read_batches(spark, out_dir, JOB_ROWS), _state_rows(q)
+
+
+def latest_states(rows: DataFrame) -> DataFrame:
+    """The last state of each job, as in the batch fold (O-J1)."""
+    cols = ["status", "created_us", "started_us", "finished_us", "updated_us"]
+    last = rows.where("kind = 'state'").groupBy("job_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s")).select("job_id", "s.*")
+    return last.select("job_id", "status", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(c.replace("_us", "_at")) for c in cols[1:]))
