@@ -111,7 +111,7 @@ def durations_by_profile(jobs: DataFrame) -> DataFrame:
 
 def fifo_check(jobs: DataFrame) -> DataFrame:
     """O-J9: a started job that starts before the previously created started job breaks
-    FIFO order.  The previous-row lookup is chunked by creation hour (no global window)."""
+    FIFO order.  The previous row is looked up in parts of equal row count (no global window)."""
     s = jobs.filter(F.col("started_at").isNotNull()).withColumn(
         "_st", F.unix_micros(F.col("started_at").cast("timestamp")))
     s = scan.previous_value(s, [], "created_at", "job_id", "_st", "_prev")

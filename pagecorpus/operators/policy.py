@@ -55,11 +55,8 @@ def pacing_plan(requests: DataFrame, domain: str = "domain", ts: str = "requeste
     d = (requests
          .withColumn("_arr", F.unix_micros(F.col(ts).cast("timestamp")))
          .withColumn("_c", F.col(dur_ms) * 1000 + (F.col("min_delay_seconds") * 1_000_000).cast("long")))
-    d = scan.running_sum(d, [domain], ts, tie, "_c", "_P", inclusive=False)
-    d = d.withColumn("_x", F.col("_arr") - F.col("_P"))
-    d = scan.running_max(d, [domain], ts, tie, "_x", "_M")
-    d = d.withColumn("planned_start_us", F.col("_P") + F.col("_M"))
-    return d.withColumn("wait_us", F.col("planned_start_us") - F.col("_arr")).drop("_arr", "_c", "_P", "_x", "_M")
+    d = scan.queue_starts(d, [domain], ts, tie, "_arr", "_c", "planned_start_us")
+    return d.withColumn("wait_us", F.col("planned_start_us") - F.col("_arr")).drop("_arr", "_c")
 
 
 def delay_audit(log: DataFrame, domain: str = "domain", ts: str = "requested_at",

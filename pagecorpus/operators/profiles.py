@@ -29,6 +29,22 @@ def resolve(layers: DataFrame, scope: list[str]) -> DataFrame:
     return layers.groupBy(*scope, "section", "key").agg(F.max_by("value", "priority").alias("value"))
 
 
+def settings_by(layers: DataFrame, scope: list[str]) -> DataFrame:
+    """O-P1 / O-P2, once for each scope (a profile, say): its effective settings as one map from
+    (section, key) to value."""
+    entry = F.struct(F.struct("section", "key").alias("k"), F.col("value"))
+    return resolve(layers, scope).groupBy(*scope).agg(F.map_from_entries(F.collect_list(entry)).alias("settings"))
+
+
+def overlay(settings: Column, own: dict[tuple[str, str], Column]) -> Column:
+    """``settings`` with a request's own values in place; a null one leaves the setting as it is."""
+    def value(k: Column, v: Column) -> Column:
+        for (section, key), mine in own.items():
+            v = F.when((k["section"] == section) & (k["key"] == key), F.coalesce(mine, v)).otherwise(v)
+        return v
+    return F.transform_values(settings, value)
+
+
 def known_keys_only(overrides: DataFrame, base: DataFrame) -> DataFrame:
     """O-P2: overrides for keys the base settings do not have are ignored."""
     return overrides.join(base.select("section", "key").distinct(), ["section", "key"], "left_semi")

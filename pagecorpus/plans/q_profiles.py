@@ -69,20 +69,22 @@ GROUP BY request_id, section, key""", _LAYER_CTES)
 
 @register("settings_resolution", RESOLVE_SQL)
 def q_settings_resolution(spark, sf_dir):
-    """O-P1 / O-P2: effective settings per request -- request > profile > env > file >
-    default, unknown profile keys ignored, unknown profile = base; one max_by aggregate.
-    The fixed base layer rows are exploded per request (no join with a key table)."""
-    f = D.fetch_log(spark, sf_dir).select("request_id", "profile")
-    base = f.select("request_id", F.inline(_base_rows()))
-    prof = f.join(F.broadcast(_profile_layer(spark)), "profile").select(
-        "request_id", "section", "key", "value", "priority")  # broadcast: fixed override rows
-    ttl = _request_ttl()
-    req = D.fetch_log(spark, sf_dir).select("request_id", ttl.alias("ttl")).filter(
-        F.col("ttl").isNotNull() & (F.col("ttl") != 0)).select(
-        "request_id", F.lit("cache").alias("section"), F.lit("default_ttl_seconds").alias("key"),
-        F.col("ttl").cast("string").alias("value"), F.lit(P.PRIORITY["request"]).alias("priority"))
-    layers = base.unionByName(prof).unionByName(req)
-    return P.resolve(layers, ["request_id"])
+    """O-P1 / O-P2: effective settings per request -- request > profile > env > file > default, unknown
+    profile keys ignored, unknown profile = base.  Settings are resolved once per profile; a request
+    takes its profile's map and lays its one own key over it, so the log is not shuffled."""
+    f = D.fetch_log(spark, sf_dir).select("request_id", "profile", _request_ttl().alias("ttl"))
+    layers = _profile_layer(spark)
+    base = layers.select("profile").distinct().select("profile", F.inline(_base_rows()))
+    per_profile = P.settings_by(base.unionByName(layers.select(*base.columns)), ["profile"])
+    fixed = {}
+    for _, section, key, value in sorted(BASE_LAYERS, key=lambda r: P.PRIORITY[r[0]]):
+        fixed[section, key] = value
+    no_profile = F.map_from_entries(F.array(*(F.struct(F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")).alias("k"),
+                                                       F.lit(v).alias("value")) for (s, k), v in fixed.items())))
+    j = f.join(F.broadcast(per_profile), "profile", "left")  # as many rows as profiles in the fixed override rows
+    own = {("cache", "default_ttl_seconds"): F.when(F.col("ttl") != 0, F.col("ttl").cast("string"))}
+    return (j.select("request_id", F.explode(P.overlay(F.coalesce("settings", no_profile), own)).alias("k", "value"))
+            .select("request_id", "k.section", "k.key", "value"))
 
 
 SNAPSHOT_ALLOWED = " OR ".join(f"(section = '{s}' AND key = '{k}')" for s, ks in P.SNAPSHOT_FIELDS.items() for k in ks)
