@@ -28,6 +28,15 @@ METRIC_HELP = {
     "auth_failures_total": ("counter", "Total authentication failures"),
     "proxy_requests_total": ("counter", "Total scrape requests routed through a proxy"),
     "proxy_errors_total": ("counter", "Total proxy-related errors"),
+    "scraper_up": ("gauge", "Service health (1 = up, 0 = down)"),
+    "cache_cleanup_runs_total": ("counter", "Total cache cleanup runs"),
+    "cache_cleanup_deleted_entries_total": ("counter", "Total cache entries deleted by cleanup"),
+    "cache_cleanup_errors_total": ("counter", "Total cache cleanup errors"),
+    "cache_vacuum_runs_total": ("counter", "Total cache VACUUM runs"),
+    "cache_vacuum_errors_total": ("counter", "Total cache VACUUM errors"),
+    "cache_size_bytes": ("gauge", "cache size bytes"),
+    "cache_entries_total": ("gauge", "cache entries total"),
+    "cache_expired_entries_total": ("gauge", "cache expired entries total"),
 }
 
 

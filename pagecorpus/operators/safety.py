@@ -76,13 +76,23 @@ def label_addresses(dns: DataFrame, spark: SparkSession) -> DataFrame:
     return j.groupBy("host", "ip").agg(F.max("_lab").alias("ip_label"))
 
 
+#: Prefix of the columns that hold the parts of a URL.
+SPLIT = "_sv_"
+
+
+def split_urls(df: DataFrame, url: str) -> DataFrame:
+    """``df`` with the parts of ``url``, to be written once: verdicts and host lookups then read columns."""
+    return urls.add_url_parts(df, url, SPLIT)
+
+
 def url_verdicts(df: DataFrame, url: str, dns_labels: DataFrame | None, allowed: DataFrame | None = None,
                  block_localhost: bool = True, block_private: bool = True) -> DataFrame:
     """O-U6 (+ O-U7 allow-list, O-U8 resolution): first failing rule as ``reason``
     (null = safe).  ``dns_labels(host, ip, ip_label)`` holds every resolved address of a
-    host; an absent host is unresolvable."""
-    p = "_sv_"
-    d = urls.add_url_parts(df, url, p)
+    host; an absent host is unresolvable.  Rows that carry the parts of their URL already
+    (``split_urls``, written) are not split again."""
+    p = SPLIT
+    d = df if f"{p}hostname" in df.columns else split_urls(df, url)
     host = F.col(f"{p}hostname")
     u = F.col(url)
     if allowed is not None:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pagecorpus.functions import urls
 from pagecorpus.operators import label as L
 from pagecorpus.operators import safety as SF
+from pagecorpus.plans import q_store  # noqa: F401  (its twins come first)
 from pagecorpus.plans import sqlbits as S
-from pagecorpus.plans.registry import register
+from pagecorpus.plans.registry import ORACLES, register
 from pagecorpus.session import materialize
 from pagecorpus.sources import derived as D
 from pagecorpus.sources.corpus import nodes_table
@@ -57,19 +58,17 @@ def _variants_sql() -> str:
 
 def _dns(spark, sf_dir, hosts_df):
     """Resolved addresses: one per crawled host by a rule on its length (some private,
-    every seventh length unresolvable); IPv4 literals resolve to themselves."""
+    every seventh length unresolvable); IPv4 literals resolve to themselves.  ``hosts_df`` and the
+    pages' hosts are written columns, so no URL is split here."""
     h = F.length("host")
-    crawled = (D.page_keys(spark, sf_dir).select(F.regexp_replace("domain", r"^", "").alias("d"))
-               .select(F.col("d").alias("host")))
-    hosts = urls.add_url_parts(read_table(spark, sf_dir, "pages").select("url"), "url").select(
-        F.col("hostname").alias("host")).unionByName(crawled).distinct()
+    hosts = (D.page_hosts(spark, sf_dir).select("host")
+             .unionByName(D.page_keys(spark, sf_dir).select(F.col("domain").alias("host"))).distinct())
     named = hosts.filter(h % 7 != 0).select(
         "host", F.when(h % 5 == 0, F.concat(F.lit("10.1."), h.cast("string"), F.lit(".7")))
         .when(h % 5 == 1, F.concat(F.lit("192.168."), h.cast("string"), F.lit(".1")))
         .when(h % 5 == 2, F.concat(F.lit("127.0.0."), h.cast("string")))
         .otherwise(F.concat(F.lit("93.184."), h.cast("string"), F.lit(".34"))).alias("ip"))
-    literal = hosts_df.select("host").distinct().filter(SF.ip_number(F.col("host")).isNotNull()) \
-        .select("host", F.col("host").alias("ip"))
+    literal = hosts_df.filter(SF.ip_number(F.col("host")).isNotNull()).select("host", F.col("host").alias("ip")).distinct()
     # one row per resolved host: written once, so later joins read a small table
     return materialize(SF.label_addresses(named.unionByName(literal).distinct(), spark), "dns")
 
@@ -129,9 +128,8 @@ def q_url_safety(spark, sf_dir):
     """O-U6 / O-U7 / O-U8: safety verdict (first failing rule) for every page URL and six
     derived variants; the policy domains are the allow-list; private resolution is an
     equi-join on the first octet against the fixed block table."""
-    v = materialize(_variants(spark, sf_dir), "variants")
-    hosts = urls.add_url_parts(v.select("url"), "url").select(F.col("hostname").alias("host"))
-    dns = _dns(spark, sf_dir, hosts)
+    v = materialize(SF.split_urls(_variants(spark, sf_dir), "url"), "variants")  # split once
+    dns = _dns(spark, sf_dir, v.select(F.col(f"{SF.SPLIT}hostname").alias("host")))
     allowed = D.policies(spark, sf_dir).select("domain")
     return SF.url_verdicts(v, "url", dns, allowed).select("page_id", "variant", "reason")
 
@@ -172,7 +170,7 @@ LEFT JOIN res r ON r.host = v.hostname""", PROXIES_SQL + ",\nlits AS (SELECT hos
 def _proxy_table(spark, sf_dir):
     px = _proxies(spark, sf_dir)
     hosts = urls.add_url_parts(px.select("proxy_url"), "proxy_url").select(F.col("hostname").alias("host"))
-    dns = _dns(spark, sf_dir, hosts)
+    dns = _dns(spark, sf_dir, materialize(hosts, "proxy_hosts"))
     out = SF.proxy_verdicts(px, "proxy_url", dns)
     return materialize(urls.add_redacted(out, "proxy_url", "redacted"), "proxies")  # one row per domain
 
@@ -303,17 +301,25 @@ def q_error_status(spark, sf_dir):
     return lab.join(errs, "error_type").select("request_id", "error_type", "http_status")
 
 
-@register("proxy_counters", _choice_sql().replace(
-    "SELECT request_id,\n  CASE WHEN has_req", "SELECT metric, value FROM (SELECT 'proxy_requests_total' AS metric, "
-    "CAST(count(proxy) AS DOUBLE) AS value FROM (SELECT request_id,\n  CASE WHEN has_req", 1)
-    + ") UNION ALL SELECT 'proxy_errors_total', CAST(count(proxy_error) AS DOUBLE) FROM (SELECT request_id, "
-    "CASE WHEN has_req AND NOT allowed THEN 'proxy_override_not_allowed' WHEN has_req AND NOT valid THEN 'invalid_proxy' END "
-    "AS proxy_error FROM (SELECT f.request_id, f.request_id % 4 = 0 AS has_req, f.profile IN ('client_1', 'client_2') AS allowed, "
-    "pv.proxy_reason IS NULL AS valid FROM fl f JOIN page_keys k USING (page_id) JOIN pv ON pv.domain = k.domain)))")
+def _fetched_choices(spark, sf_dir):
+    """Proxy choices with the store lookup's outcome: a request answered by the store is not routed."""
+    from pagecorpus.plans.q_store import q_store_lookup
+    return q_proxy_choice(spark, sf_dir).join(q_store_lookup(spark, sf_dir).select("request_id", "outcome"), "request_id")
+
+
+def proxy_counters_sql() -> str:
+    return f"""
+SELECT metric, CAST(value AS DOUBLE) AS value FROM (
+  SELECT unnest(['proxy_requests_total', 'proxy_errors_total']) AS metric,
+         unnest([count(proxy) FILTER (WHERE outcome <> 'hit'), count(proxy_error)]) AS value
+  FROM ({_choice_sql()}) c JOIN ({ORACLES['store_lookup']}) l USING (request_id))"""
+
+
+@register("proxy_counters", proxy_counters_sql())
 def q_proxy_counters(spark, sf_dir):
-    """O-M5: requests routed through a proxy and proxy errors."""
-    c = q_proxy_choice(spark, sf_dir)
-    wide = c.agg(F.count("proxy").cast("double").alias("proxy_requests_total"),
-                 F.count("proxy_error").cast("double").alias("proxy_errors_total"))
+    """O-M5: requests routed through a proxy (those that the store did not answer) and proxy errors."""
+    wide = _fetched_choices(spark, sf_dir).agg(
+        F.count(F.when(F.col("outcome") != "hit", F.col("proxy"))).cast("double").alias("proxy_requests_total"),
+        F.count("proxy_error").cast("double").alias("proxy_errors_total"))
     return wide.selectExpr("stack(2, 'proxy_requests_total', proxy_requests_total, 'proxy_errors_total', "
                            "proxy_errors_total) AS (metric, value)")

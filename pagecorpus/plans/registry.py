@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from pagecorpus.plans import q_clean, q_extract, q_jobs, q_metrics, q_pages, q_policy, q_profiles, q_requests, q_safety, q_store, q_stream, q_urls  # noqa: F401
+    from pagecorpus.plans import q_clean, q_extract, q_jobs, q_metrics, q_pages, q_policy, q_process, q_profiles, q_requests, q_safety, q_schema, q_store, q_stream, q_urls, q_variants  # noqa: F401

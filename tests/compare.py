@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 
 import duckdb
@@ -74,7 +75,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark("local[8]", 8)
+    spark = get_spark(os.environ.get("COMPARE_MASTER", "local[8]"), 8)
     con = duck_connect(sf)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = []
