@@ -27,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
+    """One document of each component of the n-gram Jaccard join, at five words and a similarity of 0.8."""
     apply_session_conf(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, 5, 80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
