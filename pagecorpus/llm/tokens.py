@@ -201,6 +201,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def drop_encoders() -> None:
+    """Give back the encoders' tables.  Workers are reused: what one task after another of the encoding stage
+    shares would else stay through all later stages of a session."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        C.release()
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
@@ -271,6 +280,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         C.release()
 
     def blocks(batches):
+        drop_encoders()
         held: list = []
         size, shard, block = 0, None, 0
 
@@ -330,6 +340,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
         rank[r["id"]] = r["rank"]
 
     def code(batches):
+        drop_encoders()
         for pdf in batches:
             made = [encode_values(rank[_wide(x)]) for x in pdf["ids"]]
             yield pdf[["shard", "block", "doc_ids", "counts"]].assign(control=[m[0] for m in made], data=[m[1] for m in made])
@@ -347,6 +358,7 @@ def read(spark, out: str) -> DataFrame:
     files = spark.read.parquet(f"{out}/blocks")
 
     def decode(batches):
+        drop_encoders()
         for pdf in batches:
             out: list = []
             for s, b, doc_ids, counts, control, data in pdf[["shard", "block", "doc_ids", "counts", "control", "data"]].itertuples(index=False):

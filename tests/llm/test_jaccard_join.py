@@ -5,13 +5,13 @@ from pagecorpus.llm import common as C
 from pagecorpus.llm import jaccard_join as J
 
 
-def _plain(rows):
+def _plain(rows, width=4, share=85):
     """All pairs, sets of word tuples."""
     sets = {}
     for doc_id, text in rows:
         w = (text or "").encode().lower().split()
         if doc_id is not None:
-            sets.setdefault(doc_id, []).append(frozenset(tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset())
+            sets.setdefault(doc_id, []).append(frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
     flat = [(i, s) for i, group in sorted(sets.items()) for s in group]
     up = {i: i for i in sets}
 
@@ -21,7 +21,7 @@ def _plain(rows):
         return i
     for x, (i, s) in enumerate(flat):
         for j, t in flat[:x]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= share * len(s | t):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}, {i: [len(s) for s in g] for i, g in sets.items()}

@@ -13,7 +13,7 @@ from pagecorpus.llm import contamination, jaccard_join, language, mixing, tokens
 
 def test_registered():
     names = set(E.queries())
-    assert {f"op{i}_" for i in range(1, 11)} <= {n[:n.index("_") + 1] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{i}_" for i in range(1, 14)} <= {n[:n.index("_") + 1] for n in names if n.startswith("op")} and "pipeline" in names
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontaminate", "mix_sources", "token_files"]
 
 
@@ -37,7 +37,7 @@ def test_stages_by_plain_versions(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in b} == {r.doc_id for r in a} - bad
     a, b = seen[1]
     from test_jaccard_join import _plain
-    want, _ = _plain([(r.doc_id, r.text) for r in a])
+    want, _ = _plain([(r.doc_id, r.text) for r in a], 5, 80)
     assert sorted(r.doc_id for r in b) == sorted(set(want.values())) and len(b) < len(a)
     a, b = seen[2]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
