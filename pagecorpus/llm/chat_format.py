@@ -213,3 +213,49 @@ def probe(convs: DataFrame) -> DataFrame:
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return convs.select("conv_id", "turn", "role", "text").unionByName(said)
+
+
+def _sql_escape(c: str) -> str:
+    return rf"regexp_replace({c}, '(<\\*)(/?s>)|(\[\\*)(/?INST\])', '\1\3\\\2\4', 'g')"
+
+
+def _sql_tokens(c: str) -> str:
+    return rf"length(regexp_replace({c}, '([A-Za-z0-9])[A-Za-z0-9]*|[\x09-\x0D\x20]+', '\1', 'g'))"
+
+
+#: The query's rows in DuckDB SQL: windows by a recursion over the turns of each conversation.
+ORACLE_SQL = f"""WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, turn >> {PART_BITS} AS part, {_sql_tokens('role')} + {_sql_tokens('text')} + {TURN_TOKENS} AS tok,
+         length({_sql_escape('role')}) + length({_sql_escape('text')}) + 20 AS len,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM said),
+sys AS (SELECT conv_id, tok AS sys_tok, len AS sys_len FROM t WHERE i = 1 AND role = 'system'),
+walk AS (
+  SELECT t.conv_id, t.i, t.part, t.tok AS used, t.i AS first FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.conv_id, t.i, t.part,
+         CASE WHEN t.part <> walk.part OR walk.used + t.tok > {BUDGET - HISTORY_TOKENS} - coalesce(sys_tok, 0) THEN t.tok ELSE walk.used + t.tok END,
+         CASE WHEN t.part <> walk.part OR walk.used + t.tok > {BUDGET - HISTORY_TOKENS} - coalesce(sys_tok, 0) THEN t.i ELSE walk.first END
+  FROM walk JOIN t ON t.conv_id = walk.conv_id AND t.i = walk.i + 1 LEFT JOIN sys ON sys.conv_id = t.conv_id),
+win AS (
+  SELECT walk.conv_id, first AS a, sum(tok) AS new_tok, sum(len) AS new_len, any_value(sys_tok) AS sys_tok, any_value(sys_len) AS sys_len
+  FROM walk JOIN t USING (conv_id, i) LEFT JOIN sys ON sys.conv_id = walk.conv_id GROUP BY walk.conv_id, first),
+hist AS (
+  SELECT w.conv_id, w.a, coalesce(max(back_len), 0) AS back_len FROM win w LEFT JOIN (
+    SELECT f.conv_id, f.i AS a, j.i AS j, f.turn - j.turn AS back, j.role,
+           sum(j.tok) OVER run AS back_tok, sum(j.len) OVER run AS back_len
+    FROM t f JOIN t j ON j.conv_id = f.conv_id AND j.i BETWEEN f.i - {HISTORY} AND f.i - 1
+    WINDOW run AS (PARTITION BY f.conv_id, f.i ORDER BY j.i DESC)) h
+  ON h.conv_id = w.conv_id AND h.a = w.a AND h.j > CASE WHEN sys_tok IS NULL THEN 0 ELSE 1 END AND back <= {HISTORY}
+     AND back_tok <= least({HISTORY_TOKENS}, {BUDGET} - CASE WHEN w.a > 1 THEN coalesce(sys_tok, 0) ELSE 0 END - new_tok)
+  GROUP BY w.conv_id, w.a),
+size AS (
+  SELECT conv_id, sum(new_len + back_len + CASE WHEN a > 1 THEN coalesce(sys_len, 0) ELSE 0 END) AS formatted_chars, count(*) AS n_windows
+  FROM win JOIN hist USING (conv_id, a) GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, n_windows
+FROM (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+             coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+JOIN size USING (conv_id)"""

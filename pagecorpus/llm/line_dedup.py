@@ -9,8 +9,9 @@ with probability 1 - (1 - 0.8**6)**18 = 0.996, and one of similarity 0.1 with 0.
 verified by the exact Jaccard similarity of their character shingles (0.8 or more).
 
 Round 1 verifies each line against the smallest line of each of its bands and joins the links by
-distributed union-find.  Round 2 verifies the candidates of a band that still lie in different
-components, all of them, so a band never emits pairs that are connected already.
+distributed union-find.  Round 2 looks in the bands whose lines still lie in different components: tasks
+hold a band's lines, search them by their rarest shingles, and emit the links that join components,
+fewer than there are lines; no pairs of a band are made.
 
 Signatures and similarities are array work inside tasks: a form in DataFrame functions only took
 more than five times the budget (README).  Joins, bands and union-find are DataFrame work.  Text is
@@ -44,6 +45,8 @@ _FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 PIECE = 1 << 17
 #: Names of lines that a task remembers.
 KNOWN = 1 << 19
+#: Lines of a band that a task holds from each of two groups.
+MEMBERS = 2000
 BLANKS = " \t\r"
 
 
@@ -176,10 +179,60 @@ def line_components(docs: DataFrame) -> DataFrame:
     unsure = (placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
               .where("c0 <> c1 and n > 2").select("band"))
     left = materialize(placed.join(unsure, "band", "left_semi"), "line_unsure")
-    pairs = (left.join(left.select("band", F.col("k").alias("k2"), F.col("c").alias("c2")), "band")
-             .where("c < c2").select(F.greatest("k", "k2").alias("a"), F.least("k", "k2").alias("b")).distinct())
-    more = verified(pairs.join(star, ["a", "b"], "left_anti"), texts)
-    return C.components(links.unionByName(more))
+    return C.components(links.unionByName(spanning_links(left, texts)))
+
+
+def spanning_links(left: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """Links (a, b) between the components of ``left`` (band, k, c): of each band as many as join its components,
+    never its pairs.  A band of more than ``members`` lines is worked on in pairs of groups."""
+    groups = left.groupBy("band").agg(F.ceil(F.count("*") / members).cast("int").alias("groups"))
+    rows = left.join(groups, "band").withColumn("own", F.pmod(F.xxhash64("k"), "groups").cast("int"))
+    rows = rows.select("band", "k", "c", "own", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    rows = rows.select("band", F.least("own", "g").alias("g0"), F.greatest("own", "g").alias("g1"), "own", "k", "c")
+
+    def run(batches):
+        last, held = None, []
+        for pdf in batches:
+            found = []
+            for band, g0, g1, *row in zip(*(pdf[x] for x in ("band", "g0", "g1", "own", "k", "c", "line")), strict=True):
+                if (band, g0, g1) != last:
+                    found += spanning(held)
+                    last, held = (band, g0, g1), []
+                held.append(row)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(spanning(held), columns=["a", "b"], dtype="int64")
+
+    placed = rows.join(texts, "k").repartition("band", "g0", "g1").sortWithinPartitions("band", "g0", "g1", "k")
+    return placed.select("band", "g0", "g1", "own", "k", "c", "line").mapInPandas(run, "a long, b long")
+
+
+def spanning(rows: list) -> list[tuple[int, int]]:
+    """Verified pairs that join the components of lines (group, k, c, line), at most one for each joining.
+    Candidates share one of the rarest shingles of each: of two sets with a similarity of ``SHARE``, the
+    rarest that exceed what may differ have one in common."""
+    if len({r[2] for r in rows}) < 2:
+        return []
+    place: dict[int, int] = {}
+    comp = [place.setdefault(r[2], len(place)) for r in rows]
+    sets = [shingles(r[3]) for r in rows]
+    often: dict[str, int] = {}
+    for s in sets:
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    cross = len({r[0] for r in rows}) > 1
+    up, index, found = C.Sets(len(place)), {}, []
+    for i, s in enumerate(sets):
+        met = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[:len(s) - -(-len(s) * SHARE // PART) + 1]:
+            at = index.setdefault(x, [])
+            for j in at:
+                if j not in met and not (cross and rows[i][0] == rows[j][0]):
+                    met.add(j)
+                    if up.find(comp[i]) != up.find(comp[j]) and similar(s, sets[j]):
+                        up.join(comp[i], comp[j])
+                        found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
+            at.append(i)
+    return found
 
 
 def fuzzy_lines(docs: DataFrame) -> DataFrame:

@@ -83,8 +83,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these operators is cheap enough, or possible, in SQL over whole tables; each is tested against
-    a brute-force version (tests/llm)."""
+    """SQL where it can express an operator over whole tables; the others are tested against a brute-force
+    version (tests/llm)."""
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op12_chat_format": chat_format.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}

@@ -106,3 +106,28 @@ def test_recall_at_the_threshold_by_line_length(union):
     keys = D.signatures(lines)
     found = (keys[0::2] == keys[1::2]).any(axis=1).mean()
     assert found > 0.99, found  # 0.996 by the formula
+
+
+def test_round_two_joins_what_all_pairs_join(spark):
+    """Templated lines below and above the threshold: the links join what all pairs join, and are few."""
+    rng = np.random.default_rng(4)
+    base = "order {} was shipped on day {} to the customer with number {} in the usual way"
+    lines = [base.format(*rng.integers(0, 10 ** int(rng.integers(1, 9)), 3)) for _ in range(300)]
+    rows = [(0, i, i % 250, x) for i, x in enumerate(lines)]  # some lie in one component already
+
+    def joined(pairs):
+        up = D.C.Sets(250)
+        for a, b in pairs:
+            up.join(a % 250, b % 250)
+        return [up.find(i) for i in range(250)]
+    sets = [D.shingles(x) for x in lines]
+    every = [(i, j) for i in range(300) for j in range(i) if D.similar(sets[i], sets[j])]
+    found = D.spanning(rows)
+    assert joined(found) == joined(every) and len(found) < 250 and set(found) <= set(every)
+    assert len(set(joined(every))) > 20
+    left = spark.createDataFrame([(7, k, c) for _, k, c, _ in rows], "band long, k long, c long")
+    texts = spark.createDataFrame([(k, x) for _, k, _, x in rows], "k long, line string")
+    for members in (1000, 40):
+        got = [tuple(r) for r in D.spanning_links(left, texts, members).collect()]
+        assert joined(got) == joined(every) and set(got) <= set(every)
+    assert D.spanning([]) == [] and D.spanning(rows[:1]) == []
