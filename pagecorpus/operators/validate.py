@@ -30,11 +30,12 @@ def truncate(df: DataFrame, html: str, max_chars: int) -> DataFrame:
             .withColumn("content_length", F.length(html).cast("long")))
 
 
-def response_v1(df: DataFrame, from_cache: Column, stale: Column, expose_profile: Column) -> DataFrame:
-    """O-V6 / O-V8: the v1 record -- snapshot columns, flags and a metadata struct, with the
-    caller's profile name attached only when profiles are exposed."""
-    meta = F.struct(F.col("mode").alias("mode"), F.lit(0).alias("elapsed_ms"),
+def response_v1(df: DataFrame, from_cache: Column, stale: Column, expose_profile: Column, *more: str) -> DataFrame:
+    """O-V6 / O-V8: the v1 record -- snapshot columns, flags and a metadata struct with the request's elapsed
+    time, with the caller's profile name attached only when profiles are exposed.  ``more`` names further
+    columns for the metadata."""
+    meta = F.struct(F.col("mode").alias("mode"), F.col("elapsed_ms").alias("elapsed_ms"),
                     F.col("content_length").alias("content_length"), F.col("cache_key").alias("cache_key"),
-                    F.when(expose_profile, F.col("profile")).alias("profile_name"))
+                    F.when(expose_profile, F.col("profile")).alias("profile_name"), *more)
     return df.select("request_id", "url", "final_url", "status_code", from_cache.alias("from_cache"),
                      stale.alias("stale"), "fetched_at", "expires_at", meta.alias("metadata"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagecorpus.operators import policy as pol
 from pagecorpus.plans import sqlbits as S
-from pagecorpus.plans.registry import register
+from pagecorpus.plans.registry import ORACLES, register
 from pagecorpus.sources import derived as D
 
 NOW = S.NOW_SQL
@@ -131,3 +131,24 @@ def q_batch_summary(spark, sf_dir):
     d = D.fetch_log(spark, sf_dir).withColumn("batch_id", (F.col("request_id") / BATCH_SIZE).cast("long"))
     d = d.withColumn("max_concurrency", F.col("batch_id") % 13)
     return pol.batch_summary(pol.batch_items(d))
+
+
+#: Requests as long as these many times their latency, so that some are open at "now".
+STRETCH = 20_000
+BUSY_LOGP_SQL = LOGP_SQL.replace("logp AS (", "logp0 AS (", 1) + f", logp AS (SELECT * REPLACE (elapsed_ms * {STRETCH} AS elapsed_ms) FROM logp0)"
+
+
+@register("can_proceed_busy", ORACLES["can_proceed"].replace(LOGP_SQL, BUSY_LOGP_SQL))
+def q_can_proceed_busy(spark, sf_dir):
+    """O-D7: as ``can_proceed`` over long requests, so that open requests and the concurrency limit count."""
+    log = _logp(spark, sf_dir).withColumn("elapsed_ms", F.col("elapsed_ms") * STRETCH)
+    return pol.can_proceed(log, D.now_col()).select("domain", "open_requests", "last_finish_us", "can_proceed")
+
+
+@register("batch_bounds", S.with_views(["fetch_log"], """
+SELECT CAST(epoch(requested_at) AS BIGINT) // 14400 AS batch_id, count(*) AS total, count(*) BETWEEN 1 AND 50 AS size_ok
+FROM fetch_log GROUP BY 1"""))
+def q_batch_bounds(spark, sf_dir):
+    """O-V3: batches of four hours, whose sizes fall on both sides of the bound."""
+    d = D.fetch_log(spark, sf_dir).withColumn("batch_id", F.floor(F.unix_seconds(F.col("requested_at").cast("timestamp")) / 14400))
+    return pol.batch_summary(pol.batch_items(d.withColumn("max_concurrency", F.lit(1)))).select("batch_id", "total", "size_ok")

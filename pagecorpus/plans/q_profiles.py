@@ -252,3 +252,27 @@ def q_settings_flatten(spark, sf_dir):
     nested = F.create_map(*[x for s in sections for x in (
         F.lit(s), F.create_map(*[y for s2, k, v in file_rows if s2 == s for y in (F.lit(k), F.lit(v))]))])
     return P.flatten(f.select("profile", nested.alias("settings"))).select("profile", "section", "key", "name", "value")
+
+
+@register("profile_duplicates", f"""WITH {CUSTOMER_PROFILES_SQL},
+named AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN section || '-' || key_var ELSE name END AS profile FROM cp)
+SELECT 'name' AS kind, profile AS value, count(*) AS n FROM named GROUP BY profile HAVING count(*) > 1
+UNION ALL SELECT 'key', key, count(*) FROM named GROUP BY key HAVING count(*) > 1""")
+def q_profile_duplicates(spark, sf_dir):
+    """O-P5: profile names and keys that occur more than once (every third profile is named by its section
+    and key variable)."""
+    cp = _customer_profiles(spark, sf_dir).withColumn("profile", F.when(
+        F.col("c_custkey") % 3 == 0, F.concat("section", F.lit("-"), "key_var")).otherwise(F.col("name")))
+    pairs = cp.select(F.inline(F.array(F.struct(F.lit("name").alias("kind"), F.col("profile").alias("value")),
+                                       F.struct(F.lit("key").alias("kind"), F.col("key").alias("value")))))
+    return pairs.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@register("snapshot_domains", f"""
+SELECT profile, string_agg('domains.' || domain || '.' || key || '=' || value, ';' ORDER BY 'domains.' || domain || '.' || key || '=' || value) AS snapshot
+FROM ({DOMAIN_SQL}) GROUP BY profile""")
+def q_snapshot_domains(spark, sf_dir):
+    """O-P8: the ``domains`` section of each caller's job snapshot: its merged per-domain overrides."""
+    entry = F.concat(F.lit("domains."), F.col("domain"), F.lit("."), F.col("key"), F.lit("="), F.col("value"))
+    return q_domain_settings(spark, sf_dir).groupBy("profile").agg(
+        F.array_join(F.array_sort(F.collect_list(entry)), ";").alias("snapshot"))

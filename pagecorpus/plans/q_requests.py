@@ -1,6 +1,6 @@
 """Registered request / response queries: validation (O-V1, O-V2, O-V5, O-V6, O-V8) and
 the request / response / dump sources and sinks (O-S3, O-S5, O-S6, O-S8), compaction
-(O-C18) and multi-slot pacing (O-D4)."""
+(O-C18)."""
 
 from __future__ import annotations
 
@@ -22,9 +22,7 @@ EXPOSED_PROFILES = ["client_0", "client_1"]
 
 
 def _request_rows(spark, sf_dir):
-    r = _requests(spark, sf_dir)
-    f = D.fetch_log(spark, sf_dir).select("request_id", "mode", "elapsed_ms")
-    return r.join(f, "request_id").select(
+    return _requests(spark, sf_dir).select(
         "request_id", "url", "mode", F.col("request_ttl").alias("cache_ttl_seconds"),
         (F.lit(5) + F.col("elapsed_ms") % 200).cast("int").alias("timeout_seconds"))
 
@@ -75,11 +73,10 @@ WHERE NOT f.failed""", REQ_SQL)
 
 def _responses(spark, sf_dir):
     from pagecorpus.operators import store as st
-    r = _requests(spark, sf_dir).filter(~F.col("failed")).select("request_id", "cache_key", "force_refresh")
+    r = _requests(spark, sf_dir).filter(~F.col("failed")).select("request_id", "cache_key", "force_refresh", "profile", "elapsed_ms")
     snaps = D.snapshots(spark, sf_dir)
     look = st.lookup(r, snaps, D.now_col())
-    prof = D.fetch_log(spark, sf_dir).select("request_id", "profile")
-    j = look.join(snaps.drop("seq"), "cache_key").join(prof, "request_id")
+    j = look.join(snaps.drop("seq"), "cache_key")
     return V.response_v1(j, F.col("outcome") == "hit", F.lit(False),
                          F.col("profile").isin(EXPOSED_PROFILES))
 
@@ -109,6 +106,61 @@ SELECT page_id, left(replace(replace(replace(url, '://', '_'), '/', '_'), '?', '
        regexp_extract(url, '^https?://(?:www\\.)?([^/:?#]+)', 1) AS domain FROM pages"""
 
 
+def _all_responses(spark, sf_dir):
+    """The answer to every request that has one: from the store, fetched, or stale after a failed fetch."""
+    from pagecorpus.operators import store as st
+    from pagecorpus.plans.q_store import GLOBAL_TTL
+    from pagecorpus.sources.tables import read_table
+    r = _requests(spark, sf_dir).withColumn("pdomain", F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1))
+    pol = D.policies(spark, sf_dir).select(F.col("domain").alias("pdomain"), "default_ttl_seconds")
+    r = r.withColumnRenamed("url", "asked_url").withColumnRenamed("status_code", "got_status").withColumnRenamed("mode", "got_mode")
+    snaps = D.snapshots(spark, sf_dir).drop("seq")
+    r = st.stale_if_error(st.lookup(r, snaps, D.now_col())).where("result <> 'error'").join(pol, "pdomain", "left")
+    # digests, so that contents do not travel once for each request
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("content_sha256"), F.length("html").cast("long").alias("page_length"))
+    j = r.join(pages, "page_id").join(snaps, "cache_key", "left")
+    fresh = F.col("result") == "fetched"
+    pick = lambda new, old: F.when(fresh, new).otherwise(F.col(old)).alias(old)
+    ttl = st.resolve_ttl(F.col("request_ttl"), F.col("default_ttl_seconds"), F.lit(GLOBAL_TTL)).cast("int")
+    rows = j.select("request_id", "profile", "elapsed_ms", "cache_key", "content_sha256", ~fresh, F.col("result") == "stale",
+                    pick(F.col("asked_url"), "url"), pick(F.col("asked_url"), "final_url"), pick(F.col("got_status"), "status_code"),
+                    pick(F.col("requested_at"), "fetched_at"), pick(st.expires_at(F.col("requested_at"), ttl), "expires_at"),
+                    pick(F.col("got_mode"), "mode"), pick(F.col("page_length"), "content_length"))
+    rows = rows.toDF("request_id", "profile", "elapsed_ms", "cache_key", "content_sha256", "from_cache", "stale", *rows.columns[7:])
+    return V.response_v1(rows, F.col("from_cache"), F.col("stale"), F.col("profile").isin(EXPOSED_PROFILES), "content_sha256")
+
+
+FULL_SQL = S.with_views(["snapshots", "page_keys", "fetch_log", "policies"], f"""
+SELECT request_id, result <> 'fetched' AS from_cache, result = 'stale' AS stale, elapsed_ms, cache_key, sha256(html) AS content_sha256,
+       CASE WHEN result = 'fetched' THEN url ELSE s_url END AS url, CASE WHEN result = 'fetched' THEN got_status ELSE s_status END AS status_code,
+       CASE WHEN result = 'fetched' THEN requested_at ELSE s_fetched END AS fetched_at,
+       CASE WHEN result <> 'fetched' THEN s_expires WHEN ttl > 0 THEN requested_at + to_seconds(ttl) END AS expires_at,
+       CASE WHEN result = 'fetched' THEN got_mode ELSE s_mode END AS mode,
+       CASE WHEN result = 'fetched' THEN length(html) ELSE s_length END AS content_length,
+       CASE WHEN profile IN ({', '.join(repr(p) for p in EXPOSED_PROFILES)}) THEN profile END AS profile_name
+FROM (SELECT *, CASE WHEN outcome = 'hit' THEN 'cached' WHEN NOT failed THEN 'fetched' WHEN outcome = 'expired' THEN 'stale' ELSE 'error' END AS result
+      FROM (SELECT r.request_id, r.requested_at, r.url, r.cache_key, r.failed, r.status_code AS got_status, f.mode AS got_mode, f.elapsed_ms, f.profile, p.html,
+                   s.url AS s_url, s.status_code AS s_status, s.fetched_at AS s_fetched, s.expires_at AS s_expires, s.mode AS s_mode, s.content_length AS s_length,
+                   coalesce(CASE WHEN r.request_ttl <> 0 THEN r.request_ttl END, CASE WHEN po.default_ttl_seconds <> 0 THEN po.default_ttl_seconds END, 86400) AS ttl,
+                   CASE WHEN r.force_refresh THEN 'bypass' WHEN s.cache_key IS NULL THEN 'miss'
+                        WHEN s.expires_at IS NOT NULL AND {S.NOW_SQL} > s.expires_at THEN 'expired' ELSE 'hit' END AS outcome
+            FROM requests r JOIN fetch_log f USING (request_id) JOIN pages p ON p.page_id = r.page_id LEFT JOIN snapshots s USING (cache_key)
+            LEFT JOIN policies po ON po.domain = regexp_extract(r.url, '^https?://(?:www\\.)?([^/:?#]+)', 1)))
+WHERE result <> 'error'""", REQ_SQL)
+
+
+@register("response_full", FULL_SQL)
+def q_response_full(spark, sf_dir):
+    """O-V6 / O-V8 / O-S6: whole response records -- fresh, cached and stale ones with real elapsed times and
+    content digests -- written as JSON lines and read back with the full nested schema."""
+    out = scratch(spark, "responses_full")
+    rows = _all_responses(spark, sf_dir)
+    sinks.write_responses(rows, out)
+    back = spark.read.schema(rows.schema).options(**sinks.JSON_TIMES).json(out)
+    return back.select("request_id", "url", "status_code", "from_cache", "stale", "fetched_at", "expires_at",
+                       *(F.col(f"metadata.{c}").alias(c) for c in ("mode", "elapsed_ms", "content_length", "cache_key", "profile_name", "content_sha256")))
+
+
 @register("html_dump_names", DUMP_SQL)
 def q_html_dump_names(spark, sf_dir):
     """O-S5: the dump sink's file name per page (``://``, ``/``, ``?`` -> ``_``, 100 chars)."""

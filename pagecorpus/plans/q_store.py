@@ -24,7 +24,7 @@ def _requests(spark, sf_dir):
     k = D.page_keys(spark, sf_dir).select("page_id", "cache_key", "domain", "url")
     rid = F.col("request_id")
     return f.join(k, "page_id").select(
-        "request_id", "requested_at", "page_id", "url", "cache_key", "domain", "failed", "status_code",
+        "request_id", "requested_at", "page_id", "url", "cache_key", "domain", "failed", "status_code", "profile", "mode", "elapsed_ms",
         (rid % 7 == 0).alias("force_refresh"),
         F.when(rid % 3 == 0, F.lit(0)).when(rid % 3 == 1, F.lit(None).cast("int"))
         .otherwise((60 * (rid % 50 + 1)).cast("int")).alias("request_ttl"))
@@ -288,3 +288,18 @@ def q_store_cleanup_params(spark, sf_dir):
                                  "max_size_bytes": MAX_SIZE})
     return out.select("profile", "effective_delete_expired_after_seconds", "effective_max_entries",
                       "effective_max_size_bytes")
+
+
+@register("store_lookup_mixed", _with(["snapshots", "page_keys", "fetch_log"], f"""
+SELECT q.request_id, q.cache_key,
+  CASE WHEN q.force_refresh THEN 'bypass' WHEN s.cache_key IS NULL THEN 'miss'
+       WHEN s.expires_at IS NOT NULL AND {NOW} > s.expires_at THEN 'expired' ELSE 'hit' END AS outcome
+FROM (SELECT request_id, force_refresh, CASE WHEN request_id % 5 = 0 THEN sha256(cache_key) ELSE cache_key END AS cache_key FROM requests) q
+LEFT JOIN snapshots s USING (cache_key)""", REQ_SQL))
+def q_store_lookup_mixed(spark, sf_dir):
+    """O-C1 / O-S2: lookups of which every fifth asks for a key that the store lacks; the rows come from
+    the written table, bucket by bucket."""
+    r = _requests(spark, sf_dir).select("request_id", "force_refresh", F.when(
+        F.col("request_id") % 5 == 0, F.sha2("cache_key", 256)).otherwise(F.col("cache_key")).alias("cache_key"))
+    found = D.store_table(spark, sf_dir).lookup(r.select("cache_key"))
+    return st.lookup(r, found, D.now_col()).select("request_id", "cache_key", "outcome")

@@ -119,10 +119,10 @@ def store_table(spark: SparkSession, sf_dir: str):
     import os
     import uuid
 
-    from pagecorpus.session import checkpoint_dir
+    from pagecorpus.session import checkpoint_dir, fs_exists
     from pagecorpus.sources.store_table import StoreTable
     key = (spark.sparkContext.applicationId, _inputs(spark, sf_dir), "store_table")
-    if key not in _TABLES:
+    if key not in _TABLES or not fs_exists(spark, _TABLES[key]):
         root = os.path.join(checkpoint_dir(spark), "derived", "store_table", uuid.uuid4().hex)
         StoreTable(spark, root).upsert(snapshots(spark, sf_dir), 1)
         _TABLES[key] = root

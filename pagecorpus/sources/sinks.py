@@ -28,9 +28,14 @@ def write_html_dump(pages: DataFrame, path: str) -> None:
     out.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(path)
 
 
+#: Times in JSON lines keep their microseconds (the writer's own format stops at milliseconds).
+JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_responses(records: DataFrame, path: str) -> None:
     """O-S6: JSON lines, one record per response, partitioned by mode."""
-    records.withColumn("_mode", F.col("metadata.mode")).write.mode("overwrite").partitionBy("_mode").json(path)
+    records.withColumn("_mode", F.col("metadata.mode")).write.mode("overwrite").partitionBy("_mode") \
+        .options(**JSON_TIMES).json(path)
 
 
 def write_batch_requests(log: DataFrame, path: str, batch_size: int) -> None:
