@@ -42,24 +42,46 @@ def _crossing(sums: list, limit: int, before: int) -> tuple:
     return None, before
 
 
-def cut_off(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None):
-    """``(us, tie)`` of the newest row that no longer fits ``limit``; None if all rows fit."""
+def cut_offs(df: DataFrame, ts: str, tie: str, limits: list[tuple]) -> list[tuple | None]:
+    """For each ``(limit, weight)`` the ``(us, tie)`` of the newest row that no longer fits; None if all rows
+    fit.  All limits share the pass that sums the hours."""
     spark = df.sparkSession
-    most = limit if not isinstance(limit, Column) else spark.range(1).select(limit).first()[0]
-    w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
-    rows = df.select(_micros(ts).alias("us"), F.col(tie).alias("tie"), w.alias("w")).filter("us is not null")
+    weights = [F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long") for _, weight in limits]
+    rows = df.select(_micros(ts).alias("us"), F.col(tie).alias("tie"), *(w.alias(f"w{i}") for i, w in enumerate(weights))).filter("us is not null")
     hour = F.floor(F.col("us") / 3_600_000_000)
-    hours = rows.groupBy(hour.alias("h")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
-    at, before = _crossing(sorted(hours, key=lambda r: -r["h"]), most, 0)
-    if at is None:
-        return None
-    parts = rows.filter(hour == at["h"]).repartitionByRange(max(1, math.ceil(at["n"] / PART_ROWS)), F.desc("us"), F.desc("tie"))
-    parts = materialize(parts.withColumn("part", F.spark_partition_id()), "boundary_hour")
-    sums = parts.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect()
-    part, before = _crossing(sums, most, before)
-    newest_first = Window.partitionBy("part").orderBy(F.desc("us"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = parts.filter(F.col("part") == part["part"]).withColumn("run", F.lit(before) + F.sum("w").over(newest_first))
-    return tuple(ranked.filter(F.col("run") > most).orderBy("run", F.desc("us"), F.desc("tie")).select("us", "tie").first())
+    hours = rows.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(limits)))).collect()
+    hours.sort(key=lambda r: -r["h"])
+    out: list[tuple | None] = []
+    for i, (limit, _) in enumerate(limits):
+        most = limit if not isinstance(limit, Column) else spark.range(1).select(limit).first()[0]
+        at, before = _crossing([{"h": r["h"], "n": r["n"], "w": r[f"w{i}"]} for r in hours], most, 0)
+        if at is None:
+            out.append(None)
+            continue
+        part = rows.filter(hour == at["h"]).select("us", "tie", F.col(f"w{i}").alias("w"), F.lit(0).alias("part"))
+        if at["n"] > PART_ROWS:  # split like any other: only the part that holds the row is ranked
+            parts = part.repartitionByRange(math.ceil(at["n"] / PART_ROWS), F.desc("us"), F.desc("tie"))
+            parts = materialize(parts.withColumn("part", F.spark_partition_id()), "boundary_hour")
+            found, before = _crossing(parts.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect(), most, before)
+            part = parts.filter(F.col("part") == found["part"])
+        newest_first = Window.partitionBy("part").orderBy(F.desc("us"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = part.withColumn("run", F.lit(before) + F.sum("w").over(newest_first))
+        out.append(tuple(ranked.filter(F.col("run") > most).orderBy("run", F.desc("us"), F.desc("tie")).select("us", "tie").first()))
+    return out
+
+
+def cut_off(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None):
+    """``(us, tie)`` of the newest row that no longer fits ``limit``; None if all rows fit."""
+    return cut_offs(df, ts, tie, [(limit, weight)])[0]
+
+
+def newer_than(ts: str, tie: str, stop: tuple | None) -> Column:
+    """Whether a row is newer than the cut-off, and so kept; all are without one."""
+    if stop is None:
+        return F.lit(True)
+    us, last = stop
+    newer = F.col(tie).isNotNull() if last is None else F.col(tie) > F.lit(last)
+    return F.coalesce((_micros(ts) > us) | ((_micros(ts) == us) & newer), F.lit(False))
 
 
 def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = None,
@@ -70,9 +92,4 @@ def keep_newest(df: DataFrame, ts: str, tie: str, limit, weight: str | None = No
     the timestamp break on ``tie`` (the larger is newer, nulls are oldest); rows equal in both stand or
     fall together.  Rows without a timestamp are never kept unless all rows fit.  ``df`` is read three
     times, so give a table or a cheap view of one."""
-    stop = cut_off(df, ts, tie, limit, weight)
-    if stop is None:
-        return df.withColumn(out, F.lit(True))
-    us, last = stop
-    newer = F.col(tie).isNotNull() if last is None else F.col(tie) > F.lit(last)
-    return df.withColumn(out, F.coalesce((_micros(ts) > us) | ((_micros(ts) == us) & newer), F.lit(False)))
+    return df.withColumn(out, newer_than(ts, tie, cut_off(df, ts, tie, limit, weight)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.operators.retention import keep_newest
+from pagecorpus.operators.retention import cut_offs, keep_newest, newer_than
 from pagecorpus.sources.derived import seconds
 
 
@@ -99,15 +99,12 @@ def cleanup(store: DataFrame, now: Column, grace_seconds: int, max_entries: int,
     """O-C15: phases in order -- expired beyond grace, then keep newest ``max_entries``, then
     keep newest within ``max_size`` -- each row tagged with the first phase that deletes it.
     Returns the store with a ``phase`` column (null = kept)."""
-    s = store.withColumn("_p1", expired_beyond_grace(store, now, grace_seconds))
-    survivors = s.filter(~F.col("_p1"))
-    by_count = keep_newest(survivors, "fetched_at", "cache_key", max_entries, out="_k2")
-    after2 = by_count.filter(F.col("_k2"))
-    by_size = keep_newest(after2, "fetched_at", "cache_key", max_size, weight="content_length", out="_k3")
-    tagged = (s.filter(F.col("_p1")).withColumn("phase", F.lit("expired"))
-              .unionByName(by_count.filter(~F.col("_k2")).withColumn("phase", F.lit("max_entries")), allowMissingColumns=True)
-              .unionByName(by_size.withColumn("phase", F.when(~F.col("_k3"), F.lit("max_size"))), allowMissingColumns=True))
-    return tagged.drop("_p1", "_k2", "_k3")
+    expired = F.coalesce(expired_beyond_grace(store, now, grace_seconds), F.lit(False))
+    # both limits keep a newest-first prefix of the same order, so their cut-offs come from one pass
+    entries, size = cut_offs(store.filter(~expired), "fetched_at", "cache_key", [(max_entries, None), (max_size, "content_length")])
+    return store.withColumn("phase", F.when(expired, F.lit("expired"))
+                            .when(~newer_than("fetched_at", "cache_key", entries), F.lit("max_entries"))
+                            .when(~newer_than("fetched_at", "cache_key", size), F.lit("max_size")))
 
 
 def cleanup_report(tagged: DataFrame) -> DataFrame:
