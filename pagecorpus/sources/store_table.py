@@ -31,10 +31,6 @@ BUCKETS = 16
 ORDER = ("fetched_at", "seq")
 
 
-def _folder(bucket, date) -> str:
-    return f"bucket={bucket}/fetch_date={date}"
-
-
 class StoreTable:
     """The table at one version; writes return the table at the version they commit."""
 
@@ -109,23 +105,29 @@ class StoreTable:
         version = self._next() if version is None else version
         if self.committed(version):
             return StoreTable(self.spark, self.root, version)
+        # the passes that write also tell which partitions they meet: as many values as there are of them
+        seen, won = Observation(), Observation()
         new = materialize(upsert_latest(rows.select(*COLUMNS)).select(
-            *COLUMNS, self._bucket(), F.coalesce(F.to_date("fetched_at").cast("string"), F.lit("none")).alias("fetch_date")), "store_new")
-        buckets = {r[0] for r in new.select("bucket").distinct().collect()}
-        old = self._placed(self._in_buckets(buckets)).select(
+            *COLUMNS, self._bucket(), F.coalesce(F.to_date("fetched_at").cast("string"), F.lit("none")).alias("fetch_date"))
+            .observe(seen, F.collect_set("bucket").alias("buckets")), "store_new")
+        old = self._placed(self._in_buckets(set(seen.get["buckets"]))).select(
             "cache_key", "bucket", F.struct(*ORDER).alias("_old"), F.col("fetch_date").alias("_old_date"))
+        folder = lambda day: F.concat(F.lit("bucket="), F.col("bucket").cast("string"), F.lit("/fetch_date="), F.col(day))
         wins = materialize(new.join(old, ["cache_key", "bucket"], "left")
-                           .where(F.col("_old").isNull() | (F.struct(*ORDER) > F.col("_old"))).drop("_old"), "store_wins")
-        dates = wins.select("bucket", F.explode(F.array("fetch_date", "_old_date")).alias("d")).where("d is not null").distinct().collect()
-        touched = {_folder(r[0], r[1]) for r in dates}
+                           .where(F.col("_old").isNull() | (F.struct(*ORDER) > F.col("_old"))).drop("_old")
+                           .observe(won, F.count(F.lit(1)).alias("put"), F.collect_set(folder("fetch_date")).alias("now"),
+                                    F.collect_set(folder("_old_date")).alias("before")), "store_wins")
+        touched = set(won.get["now"]) | set(won.get["before"])
         rest = self._placed([f for f in touched if f in self.parts]).join(wins.select("cache_key"), "cache_key", "left_anti")
-        return self._rewrite(version, touched, rest.unionByName(wins.drop("_old_date")), {"put": wins.count()})
+        return self._rewrite(version, touched, rest.unionByName(wins.drop("_old_date")), {"put": won.get["put"]})
 
     def _without(self, victims: DataFrame) -> StoreTable:
         """The table without the given rows (cache_key, bucket, fetch_date); one pass counts and lists them."""
         seen = Observation()
-        gone = materialize(victims.select("cache_key", "bucket", "fetch_date").observe(seen, F.count(F.lit(1)).alias("n")), "store_gone")
-        touched = {_folder(r[0], r[1]) for r in gone.select("bucket", "fetch_date").distinct().collect()}
+        folder = F.concat(F.lit("bucket="), F.col("bucket").cast("string"), F.lit("/fetch_date="), "fetch_date")
+        gone = materialize(victims.select("cache_key", "bucket", "fetch_date").observe(
+            seen, F.count(F.lit(1)).alias("n"), F.collect_set(folder).alias("folders")), "store_gone")
+        touched = set(seen.get["folders"])
         rest = self._placed(touched).join(gone.select("cache_key"), "cache_key", "left_anti")
         return self._rewrite(self._next(), touched, rest, {"deleted": seen.get["n"]})
 
