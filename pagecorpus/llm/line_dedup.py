@@ -47,6 +47,8 @@ PIECE = 1 << 17
 KNOWN = 1 << 19
 #: Lines of a band that a task holds from each of two groups.
 MEMBERS = 2000
+#: Lines of a band that are compared without an index.
+FEW = 16
 BLANKS = " \t\r"
 
 
@@ -215,12 +217,24 @@ def spanning(rows: list) -> list[tuple[int, int]]:
     place: dict[int, int] = {}
     comp = [place.setdefault(r[2], len(place)) for r in rows]
     sets = [shingles(r[3]) for r in rows]
+    up, found = C.Sets(len(place)), []
+
+    def meet(i: int, j: int) -> None:
+        if up.find(comp[i]) != up.find(comp[j]) and similar(sets[i], sets[j]):
+            up.join(comp[i], comp[j])
+            found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
+
+    if len(rows) <= FEW:  # so few are compared faster than they are indexed
+        for i in range(len(rows)):
+            for j in range(i):
+                meet(i, j)
+        return found
     often: dict[str, int] = {}
     for s in sets:
         for x in s:
             often[x] = often.get(x, 0) + 1
     cross = len({r[0] for r in rows}) > 1
-    up, index, found = C.Sets(len(place)), {}, []
+    index: dict[str, list[int]] = {}
     for i, s in enumerate(sets):
         met = set()
         for x in sorted(s, key=lambda x: (often[x], x))[:len(s) - -(-len(s) * SHARE // PART) + 1]:
@@ -228,9 +242,7 @@ def spanning(rows: list) -> list[tuple[int, int]]:
             for j in at:
                 if j not in met and not (cross and rows[i][0] == rows[j][0]):
                     met.add(j)
-                    if up.find(comp[i]) != up.find(comp[j]) and similar(s, sets[j]):
-                        up.join(comp[i], comp[j])
-                        found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
+                    meet(i, j)
             at.append(i)
     return found
 

@@ -125,6 +125,10 @@ def test_round_two_joins_what_all_pairs_join(spark):
     found = D.spanning(rows)
     assert joined(found) == joined(every) and len(found) < 250 and set(found) <= set(every)
     assert len(set(joined(every))) > 20
+    for few in (2, 9, 16, 17):
+        some = rows[-few:] + rows[:2]
+        near = [(i, j) for i, j in every if {i, j} <= {r[1] for r in some}]
+        assert joined(D.spanning(some)) == joined(near)
     left = spark.createDataFrame([(7, k, c) for _, k, c, _ in rows], "band long, k long, c long")
     texts = spark.createDataFrame([(k, x) for _, k, _, x in rows], "k long, line string")
     for members in (1000, 40):
