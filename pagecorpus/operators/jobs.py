@@ -37,20 +37,32 @@ def _step(acc: Column, e: Column) -> Column:
     )
 
 
+def event_rank(event: Column) -> Column:
+    """Order of events of one instant: a same-instant start follows creation."""
+    return F.when(event == "created", 0).when(event == "started", 1).when(event == "cancelled", 2).otherwise(3)
+
+
+def new_job(ts_type: str = "timestamp_ntz") -> Column:
+    """A job of which no event is known."""
+    return F.struct(F.lit(None).cast("string").alias("status"),
+                    F.lit(None).cast(ts_type).alias("created_at"),
+                    F.lit(None).cast(ts_type).alias("started_at"),
+                    F.lit(None).cast(ts_type).alias("finished_at"),
+                    F.lit(None).cast(ts_type).alias("updated_at"),
+                    F.lit(0).alias("ignored"))
+
+
+def fold(job: Column, events: Column) -> Column:
+    """The job after its ``(ts, rank, event)`` structs, in their order."""
+    return F.aggregate(F.array_sort(events), job, _step)
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """O-J1: ``(job_id, ts, event)`` -> current state per job, illegal transitions ignored
     (and counted), ties ordered by event rank so a same-instant start follows creation."""
-    rank = (F.when(F.col("event") == "created", 0).when(F.col("event") == "started", 1)
-            .when(F.col("event") == "cancelled", 2).otherwise(3))
-    evs = events.select("job_id", F.struct(F.col("ts"), rank.alias("rank"), F.col("event")).alias("e"))
-    grouped = evs.groupBy("job_id").agg(F.array_sort(F.collect_list("e")).alias("evs"))
-    zero = F.struct(F.lit(None).cast("string").alias("status"),
-                    F.lit(None).cast("timestamp_ntz").alias("created_at"),
-                    F.lit(None).cast("timestamp_ntz").alias("started_at"),
-                    F.lit(None).cast("timestamp_ntz").alias("finished_at"),
-                    F.lit(None).cast("timestamp_ntz").alias("updated_at"),
-                    F.lit(0).alias("ignored"))
-    return grouped.select("job_id", F.aggregate("evs", zero, _step).alias("s")).select("job_id", "s.*")
+    evs = events.select("job_id", F.struct(F.col("ts"), event_rank(F.col("event")).alias("rank"), F.col("event")).alias("e"))
+    grouped = evs.groupBy("job_id").agg(F.collect_list("e").alias("evs"))
+    return grouped.select("job_id", fold(new_job(), F.col("evs")).alias("s")).select("job_id", "s.*")
 
 
 def cancel(jobs: DataFrame, requests: DataFrame, at: Column) -> DataFrame:

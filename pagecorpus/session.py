@@ -155,6 +155,12 @@ def fs_identity(spark: SparkSession, path: str) -> str:
     return f"{path}|{sum(s.getLen() for s in parts)}|{max([s.getModificationTime() for s in parts], default=0)}|{len(parts)}"
 
 
+def fs_delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this package wrote."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def fs_read_text(spark: SparkSession, path: str) -> str:
     """A small text file, through the Hadoop file system."""
     p, fs = _fs(spark, path)

@@ -1,8 +1,12 @@
 """Keyed state of the streams: job states (O-T4) and suppression by TTL (O-T2).
 
-Spark drops rows older than the watermark before a stateful operator sees them.  The queries
-therefore give Spark a watermark of ``LOOKBACK`` and the processors use a tighter one, later by
-``LOOKBACK`` less the allowed lateness: rows between the two reach the processor, which gives them
+Job states are columns: a micro-batch folds its events into the state of all live jobs at once
+(``advance``), since a stateful processor in Python takes several exchanges with the JVM for each
+of millions of jobs.  ``JobLog`` keeps the state of each batch as a table under the checkpoint folder.
+
+Suppression is a stateful processor.  Spark drops rows older than the watermark before it sees them.
+The query therefore gives Spark a watermark of ``LOOKBACK`` and the processor uses a tighter one, later
+by ``LOOKBACK`` less the allowed lateness: rows between the two reach the processor, which gives them
 out as ``late`` instead of losing them.  Timers are set on Spark's clock, shifted by as much.
 
 Times are microseconds since 1970.
@@ -10,17 +14,26 @@ Times are microseconds since 1970.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
+from pagecorpus.operators import jobs as J
+from pagecorpus.session import fs_delete, fs_exists, fs_list, fs_read_text, fs_write_once
+
 LOOKBACK = "365 days"
 _LOOKBACK_MS = 365 * 86_400_000
 
 JOB_ROWS = ("job_id long, kind string, status string, created_us long, started_us long, finished_us long, updated_us long, "
             "ignored int, event string")
-_JOB_COLUMNS = [c.split()[0] for c in JOB_ROWS.split(", ")]
+#: State of a job: what events before the watermark settled (``job``), the few newer events, which may still
+#: arrive out of order, and the job with them (``seen``); whether events came in the batch, and whether it left.
+JOB_STATE = ("job_id long, job {0}, newer array<struct<ts long, rank int, event string>>, seen {0}, came boolean, gone boolean").format(
+    "struct<status string, created_at long, started_at long, finished_at long, updated_at long, ignored int>")
 SUPPRESSED_ROWS = "key string, seq long, ts_us long, kind string"
 
 _RANK = {"created": 0, "started": 1, "cancelled": 2}
@@ -28,13 +41,11 @@ _RANK = {"created": 0, "started": 1, "cancelled": 2}
 _MOVES = {(None, "created"): "queued", ("queued", "started"): "running", ("running", "succeeded"): "succeeded",
           ("running", "failed"): "failed", ("queued", "cancelled"): "cancelled"}
 _STAMP = {"queued": "created_us", "running": "started_us", "succeeded": "finished_us", "failed": "finished_us"}
-_TERMINAL = ("succeeded", "failed", "cancelled")
-_FIELDS = ("status", "created_us", "started_us", "finished_us", "updated_us", "ignored")
-_NEW = dict.fromkeys(_FIELDS) | {"ignored": 0}
 
 
 def fold(job: dict, events: list[tuple[int, str]]) -> dict:
-    """The job after the events, in order of time and rank; illegal ones are counted and change nothing."""
+    """The job after the events, in order of time and rank; illegal ones are counted and change nothing.
+    The plain form of ``jobs.fold``, to test it by."""
     job = dict(job)
     for ts, event in sorted(events, key=lambda e: (e[0], _RANK.get(e[1], 3))):
         status = _MOVES.get((job["status"], event))
@@ -48,6 +59,80 @@ def fold(job: dict, events: list[tuple[int, str]]) -> dict:
     return job
 
 
+def live(state: DataFrame) -> DataFrame:
+    """The jobs that are still in the state: not removed, and with more than illegal events."""
+    return state.where(~F.col("gone") & (F.col("job.status").isNotNull() | (F.size("newer") > 0)))
+
+
+def advance(state: DataFrame, events: DataFrame, now_us: int | None, ttl_us: int) -> DataFrame:
+    """The state (``JOB_STATE``) after events (job_id, ts_us, event) that are not late.  Events before the watermark
+    ``now_us`` (None: not known yet) are settled; a job that finished longer than the TTL before it is ``gone``."""
+    event = F.struct(F.col("ts_us").alias("ts"), J.event_rank(F.col("event")).alias("rank"), F.col("event").alias("event"))
+    held = live(state).select("job_id", "job", "newer", F.lit(False).alias("came"))
+    came = events.select("job_id", F.lit(None).cast(state.schema["job"].dataType).alias("job"), F.array(event).alias("newer"), F.lit(True).alias("came"))
+    met = held.union(came).groupBy("job_id").agg(F.first("job", ignorenulls=True).alias("job"), F.flatten(F.collect_list("newer")).alias("events"),
+                                                 F.max("came").alias("came"))
+    now = F.lit(now_us).cast("long")
+
+    def old(e: Column) -> Column:  # an event without a time is older than all others
+        return F.coalesce(e["ts"] < now, e["ts"].isNull())
+
+    settled = met.select("job_id", J.fold(F.coalesce("job", J.new_job("long")), F.filter("events", old)).alias("job"),
+                         F.filter("events", lambda e: ~old(e)).alias("newer"), "came")
+    seen = settled.select("job_id", "job", "newer", J.fold(F.col("job"), F.col("newer")).alias("seen"), "came")
+    gone = F.col("seen.status").isin(J.TERMINAL) & (F.col("seen.updated_at") + F.lit(ttl_us) < now)
+    return seen.withColumn("gone", F.coalesce(gone, F.lit(False)))
+
+
+def job_rows(state: DataFrame) -> DataFrame:
+    """The rows (``JOB_ROWS``) that a batch gives out: ``state`` of the jobs that got events, ``expired`` of those that left."""
+    kinds = F.array_compact(F.array(F.when(F.col("came"), "state"), F.when(F.col("gone"), "expired")))
+    return state.where("came or gone").select(
+        "job_id", F.explode(kinds).alias("kind"), "seen.status", *(F.col(f"seen.{c}_at").alias(f"{c}_us") for c in ("created", "started", "finished", "updated")),
+        "seen.ignored", F.lit(None).cast("string").alias("event"))
+
+
+def late_rows(events: DataFrame) -> DataFrame:
+    """Late events (job_id, ts_us, event) as ``JOB_ROWS``."""
+    no = F.lit(None).cast("long")
+    return events.select("job_id", F.lit("late").alias("kind"), F.lit(None).cast("string").alias("status"), no.alias("created_us"), no.alias("started_us"),
+                         no.alias("finished_us"), F.col("ts_us").alias("updated_us"), F.lit(0).alias("ignored"), "event")
+
+
+class JobLog:
+    """The states of a stream's batches under ``root``, each with the newest event time so far.  A version counts once its
+    small text file is there; then the state before it goes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        done = [int(f.split(".")[0]) for f in fs_list(spark, root) if f.endswith(".newest_us")]
+        self.version = max(done, default=-1)
+        said = fs_read_text(spark, self._newest(self.version)) if done else ""
+        self.newest_us = int(said) if said else None
+
+    def _newest(self, version: int) -> str:
+        return os.path.join(self.root, f"{version}.newest_us")
+
+    def state(self, version: int | None = None) -> DataFrame:
+        path = os.path.join(self.root, str(self.version if version is None else version))
+        if not fs_exists(self.spark, path):
+            return self.spark.createDataFrame([], JOB_STATE)
+        return self.spark.read.schema(JOB_STATE).parquet(path)
+
+    def write(self, version: int, state: DataFrame) -> DataFrame:
+        state.write.mode("overwrite").parquet(os.path.join(self.root, str(version)))
+        return self.state(version)
+
+    def commit(self, version: int, newest_us: int | None) -> None:
+        fs_write_once(self.spark, self._newest(version), "" if newest_us is None else str(newest_us))
+        if self.version >= 0:
+            fs_delete(self.spark, os.path.join(self.root, str(self.version)))
+
+    def rows(self) -> int:
+        """Jobs in the state and their newer events."""
+        return int(live(self.state()).agg(F.coalesce(F.sum(F.size("newer") + 1), F.lit(0))).first()[0])
+
+
 class _Clock(StatefulProcessor):
     """The tighter watermark, and timers set by it."""
 
@@ -66,74 +151,6 @@ class _Clock(StatefulProcessor):
         pass
 
 
-class JobStates(_Clock):
-    """State of a job: what events before the watermark settled, and the few newer events, which may
-    still arrive out of order.  A timer removes a finished job after the result TTL."""
-
-    def __init__(self, ttl_seconds: int, lateness_seconds: int):
-        super().__init__(lateness_seconds)
-        self.ttl_us = ttl_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "status string, created_us long, started_us long, finished_us long, updated_us long, ignored int")
-        self.newer = handle.getListState("newer", "ts_us long, event string")
-
-    def _load(self) -> tuple[dict, list[tuple[int, str]]]:
-        job = dict(zip(_FIELDS, self.job.get())) if self.job.exists() else dict(_NEW)
-        return job, [tuple(x) for x in self.newer.get()] if self.newer.exists() else []
-
-    def _store(self, job: dict, newer: list[tuple[int, str]]) -> None:
-        if job["status"] is None and not newer:  # nothing but illegal events
-            self._clear()
-            return
-        self.job.update(tuple(job[f] for f in _FIELDS))
-        if newer:
-            self.newer.put(newer)
-        elif self.newer.exists():
-            self.newer.clear()
-
-    def _clear(self) -> None:
-        self.job.clear()
-        self.newer.clear()
-
-    def _row(self, key, kind: str, job: dict, event: str | None = None) -> Row:
-        return Row(*_JOB_COLUMNS)(key[0], kind, *(job[f] for f in _FIELDS), event)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        now = self.now_us(timerValues)
-        job, newer = self._load()
-        came = 0
-        for r in rows:
-            if now is not None and r.ts_us < now:
-                yield self._row(key, "late", _NEW | {"updated_us": r.ts_us}, r.event)
-            else:
-                newer.append((r.ts_us, r.event))
-                came += 1
-        if now is not None:
-            job = fold(job, [e for e in newer if e[0] < now])
-            newer = [e for e in newer if e[0] >= now]
-        self._store(job, newer)
-        state = fold(job, newer)
-        if state["status"] in _TERMINAL:
-            self.wake(state["updated_us"] + self.ttl_us)
-        elif state["status"] is None and newer:  # illegal so far: kept while a creation may still arrive
-            self.wake(max(newer)[0])
-        if came:
-            yield self._row(key, "state", state)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = self.now_us(timerValues)
-        job, newer = self._load()
-        state = fold(job, newer)
-        # events that came since may have moved the job; their own timer follows
-        if now is not None and state["status"] is None:
-            self._store(fold(job, [e for e in newer if e[0] < now]), [e for e in newer if e[0] >= now])
-        elif now is not None and state["status"] in _TERMINAL and state["updated_us"] + self.ttl_us < now:
-            self._clear()
-            yield self._row(key, "expired", state)
-
-
 class Suppression(_Clock):
     """State of a key: until when its last kept row holds; a timer removes it then."""
 

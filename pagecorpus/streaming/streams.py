@@ -11,7 +11,8 @@ restarted query resumes where it stopped.  Sinks are idempotent per micro-batch
   in an output of their own.
 * O-T3 windowed counters: watermark + tumbling ``window`` + ``groupBy`` in append mode, so closed
   windows leave the state; late rows are counted.
-* O-T4 job states: keyed state (``state.JobStates``) that a timer removes after the result TTL.
+* O-T4 job states: ``foreachBatch`` folds each batch into the state of all live jobs (``state.advance``), which
+  leave it when the watermark is past their result TTL; a replayed batch finds its version committed.
 * O-T5 periodic retention: the O-C15 cleanup run over the ingested store.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagecorpus.session import checkpoint_dir, fs_list
 from pagecorpus.sources.store_table import StoreTable
-from pagecorpus.streaming.state import JOB_ROWS, LOOKBACK, SUPPRESSED_ROWS, JobStates, Suppression
+from pagecorpus.streaming.state import JOB_ROWS, LOOKBACK, SUPPRESSED_ROWS, JobLog, Suppression, advance, job_rows, late_rows
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -151,13 +152,31 @@ def job_state_stream(spark: SparkSession, source: str, schema, out_dir: str, ttl
                      lateness_seconds: int = 3600) -> tuple[DataFrame, int]:
     """O-T4: job events -> rows (job_id, kind, ...): ``state`` rows hold a job's state after a batch,
     ``expired`` rows tell that a finished job outlived the TTL and left the state, ``late`` rows
-    are events from before the watermark; and the number of rows left in the state."""
-    _keyed_state(spark)
-    events = _with_event_time(_stream(spark, source, schema), "ts", LOOKBACK).select(
-        "job_id", F.unix_micros("_evt").alias("ts_us"), "event", "_evt")
-    out = events.groupBy("job_id").transformWithState(JobStates(ttl_seconds, lateness_seconds), JOB_ROWS, "append", "EventTime")
-    q = _run(out.writeStream.outputMode("append").foreachBatch(_put(out_dir, "kind")), out_dir + "_ckpt")
-    return _read_batches(spark, out_dir, JOB_ROWS), _state_rows(q)
+    are events from before the watermark; and the number of rows left in the state.
+
+    The watermark of a batch is the newest time of the batches before it, in milliseconds, less the allowed
+    lateness.  When all files are read, a batch without events lets the jobs go that the last one outdated.  Batch
+    ``b`` is version ``2 * b`` of the state and of the output, the one without events ``2 * b + 1``."""
+    root = out_dir + "_state"
+
+    def put(batch: DataFrame, version: int) -> None:
+        s = batch.sparkSession
+        log = JobLog(s, root)
+        if log.version >= version:  # replayed
+            return
+        now = None if log.newest_us is None else log.newest_us // 1000 * 1000 - lateness_seconds * 1_000_000
+        late = F.coalesce(F.col("ts_us") < F.lit(now).cast("long"), F.lit(False))
+        state = log.write(version, advance(log.state(), batch.where(~late), now, ttl_seconds * 1_000_000))
+        _put(out_dir, "kind")(job_rows(state).union(late_rows(batch.where(late))), version)
+        newest = batch.agg(F.max("ts_us")).first()[0]
+        log.commit(version, max((x for x in (newest, log.newest_us) if x is not None), default=None))
+
+    events = _stream(spark, source, schema).select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event")
+    _run(events.writeStream.foreachBatch(lambda batch, batch_id: put(batch, 2 * batch_id)), out_dir + "_ckpt")
+    last = JobLog(spark, root).version
+    if last >= 0 and last % 2 == 0:
+        put(spark.createDataFrame([], "job_id long, ts_us long, event string"), last + 1)
+    return _read_batches(spark, out_dir, JOB_ROWS), JobLog(spark, root).rows()
 
 
 def latest_states(rows: DataFrame) -> DataFrame:

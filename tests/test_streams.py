@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pagecorpus.operators import jobs as J
+from pagecorpus.session import fs_delete
 from pagecorpus.sources.store_table import SCHEMA, StoreTable
 from pagecorpus.streaming import streams as T
-from pagecorpus.streaming.state import fold
+from pagecorpus.streaming.state import JOB_STATE, advance, fold, live
 
 T0 = datetime(2024, 3, 1)
 EVENTS = "job_id long, ts timestamp_ntz, event string"
@@ -117,3 +118,49 @@ def test_ingest_rewrites_touched_partitions_and_replays(spark):
         assert len({f.split("/")[0] for f in old.parts.keys() | new.parts.keys() if old.parts.get(f) != new.parts.get(f)}) == 1
     assert T.ingest_snapshots(spark, src, SCHEMA, store).agg(F.max("seq")).first()[0] == 200  # nothing new: as it was
     assert StoreTable.latest(spark, store).version == 3
+
+
+def test_job_columns_fold_as_the_plain_form(spark):
+    """Any events, in batches: settled, pending and late ones, illegal jobs and a null id."""
+    rng = random.Random(9)
+    events = ["created", "started", "succeeded", "failed", "cancelled", "odd", None]
+    empty = {"status": None, "created_us": None, "started_us": None, "finished_us": None, "updated_us": None, "ignored": 0}
+    state, plain = spark.createDataFrame([], JOB_STATE), {}
+    for now in (None, 200, 400, 900, 5000):
+        rows = [(rng.choice([*range(40), None]), rng.randrange(now or 0, (now or 0) + 400), rng.choice(events)) for _ in range(150 if now != 5000 else 0)]
+        rows = list({(j, ts): (j, ts, e) for j, ts, e in rows}.values())  # one event an instant
+        state = spark.createDataFrame(advance(state, spark.createDataFrame(rows, "job_id long, ts_us long, event string"), now, 600).collect(), JOB_STATE)
+        want = {}
+        for j in {r[0] for r in rows} | plain.keys():
+            job, newer = plain.pop(j, (empty, []))
+            newer = newer + [(ts, e) for k, ts, e in rows if k == j]
+            job = fold(job, [e for e in newer if now is not None and e[0] < now])
+            newer = [e for e in newer if now is None or e[0] >= now]
+            seen = fold(job, newer)
+            gone = now is not None and seen["status"] in J.TERMINAL and seen["updated_us"] + 600 < now
+            want[j] = (*seen.values(), any(r[0] == j for r in rows), gone)
+            if not gone and (job["status"] or newer):
+                plain[j] = (job, newer)
+        got = {r.job_id: (*r.seen, r.came, r.gone) for r in state.collect()}
+        assert got == want
+    assert live(state).count() == len(plain) and any(x[-1] for x in want.values())
+
+
+def test_job_states_stay_out_of_python_workers(spark):
+    """Millions of jobs: no per-job exchange with a Python worker."""
+    one = spark.createDataFrame([(1, 5, "created")], "job_id long, ts_us long, event string").repartition("job_id")
+    plan = advance(spark.createDataFrame([], JOB_STATE), one, 3, 600)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_replayed_batch_changes_nothing(spark):
+    src, out = T.scratch(spark, "t_src"), T.scratch(spark, "t_out")
+    schema = spark.createDataFrame([], EVENTS).schema
+    land(spark, src, [(j, at(j), e) for j in range(5) for e in ("created", "started")], EVENTS)
+    land(spark, src, [(9, at(5000), "created")], EVENTS)
+    land(spark, src, [(3, at(8), "failed")], EVENTS)  # late
+    rows, left = T.job_state_stream(spark, src, schema, out, 600, lateness_seconds=60)
+    first = sorted(map(str, rows.collect()))
+    fs_delete(spark, out + "_ckpt/commits")  # as if it had stopped before the batches were noted
+    rows, again = T.job_state_stream(spark, src, schema, out, 600, lateness_seconds=60)
+    assert sorted(map(str, rows.collect())) == first and again == left and sum("late" in x for x in first) == 1
