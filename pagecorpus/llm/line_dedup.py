@@ -9,9 +9,9 @@ with probability 1 - (1 - 0.8**6)**18 = 0.996, and one of similarity 0.1 with 0.
 verified by the exact Jaccard similarity of their character shingles (0.8 or more).
 
 Round 1 verifies each line against the smallest line of each of its bands and joins the links by
-distributed union-find.  Round 2 looks in the bands whose lines still lie in different components: tasks
-hold a band's lines, search them by their rarest shingles, and emit the links that join components,
-fewer than there are lines; no pairs of a band are made.
+distributed union-find.  Round 2 looks at the other lines of the bands where these still lie in different
+components, once for each set of lines: tasks hold a band's lines, search them by their rarest shingles,
+and emit the links that join components, fewer than there are lines; no pairs of a band are made.
 
 Signatures and similarities are array work inside tasks: a form in DataFrame functions only took
 more than five times the budget (README).  Joins, bands and union-find are DataFrame work.  Text is
@@ -148,6 +148,21 @@ def similar(a: set[str], b: set[str]) -> bool:
     return (PART + SHARE) * common >= SHARE * (len(a) + len(b))
 
 
+def reaches(line: str, b: set[str]) -> bool:
+    """``similar(shingles(line), b)``, left as soon as more shingles of the line are missing in ``b`` than a set of at
+    most as many shingles as the line has places may miss."""
+    n = max(1, len(line) - SHINGLE + 1)
+    if n * PART < len(b) * SHARE:
+        return False
+    room = n * (PART + SHARE) - SHARE * (n + len(b))
+    a: set[str] = set()
+    for at in range(0, n, step := max(64, -(-n // 4))):
+        a |= {line[i:i + SHINGLE] for i in range(at, min(n, at + step))}
+        if len(a - b) * (PART + SHARE) > room:
+            return False
+    return similar(a, b)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have the similarity asked for."""
     a = texts.select(F.col("k").alias("a"), F.col("line").alias("line_a"))
@@ -160,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for x, y, s, t in zip(pdf["a"], pdf["b"], pdf["line_a"], pdf["line_b"], strict=True):
                 if y != last:
                     last, held = y, shingles(t)
-                if similar(shingles(s), held):
+                if reaches(s, held):
                     keep.append((x, y))
             yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
     met = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b")
@@ -176,14 +191,21 @@ def line_components(docs: DataFrame) -> DataFrame:
     star = near.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
     links = materialize(verified(star, texts), "line_links")
     first = materialize(C.components(links), "line_first").withColumnRenamed("id", "k")
-    placed = near.join(first, "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
-    # a band whose lines all lie in one component needs nothing; of two lines the star has seen the pair
-    unsure = (placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
-              .where("c0 <> c1 and n > 2").select("band"))
-    left = materialize(placed.join(unsure, "band", "left_semi"), "line_unsure")
+    left = materialize(open_bands(near, first), "line_unsure")
     return C.components(links.unionByName(spanning_links(left, texts)))
 
 
+def open_bands(near: DataFrame, first: DataFrame) -> DataFrame:
+    """(band, k, c) of the lines whose pairs round two looks at.  The pairs with a band's smallest line are verified, so
+    it stays out; a band whose other lines lie in one component needs nothing, and of bands with the same lines (by
+    number, ends and a 64-bit hash of the set) one stands for all."""
+    others = near.where("k <> head").join(first, "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    sets = others.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.min("k").alias("k0"),
+                                      F.max("k").alias("k1"), F.bit_xor(F.xxhash64("k")).alias("x")).where("c0 <> c1")
+    chosen = sets.groupBy("n", "k0", "k1", "x").agg(F.min("band").alias("band")).select("band")
+    return others.join(chosen, "band", "left_semi")
+
+
 def spanning_links(left: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
     """Links (a, b) between the components of ``left`` (band, k, c): of each band as many as join its components,
     never its pairs.  A band of more than ``members`` lines is worked on in pairs of groups."""
@@ -216,11 +238,16 @@ def spanning(rows: list) -> list[tuple[int, int]]:
         return []
     place: dict[int, int] = {}
     comp = [place.setdefault(r[2], len(place)) for r in rows]
-    sets = [shingles(r[3]) for r in rows]
+    sets: list[set[str] | None] = [None] * len(rows)
     up, found = C.Sets(len(place)), []
 
+    def held(i: int) -> set[str]:
+        if sets[i] is None:
+            sets[i] = shingles(rows[i][3])
+        return sets[i]
+
     def meet(i: int, j: int) -> None:
-        if up.find(comp[i]) != up.find(comp[j]) and similar(sets[i], sets[j]):
+        if up.find(comp[i]) != up.find(comp[j]) and (reaches(rows[j][3], held(i)) if sets[j] is None else similar(held(i), sets[j])):
             up.join(comp[i], comp[j])
             found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
 
@@ -230,8 +257,8 @@ def spanning(rows: list) -> list[tuple[int, int]]:
                 meet(i, j)
         return found
     often: dict[str, int] = {}
-    for s in sets:
-        for x in s:
+    for i in range(len(rows)):
+        for x in held(i):
             often[x] = often.get(x, 0) + 1
     cross = len({r[0] for r in rows}) > 1
     index: dict[str, list[int]] = {}

@@ -135,3 +135,47 @@ def test_round_two_joins_what_all_pairs_join(spark):
         got = [tuple(r) for r in D.spanning_links(left, texts, members).collect()]
         assert joined(got) == joined(every) and set(got) <= set(every)
     assert D.spanning([]) == [] and D.spanning(rows[:1]) == []
+
+
+def test_round_two_gets_each_set_of_lines_once_and_no_verified_pair(spark, monkeypatch):
+    """Templated lines share many bands: each set of lines is sent once, without the line that round one compared all with."""
+    rng = np.random.default_rng(5)
+    base = "order {} was shipped on day {} to the customer with number {} in the usual way"
+    rows = [(i, base.format(*rng.integers(0, 10 ** int(rng.integers(1, 9)), 3))) for i in range(200)]
+    got, links = [], D.spanning_links
+
+    def seen(left, texts):
+        got.extend(tuple(r) for r in left.collect())
+        return links(left, texts)
+    monkeypatch.setattr(D, "spanning_links", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component for r in D.fuzzy_lines(df).collect()}
+    want = _plain(rows)
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(found[i], set()).add(want[_low(text)])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) <= 1.05 * len(set(want.values()))
+    every, sent = {}, {}
+    for r in D.bands(df).distinct().collect():
+        every.setdefault(r.band, set()).add(r.k)
+    for band, k, _ in got:
+        sent.setdefault(band, set()).add(k)
+    assert sent and all(ks == every[band] - {min(every[band])} for band, ks in sent.items())
+    assert len({frozenset(ks) for ks in sent.values()}) == len(sent)
+
+
+def test_early_rejection_changes_no_verdict():
+    rng = np.random.default_rng(6)
+    seen = set()
+    for size in (1, 3, 5, 6, 9, 20, 70, 300, 900):
+        for letters in ("ab", "abcdefghijklmnop "):
+            for _ in range(60):
+                line = "".join(rng.choice(list(letters), size))
+                other = list(line * int(rng.integers(1, 3)))[:size + int(rng.integers(-size // 3, size // 3 + 2))]
+                for at in rng.integers(0, max(1, len(other)), int(rng.integers(0, 1 + size // 12))):
+                    other[at:at + 1] = "zy"[:int(rng.integers(0, 3))]
+                other = "".join(other) or "x"
+                want = D.similar(D.shingles(line), D.shingles(other))
+                assert D.reaches(line, D.shingles(other)) == want == D.reaches(other, D.shingles(line))
+                seen.add((size, want))
+    assert {(300, True), (300, False), (20, True), (20, False)} <= seen
