@@ -68,18 +68,22 @@ def advance(state: DataFrame, events: DataFrame, now_us: int | None, ttl_us: int
     """The state (``JOB_STATE``) after events (job_id, ts_us, event) that are not late.  Events before the watermark
     ``now_us`` (None: not known yet) are settled; a job that finished longer than the TTL before it is ``gone``."""
     event = F.struct(F.col("ts_us").alias("ts"), J.event_rank(F.col("event")).alias("rank"), F.col("event").alias("event"))
-    held = live(state).select("job_id", "job", "newer", F.lit(False).alias("came"))
-    came = events.select("job_id", F.lit(None).cast(state.schema["job"].dataType).alias("job"), F.array(event).alias("newer"), F.lit(True).alias("came"))
-    met = held.union(came).groupBy("job_id").agg(F.first("job", ignorenulls=True).alias("job"), F.flatten(F.collect_list("newer")).alias("events"),
-                                                 F.max("came").alias("came"))
+    came = events.groupBy(F.col("job_id").alias("id")).agg(F.collect_list(event).alias("fresh"))
+    held = live(state).select("job_id", "job", "newer")
+    met = held.join(came, F.col("job_id").eqNullSafe(F.col("id")), "full_outer").select(
+        F.coalesce("job_id", "id").alias("job_id"), "job", F.coalesce(F.concat("newer", "fresh"), "newer", "fresh").alias("events"),
+        F.col("fresh").isNotNull().alias("came"))
     now = F.lit(now_us).cast("long")
 
     def old(e: Column) -> Column:  # an event without a time is older than all others
         return F.coalesce(e["ts"] < now, e["ts"].isNull())
 
-    settled = met.select("job_id", J.fold(F.coalesce("job", J.new_job("long")), F.filter("events", old)).alias("job"),
+    def after(job: Column, some: Column) -> Column:  # most jobs of a large state have no event
+        return F.when(F.size(some) == 0, job).otherwise(J.fold(job, some))
+
+    settled = met.select("job_id", after(F.coalesce("job", J.new_job("long")), F.filter("events", old)).alias("job"),
                          F.filter("events", lambda e: ~old(e)).alias("newer"), "came")
-    seen = settled.select("job_id", "job", "newer", J.fold(F.col("job"), F.col("newer")).alias("seen"), "came")
+    seen = settled.select("job_id", "job", "newer", after(F.col("job"), F.col("newer")).alias("seen"), "came")
     gone = F.col("seen.status").isin(J.TERMINAL) & (F.col("seen.updated_at") + F.lit(ttl_us) < now)
     return seen.withColumn("gone", F.coalesce(gone, F.lit(False)))
 
