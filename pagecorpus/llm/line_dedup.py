@@ -148,21 +148,6 @@ def similar(a: set[str], b: set[str]) -> bool:
     return (PART + SHARE) * common >= SHARE * (len(a) + len(b))
 
 
-def reaches(line: str, b: set[str]) -> bool:
-    """``similar(shingles(line), b)``, left as soon as more shingles of the line are missing in ``b`` than a set of at
-    most as many shingles as the line has places may miss."""
-    n = max(1, len(line) - SHINGLE + 1)
-    if n * PART < len(b) * SHARE:
-        return False
-    room = n * (PART + SHARE) - SHARE * (n + len(b))
-    a: set[str] = set()
-    for at in range(0, n, step := max(64, -(-n // 4))):
-        a |= {line[i:i + SHINGLE] for i in range(at, min(n, at + step))}
-        if len(a - b) * (PART + SHARE) > room:
-            return False
-    return similar(a, b)
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have the similarity asked for."""
     a = texts.select(F.col("k").alias("a"), F.col("line").alias("line_a"))
@@ -175,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for x, y, s, t in zip(pdf["a"], pdf["b"], pdf["line_a"], pdf["line_b"], strict=True):
                 if y != last:
                     last, held = y, shingles(t)
-                if reaches(s, held):
+                if similar(shingles(s), held):
                     keep.append((x, y))
             yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
     met = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b")
@@ -247,7 +232,7 @@ def spanning(rows: list) -> list[tuple[int, int]]:
         return sets[i]
 
     def meet(i: int, j: int) -> None:
-        if up.find(comp[i]) != up.find(comp[j]) and (reaches(rows[j][3], held(i)) if sets[j] is None else similar(held(i), sets[j])):
+        if up.find(comp[i]) != up.find(comp[j]) and similar(held(i), held(j)):
             up.join(comp[i], comp[j])
             found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
 
