@@ -6,12 +6,14 @@ hashes of its ``SHINGLE``-character shingles (in UTF-8 bytes; each minimum under
 term of its own, since minima under XOR masks that agree in their top bits fall on the same shingle);
 lines with an equal band of ``ROWS`` minima are candidates.  At similarity 0.8 a pair shares a band
 with probability 1 - (1 - 0.8**6)**18 = 0.996, and one of similarity 0.1 with 0.00002.  Candidates are
-verified by the exact Jaccard similarity of their character shingles (0.8 or more).
+verified by the exact Jaccard similarity of their character shingles (0.8 or more), as arrays of numbers
+that stand for the shingles one to one.
 
 Round 1 verifies each line against the smallest line of each of its bands and joins the links by
 distributed union-find.  Round 2 looks at the other lines of the bands where these still lie in different
-components, once for each set of lines: tasks hold a band's lines, search them by their rarest shingles,
-and emit the links that join components, fewer than there are lines; no pairs of a band are made.
+components, once for each set of lines: tasks hold a band's lines, compare them (more than ``FEW``: search
+them by their rarest shingles) and emit the links that join components, fewer than there are lines; no pairs
+of a band are made.
 
 Signatures and similarities are array work inside tasks: a form in DataFrame functions only took
 more than five times the budget (README).  Joins, bands and union-find are DataFrame work.  Text is
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecorpus.llm import common as C
@@ -48,7 +50,11 @@ KNOWN = 1 << 19
 #: Lines of a band that a task holds from each of two groups.
 MEMBERS = 2000
 #: Lines of a band that are compared without an index.
-FEW = 16
+FEW = 256
+#: Characters of pairs of lines that are verified at a time.
+CHARS = 1 << 18
+#: Bits of a band's key; a clash costs a comparison only.
+KEY = np.uint64((1 << 48) - 1)
 BLANKS = " \t\r"
 
 
@@ -71,9 +77,14 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     n = np.array([len(x) - SHINGLE + 1 for x in padded])
     h = (C.mix64(code[keep]) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(n) - n
-    minima = np.stack([np.minimum.reduceat(h * m + t, starts) for m, t in zip(_FACTORS, _TERMS, strict=True)], axis=1)
-    minima = minima.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
-    return C.mix64((minima * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    minima = np.empty((ROWS * BANDS, len(lines)), np.uint32)
+    x = np.empty_like(h)
+    for m, t, least in zip(_FACTORS, _TERMS, minima, strict=True):
+        np.multiply(h, m, out=x)
+        np.add(x, t, out=x)
+        np.minimum.reduceat(x, starts, out=least)
+    minima = minima.T.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
+    return (C.mix64((minima * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) & KEY).view(np.int64)
 
 
 def lines_of(text) -> list[tuple[int, str]]:
@@ -148,30 +159,85 @@ def similar(a: set[str], b: set[str]) -> bool:
     return (PART + SHARE) * common >= SHARE * (len(a) + len(b))
 
 
+def coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, sizes): the distinct shingles of each line, line after line, ascending within each, as numbers that are
+    equal for equal shingles and for no others; and how many each line has."""
+    padded = [x if len(x) >= SHINGLE else x + "\n" * (SHINGLE - len(x)) for x in lines]  # no line holds a line feed
+    a = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    there = np.zeros(int(a.max()) + 1, bool)
+    there[a] = True
+    place = np.cumsum(there) - 1
+    a, base = place[a], int(place[-1]) + 1
+    n = len(a) - SHINGLE + 1
+
+    def run(start: int, width: int) -> np.ndarray:
+        x = a[start:start + n].copy()
+        for j in range(start + 1, start + width):
+            x = x * base + a[j:j + n]
+        return x
+    if base ** SHINGLE < 1 << 63:
+        code = run(0, SHINGLE)
+    else:  # three letters and two are numbered first
+        head, tail = (np.unique(run(*x), return_inverse=True)[1] for x in ((0, 3), (3, SHINGLE - 3)))
+        code = head * (int(tail.max()) + 1) + tail
+    ends = np.cumsum([len(x) for x in padded])
+    keep = np.ones(n, bool)
+    for back in range(1, SHINGLE):  # shingles that run over into the next line
+        keep[ends[:-1] - back] = False
+    code = code[keep]
+    if (int(code.max()) + 1) * len(lines) >= 1 << 63:
+        code = np.unique(code, return_inverse=True)[1]
+    span = int(code.max()) + 1
+    owner = np.repeat(np.arange(len(lines)), [len(x) - SHINGLE + 1 for x in padded])
+    both = np.sort(owner * span + code)  # np.unique takes ten times as long
+    both = both[np.append(True, both[1:] != both[:-1])]
+    owner = both // span
+    return both - owner * span, np.bincount(owner, minlength=len(lines))
+
+
+def alike(common, a, b):
+    """``similar`` by the sizes of an intersection and of the two sets."""
+    return (PART + SHARE) * common >= SHARE * (a + b)
+
+
+def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether the lines of each pair are similar."""
+    codes, sizes = coded(a + b)
+    span = int(codes.max()) + 1
+    if span * len(a) >= 1 << 63:
+        codes = np.unique(codes, return_inverse=True)[1]
+        span = int(codes.max()) + 1
+    at = np.repeat(np.arange(len(a) + len(b)) % len(a), sizes) * span + codes
+    both = np.sort(at)
+    common = np.bincount(both[1:][both[1:] == both[:-1]] // span, minlength=len(a))
+    return alike(common, sizes[:len(a)], sizes[len(a):])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have the similarity asked for."""
     a = texts.select(F.col("k").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("k").alias("b"), F.col("line").alias("line_b"))
 
     def run(batches):
-        last, held = None, set()
         for pdf in batches:
-            keep = []
-            for x, y, s, t in zip(pdf["a"], pdf["b"], pdf["line_a"], pdf["line_b"], strict=True):
-                if y != last:
-                    last, held = y, shingles(t)
-                if similar(shingles(s), held):
-                    keep.append((x, y))
-            yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
-    met = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b")
+            lines = pdf["line_a"].str.len() + pdf["line_b"].str.len()
+            for _, part in pdf.groupby(lines.cumsum() // CHARS):
+                good = similar_pairs(part["line_a"].tolist(), part["line_b"].tolist())
+                yield part.loc[good, ["a", "b"]]
+    met = pairs.join(a, "a").join(b, "b")
     return met.select("a", "b", "line_a", "line_b").mapInPandas(run, "a long, b long")
 
 
+def near_lines(docs: DataFrame) -> DataFrame:
+    """(band, k, head) of the lines that share a band, and its smallest; the band rows are shuffled, sorted and read once."""
+    band = Window.partitionBy("band")
+    b = bands(docs).select("k", "band", F.min("k").over(band).alias("head"), F.max("k").over(band).alias("other"))
+    return b.where("head < other").select("band", "k", "head").distinct()
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """(id, component) of the distinct lines that have a near copy."""
-    b = bands(docs).repartition("band")  # one exchange for the heads and for the rows that have one
-    heads = b.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("other")).where("head < other").select("band", "head")
-    near = materialize(b.join(heads, "band").distinct(), "line_near")  # lines that share a band
+    near = materialize(near_lines(docs), "line_near")
     texts = materialize(texts_of(docs, near.select("k").distinct()), "line_texts")
     star = near.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
     links = materialize(verified(star, texts), "line_links")
@@ -223,27 +289,36 @@ def spanning(rows: list) -> list[tuple[int, int]]:
         return []
     place: dict[int, int] = {}
     comp = [place.setdefault(r[2], len(place)) for r in rows]
-    sets: list[set[str] | None] = [None] * len(rows)
     up, found = C.Sets(len(place)), []
 
-    def held(i: int) -> set[str]:
-        if sets[i] is None:
-            sets[i] = shingles(rows[i][3])
-        return sets[i]
+    def joined(i: int, j: int) -> bool:
+        return up.find(comp[i]) == up.find(comp[j])
 
-    def meet(i: int, j: int) -> None:
-        if up.find(comp[i]) != up.find(comp[j]) and similar(held(i), held(j)):
-            up.join(comp[i], comp[j])
-            found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
+    def link(i: int, j: int) -> None:
+        up.join(comp[i], comp[j])
+        found.append((max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])))
 
     if len(rows) <= FEW:  # so few are compared faster than they are indexed
-        for i in range(len(rows)):
-            for j in range(i):
-                meet(i, j)
+        codes, sizes = coded([r[3] for r in rows])
+        _, codes = np.unique(codes, return_inverse=True)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        held = np.zeros(int(codes.max()) + 1, np.int32)
+        for i in range(1, len(rows)):
+            if all(joined(i, j) for j in range(i)):
+                continue
+            mine = codes[starts[i]:ends[i]]
+            held[mine] = 1
+            common = np.add.reduceat(held[codes[:starts[i]]], starts[:i])
+            held[mine] = 0
+            for j in np.flatnonzero(alike(common, sizes[i], sizes[:i])):
+                if not joined(i, j):
+                    link(i, j)
         return found
+    sets = [shingles(r[3]) for r in rows]
     often: dict[str, int] = {}
-    for i in range(len(rows)):
-        for x in held(i):
+    for s in sets:
+        for x in s:
             often[x] = often.get(x, 0) + 1
     cross = len({r[0] for r in rows}) > 1
     index: dict[str, list[int]] = {}
@@ -254,7 +329,8 @@ def spanning(rows: list) -> list[tuple[int, int]]:
             for j in at:
                 if j not in met and not (cross and rows[i][0] == rows[j][0]):
                     met.add(j)
-                    meet(i, j)
+                    if not joined(i, j) and similar(sets[i], sets[j]):
+                        link(i, j)
             at.append(i)
     return found
 

@@ -162,3 +162,39 @@ def test_round_two_gets_each_set_of_lines_once_and_no_verified_pair(spark, monke
         sent.setdefault(band, set()).add(k)
     assert sent and all(ks == every[band] - {min(every[band])} for band, ks in sent.items())
     assert len({frozenset(ks) for ks in sent.values()}) == len(sent)
+
+
+def test_similarities_as_arrays_are_those_of_sets():
+    """Short lines, letters beyond the basic plane, and more letters than five fit into one number."""
+    rng = np.random.default_rng(5)
+    for letters in ("abcde ", "é漢字😀ab", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))):
+        for longest in (3, 12, 400):
+            a = ["".join(rng.choice(list(letters), int(n))) for n in rng.integers(1, longest + 1, 60)]
+            b = ["".join(c if rng.random() > 0.02 else "x" for c in x) for x in a]
+            b[0], b[1] = a[0], a[1] + a[1]
+            sets = [(D.shingles(x), D.shingles(y)) for x, y in zip(a, b, strict=True)]
+            assert D.similar_pairs(a, b).tolist() == [D.similar(s, t) for s, t in sets]
+            assert D.coded(a)[1].tolist() == [len(s) for s, _ in sets]
+
+
+def test_round_two_is_the_same_with_and_without_an_index(monkeypatch):
+    lines = [f"row {i % 7} of the table holds {i * i} items and {i % 3} remarks from the office" for i in range(60)]
+    rows = [(0, i, i, x) for i, x in enumerate(lines)]
+
+    def joined():
+        up = D.C.Sets(len(rows))
+        for a, b in D.spanning(rows):
+            up.join(a, b)
+        return [up.find(i) for i in range(len(rows))]
+    without = joined()
+    monkeypatch.setattr(D, "FEW", 1)
+    assert joined() == without and 1 < len(set(without)) < len(rows)
+
+
+def test_band_rows_are_narrow_and_shuffled_once(spark, part):
+    """The rows of the bands are most of what is shuffled: 48 bits a key, and one exchange for them."""
+    keys = D.signatures([b"a line of some length", b"another line", b"x"])
+    assert (keys >= 0).all() and (keys < 1 << 48).all()
+    near = D.near_lines(part)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("mapInPandas") + plan.count("MapInPandas") == 1, plan
