@@ -11,6 +11,9 @@ are equi-joined on signatures and each candidate is verified by its edit distanc
 A word's form is its near word of largest count if that is at least ``RATIO`` times its own; counts
 at least double along a chain of forms, so chains are short and are followed by pointer doubling.
 
+All joins are shuffled (merge hints).  Spark sizes a table by its compressed files, and the
+signatures of a word by one row, so it would send either to the driver to broadcast it.
+
 Defined results: a null text has no words; a null doc_id counts as the empty text in the hash; rows
 that repeat count as often as they occur; ties go to the smallest word in code-point order; an
 empty table gives no rows; further columns are not read.
@@ -119,7 +122,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     right = rows.where(F.col("side") != SHORTER).select("key", F.col("side").alias("other"), F.col("word").alias("b"), F.col("n").alias("nb"))
     fits = ((F.col("side") == EQUAL) & (F.col("other") == EQUAL) & (F.col("a") < F.col("b"))
             | (F.col("side") == SHORTER) & (F.col("other") == LONGER))
-    found = left.join(right, (left["key"] == right["key"]) & fits & (F.levenshtein("a", "b", 1) == 1))
+    found = left.join(right.hint("merge"), (left["key"] == right["key"]) & fits & (F.levenshtein("a", "b", 1) == 1))
     return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
@@ -128,7 +131,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     up = materialize(forms.select("word", F.col("form").alias("up")), "spelling_up")
     while True:
         over = up.select(F.col("word").alias("up"), F.col("up").alias("up2"))
-        nxt = materialize(up.join(over, "up", "left").select("word", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), "spelling_up")
+        nxt = materialize(up.join(over.hint("merge"), "up", "left").select("word", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), "spelling_up")
         up = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             return up.select("word", F.col("up").alias("root"))
@@ -144,6 +147,6 @@ def variants(docs: DataFrame) -> DataFrame:
     near = materialize(best.select("word", "n_near", (-F.col("top.m")).alias("m"), F.col("top.other").alias("other"), "n"), "spelling_near")
     good = F.col("m") >= RATIO * F.col("n")
     roots = _roots(near.where(good).select("word", F.col("other").alias("form")))
-    forms = near.select("word", "n_near", F.when(good, F.col("other")).alias("form"), F.when(good, F.col("m")).alias("form_n")).join(roots, "word", "left")
-    return (words.join(forms, "word", "left")
+    forms = near.select("word", "n_near", F.when(good, F.col("other")).alias("form"), F.when(good, F.col("m")).alias("form_n")).join(roots.hint("merge"), "word", "left")
+    return (words.join(forms.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n"))

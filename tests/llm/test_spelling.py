@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from pagecorpus.llm import spelling as S
+from pagecorpus.session import materialize
 
 
 def plain_words(rows):
@@ -66,3 +67,28 @@ def test_odd_rows(spark, odd, nothing):
     check(spark, odd)
     assert S.variants(nothing).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert S.variants(nothing).count() == 0
+
+
+def test_no_table_goes_to_the_driver(spark, monkeypatch):
+    """No join broadcasts, neither by Spark's estimate before the run nor by its measures within."""
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(S, "materialize", lambda df, kind: materialize(ran(df), kind))
+    said = {"colour": 12, "colou": 6, "coloür": 3, "listen": 4, "alone": 3}
+    df = spark.createDataFrame([(i, f"{w}.") for i, (w, n) in enumerate(said.items()) for _ in range(n)], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = ran(S.variants(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    words = plain_words([(i, w) for i, (w, n) in enumerate(said.items()) for _ in range(n)])
+    assert {r.word: tuple(r)[1:] for r in got} == plain_variants(words)
+    assert all("isFinalPlan=true" in p for p in plans if "Join" in p)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3  # signatures, roots, result
+    assert not [p for p in plans if "Broadcast" in p]
